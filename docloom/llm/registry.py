@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontamination, language_id, sentencepiece_codec
+from docloom.llm import decontamination, language_id, line_dedup, sentencepiece_codec
 from docloom.llm.common import read_table
 
 
@@ -15,8 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": lambda s, d: language_id.op1_language_id(read_table(s, d, "documents")),
         "op3_sentencepiece": lambda s, d: sentencepiece_codec.op3_sentencepiece(read_table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontamination.op4_decontamination(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
+        "op5_line_dedup": lambda s, d: line_dedup.op5_line_dedup(read_table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.OP4_SQL}
+    return {"op4_decontamination": decontamination.OP4_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
