@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontamination, fingerprints, language_id, line_dedup, sentencepiece_codec
+from docloom.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, sentencepiece_codec
 from docloom.llm.common import read_table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: language_id.op1_language_id(read_table(s, d, "documents")),
+        "op2_jaccard_join": lambda s, d: jaccard_join.op2_jaccard_join(read_table(s, d, "documents")),
         "op3_sentencepiece": lambda s, d: sentencepiece_codec.op3_sentencepiece(read_table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontamination.op4_decontamination(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
         "op9_fingerprints": lambda s, d: fingerprints.op9_fingerprints(read_table(s, d, "documents")),
