@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, sentencepiece_codec
+from docloom.llm import decontamination, fingerprints, html_extraction, jaccard_join, language_id, line_dedup, sentencepiece_codec
 from docloom.llm.common import read_table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": lambda s, d: sentencepiece_codec.op3_sentencepiece(read_table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontamination.op4_decontamination(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
         "op9_fingerprints": lambda s, d: fingerprints.op9_fingerprints(read_table(s, d, "documents")),
+        "op10_html_extraction": lambda s, d: html_extraction.op10_html_extraction(read_table(s, d, "pages")),
         "op5_line_dedup": lambda s, d: line_dedup.op5_line_dedup(read_table(s, d, "documents")),
     }
 
