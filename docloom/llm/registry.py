@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chat_formatting, decontamination, fingerprints, html_extraction, jaccard_join, language_id, line_dedup, sentencepiece_codec, toxicity
+from docloom.llm import chat_formatting, decontamination, fingerprints, html_extraction, jaccard_join, language_id, license_scan, line_dedup, sentencepiece_codec, toxicity
 from docloom.llm.common import read_table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": lambda s, d: decontamination.op4_decontamination(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
         "op6_toxicity": lambda s, d: toxicity.op6_toxicity(read_table(s, d, "documents"), read_table(s, d, "labels")),
         "op7_chat_formatting": lambda s, d: chat_formatting.op7_chat_formatting(read_table(s, d, "conversations")),
+        "op8_license_scan": lambda s, d: license_scan.op8_license_scan(read_table(s, d, "documents")),
         "op9_fingerprints": lambda s, d: fingerprints.op9_fingerprints(read_table(s, d, "documents")),
         "op10_html_extraction": lambda s, d: html_extraction.op10_html_extraction(read_table(s, d, "pages")),
         "op5_line_dedup": lambda s, d: line_dedup.op5_line_dedup(read_table(s, d, "documents")),
