@@ -51,12 +51,15 @@ def merge_small(boundaries: list[tuple[int, int, str]], words: list[int], least:
 def _per_document(rows: DataFrame, key: str, fold, columns: list[str], schema: str) -> DataFrame:
     """Fold the rows that were collected per document, a batch of documents at a time."""
 
+    added = T.StructType.fromDDL(schema)
+    names = [key, *added.names]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = [(k, *made) for k, *values in frame[[key, *columns]].itertuples(index=False) for made in fold(*values)]
-            yield pd.DataFrame(out, columns=[key, *T.StructType.fromDDL(schema).names])
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.select(key, *columns).mapInPandas(run, T.StructType([rows.schema[key], *T.StructType.fromDDL(schema).fields]))
+    return rows.select(key, *columns).mapInPandas(run, T.StructType([rows.schema[key], *added.fields]))
 
 
 def word_lists(sentences: DataFrame, key: str) -> DataFrame:

@@ -1 +1,193 @@
-QUERIES, SQL = {}, {}
+"""Queries over texts, names and boundaries and their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions.chunking import chunk_documents
+from docloom.functions.text import extension, family, normalise_space, preview, safe_filename, split_sentences, stem, unique_name, word_count
+from docloom.operators import semantic
+from docloom.plans.corpora import FILES_SQL, files, table
+from docloom.plans.jobs import chunk_files
+from docloom.sources.files import html_text_column
+
+Frame = DataFrame
+
+
+def normalize_sentences(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences(normalise_space("text"))).alias("i", "sentence"))
+    return rows.select("doc_id", F.col("i").cast("bigint").alias("i"), F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> Frame:
+    return table(spark, sf_dir, "documents").select("doc_id", word_count("text").cast("bigint").alias("n_words"))
+
+
+def previews(spark: SparkSession, sf_dir: str) -> Frame:
+    return table(spark, sf_dir, "documents").select("doc_id", preview("text").alias("preview"), F.length(preview("text", 500)).cast("bigint").alias("n_snippet"))
+
+
+def safe_names(spark: SparkSession, sf_dir: str) -> Frame:
+    """Page addresses as file names."""
+    return table(spark, sf_dir, "pages").select("page_id", safe_filename(F.concat("url", F.lit("/ The page..")).cast("string")).alias("a"), safe_filename("url").alias("b"))
+
+
+def upload_names(spark: SparkSession, sf_dir: str) -> Frame:
+    """Unique names and loader families of files."""
+    rows = files(spark, sf_dir)
+    name = safe_filename("source")
+    ext = extension("source")
+    return rows.select("doc_id", unique_name(name, "source", "content_hash").alias("unique_name"), stem(name).alias("stem"), ext.alias("ext"), family(ext).alias("family"))
+
+
+def chunk_loose(spark: SparkSession, sf_dir: str) -> Frame:
+    chunks = chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    return chunks.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def chunk_bounded(spark: SparkSession, sf_dir: str) -> Frame:
+    chunks = chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], bounded=True)
+    return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def sentence_words(spark: SparkSession, sf_dir: str) -> Frame:
+    return semantic.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pack_blocks(spark: SparkSession, sf_dir: str) -> Frame:
+    return semantic.block_rows(sentence_words(spark, sf_dir), "doc_id", target=150)
+
+
+def boundary_requests(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = sentence_words(spark, sf_dir)
+    out = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    return out.select("doc_id", "block", "offset", "n", F.md5(F.col("numbered").cast("binary")).alias("numbered_md5"))
+
+
+def _threes(rows: Frame) -> Frame:
+    """A boundary for every three sentences of a document."""
+    last = rows.groupBy("doc_id").agg(F.max("i").alias("last"))
+    starts = last.select("doc_id", "last", F.posexplode(F.sequence(F.lit(0), F.col("last"), F.lit(3))).alias("pos", "start"))
+    return starts.select("doc_id", F.lit(0).alias("block"), "pos", "start", F.least(F.col("start") + 2, F.col("last")).alias("end"), F.concat(F.lit("h"), F.col("pos").cast("string")).alias("header"))
+
+
+def merge_small_chunks(spark: SparkSession, sf_dir: str) -> Frame:
+    rows = sentence_words(spark, sf_dir)
+    return semantic.merged_boundaries(_threes(rows), rows, "doc_id", least=40)
+
+
+def boundary_chunks(spark: SparkSession, sf_dir: str) -> Frame:
+    """Chunks from replies that split every block in two; every third reply cannot be read."""
+    rows = sentence_words(spark, sf_dir)
+    requests = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    good = F.format_string('```json\n{"chunks": [{"start_sentence": 0, "end_sentence": %d, "header": "A"}, {"start_sentence": %d, "end_sentence": %d, "header": "B"}]}\n```', half, half + 1, F.col("n") - 1)
+    replies = requests.select("doc_id", "block", F.when(F.col("block") % 3 == 2, "sorry").otherwise(good).alias("response"))
+    found = semantic.parse_boundaries(requests, replies, "doc_id")
+    placed = found.select("doc_id", (F.col("block") * 10 + F.col("pos")).alias("pos"), "start", "end", "header")
+    out = semantic.boundary_texts(placed, rows, "doc_id")
+    text = semantic.embed_text(F.col("header"), F.col("chunk"))
+    return out.select("doc_id", "pos", "header", F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> Frame:
+    """All of it with no reply at all: every block falls back to one boundary."""
+    docs = table(spark, sf_dir, "documents")
+    none = spark.createDataFrame([], "doc_id bigint, block int, response string")
+    return semantic.chunk_semantically(docs, none, "doc_id", target=400, least=50).select("doc_id", "chunk_index", "header", F.length("chunk").alias("n_chars"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> Frame:
+    return table(spark, sf_dir, "pages").select("page_id", html_text_column(F.col("html")).alias("text"))
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> Frame:
+    """Documents as a file stream whose batches are chunked and appended to a table: chunks per document."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    base = f"{where}/stream-{uuid.uuid4().hex}"
+    arriving = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+
+    def index(batch: Frame, batch_id: int) -> None:
+        rows = batch.select("doc_id", F.lit(0).alias("user_id"), F.col("doc_id").cast("string").alias("source"), F.lit(".txt").alias("file_type"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(None).cast("timestamp_ntz").alias("file_mtime"), "text")
+        chunk_files(rows).write.mode("append").parquet(f"{base}/table/batch={batch_id}")
+
+    query = arriving.writeStream.foreachBatch(index).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/table").groupBy(F.col("source").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+NORMAL_SQL = r"norm AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM documents)"
+LOOSE_SQL = (
+    "WITH RECURSIVE "
+    + NORMAL_SQL
+    + """,
+fold AS (
+  SELECT doc_id, a, 0 AS i, '' AS cur, NULL::VARCHAR AS done FROM norm
+  UNION ALL
+  SELECT doc_id, a, i + 1,
+         CASE WHEN cur <> '' AND length(cur) + length(a[i + 1]) > 500 THEN right(cur, 100) ELSE cur END || ' ' || a[i + 1],
+         CASE WHEN cur <> '' AND length(cur) + length(a[i + 1]) > 500 THEN trim(cur, ' ') END
+  FROM fold WHERE i < len(a)),
+chunk AS (SELECT doc_id, i, 0 AS k, done AS chunk FROM fold WHERE done IS NOT NULL
+          UNION ALL SELECT doc_id, i, 1, trim(cur, ' ') FROM fold WHERE i = len(a) AND trim(cur, ' ') <> '')"""
+)
+#: Sentences of the raw text, trimmed, without empty ones, and their words.
+SENTENCES_SQL = r"""raw AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS a FROM documents),
+sent AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS i FROM raw),
+counted AS (SELECT *, len(regexp_extract_all(sentence, '\S+')) AS words FROM sent),
+lists AS (SELECT doc_id, list(words ORDER BY i) AS w FROM counted GROUP BY doc_id),
+pack AS (
+  SELECT doc_id, w, 0 AS i, 0 AS start, 0 AS total, NULL::INT AS first, NULL::INT AS last FROM lists
+  UNION ALL
+  SELECT doc_id, w, i + 1, CASE WHEN cut THEN i ELSE start END, CASE WHEN cut THEN 0 ELSE total END + w[i + 1], CASE WHEN cut THEN start END, CASE WHEN cut THEN i - 1 END
+  FROM (SELECT *, total > 0 AND total + w[i + 1] > 150 AS cut FROM pack WHERE i < len(w))),
+ranges AS (SELECT doc_id, first, last FROM pack WHERE first IS NOT NULL UNION ALL SELECT doc_id, start, i - 1 FROM pack WHERE i = len(w)),
+blocks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS block, first::INT AS first, last::INT AS last FROM ranges)"""
+MERGE_SQL = (
+    f"WITH RECURSIVE {SENTENCES_SQL}"
+    + """,
+three AS (SELECT doc_id, w, unnest(range(0, len(w), 3)) AS s FROM lists),
+bounds AS (SELECT doc_id, any_value(w) AS w, list(s ORDER BY s) AS ss FROM three GROUP BY doc_id),
+merge AS (
+  SELECT doc_id, w, ss, 1 AS k, 0 AS start, least(2, len(w) - 1) AS stop, 'h0' AS header, NULL::STRUCT(s BIGINT, e BIGINT, h VARCHAR) AS done FROM bounds
+  UNION ALL
+  SELECT doc_id, w, ss, k + 1, CASE WHEN small THEN start ELSE ss[k + 1] END, least(ss[k + 1] + 2, len(w) - 1), CASE WHEN small THEN header || '; ' ELSE '' END || 'h' || k,
+         CASE WHEN NOT small THEN {'s': start, 'e': stop, 'h': header} END
+  FROM (SELECT *, list_sum(w[start + 1 : stop + 1]) < 40 AS small FROM merge WHERE k < len(ss))),
+rows AS (SELECT doc_id, done.s AS s, done.e AS e, done.h AS h FROM merge WHERE done IS NOT NULL UNION ALL SELECT doc_id, start, stop, header FROM merge WHERE k = len(ss))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS pos, s::INT AS start, e::INT AS "end", h AS header FROM rows"""
+)
+SAFE = r"regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({}, '^.*/', ''), '[^\p{{L}}\p{{M}}\p{{N}}_\s.\-]', '', 'g'), ' ', '_'), '\.+', '.', 'g'), '^[. ]+|[. ]+$', '', 'g')"
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_sentences, word_counts, previews, safe_names, upload_names, chunk_loose, chunk_bounded, sentence_words, pack_blocks, boundary_requests, merge_small_chunks, boundary_chunks, semantic_chunks,
+        html_text, stream_ingest,
+    )
+}
+SQL = {
+    "normalize_sentences": f"WITH {NORMAL_SQL} SELECT doc_id, unnest(list_transform(a, lambda s: md5(s))) AS sentence_md5, generate_subscripts(a, 1) - 1 AS i FROM norm",
+    "word_counts": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words FROM documents",
+    "previews": "SELECT doc_id, left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS preview, CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END::BIGINT AS n_snippet FROM documents",
+    "safe_names": f"SELECT page_id, {SAFE.format(chr(39) + ' The page..' + chr(39))} AS a, {SAFE.format('url')} AS b FROM pages",
+    "upload_names": f"""WITH {FILES_SQL} SELECT doc_id, doc_id || '_' || left(sha256(source || content_hash), 8) || coalesce(file_type, '') AS unique_name, doc_id::VARCHAR AS stem, coalesce(file_type, '') AS ext,
+       CASE file_type WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' WHEN '.docx' THEN 'document' END AS family FROM files""",
+    "chunk_loose": f"{LOOSE_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS chunk_index, md5(chunk) AS chunk_md5 FROM chunk",
+    "sentence_words": f"WITH RECURSIVE {SENTENCES_SQL} SELECT doc_id, i::INT AS i, sentence, words::INT AS words FROM counted",
+    "pack_blocks": f"WITH RECURSIVE {SENTENCES_SQL} SELECT doc_id, block, first, last FROM blocks",
+    "boundary_requests": f"""WITH RECURSIVE {SENTENCES_SQL} SELECT doc_id, block, any_value(first) AS "offset", count(*)::INT AS n, md5(string_agg('[' || (i - first) || '] ' || sentence, chr(10) ORDER BY i)) AS numbered_md5
+FROM blocks JOIN counted USING (doc_id) WHERE i BETWEEN first AND last GROUP BY doc_id, block""",
+    "merge_small_chunks": MERGE_SQL,
+    "boundary_chunks": f"""WITH RECURSIVE {SENTENCES_SQL},
+b AS (SELECT doc_id, block, first, last, first + (last - first) // 2 AS mid FROM blocks),
+p AS (SELECT doc_id, block * 10 AS pos, first AS s, last AS e, 'Content section' AS header FROM b WHERE block % 3 = 2
+      UNION ALL SELECT doc_id, block * 10, first, mid, 'A' FROM b WHERE block % 3 <> 2 UNION ALL SELECT doc_id, block * 10 + 1, mid + 1, last, 'B' FROM b WHERE block % 3 <> 2)
+SELECT doc_id, pos, header, md5(header || chr(10) || chr(10) || coalesce(string_agg(sentence, ' ' ORDER BY i), '')) AS text_md5 FROM p LEFT JOIN counted USING (doc_id) WHERE i BETWEEN s AND e GROUP BY doc_id, pos, header
+UNION ALL SELECT doc_id, pos, header, md5(header || chr(10) || chr(10)) FROM p WHERE s > e""",
+    "stream_ingest": f"{LOOSE_SQL} SELECT doc_id, count(*) AS n_chunks FROM chunk GROUP BY doc_id",
+}
