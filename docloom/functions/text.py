@@ -28,7 +28,7 @@ def split_sentences(text: Column | str) -> Column:
 
 def sentence_tokens(text: Column | str) -> Column:
     """The sentences without blanks at their ends, empty ones left out."""
-    return F.filter(F.transform(split_sentences(text), F.trim), lambda s: s != "")
+    return F.filter(F.transform(split_sentences(text), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def word_count(text: Column | str) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.schemas import CHUNK_COLUMNS
+from docloom.schemas import CHUNK_COLUMNS, CHUNKS
 
 NEW, MODIFIED, UNCHANGED, DELETED = "new", "modified", "unchanged", "deleted"
 FILE = ["user_id", "source"]
@@ -118,5 +119,6 @@ def cascade_delete(chunks: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def chunk_rows(rows: DataFrame) -> DataFrame:
-    """The stored columns, null where ``rows`` lacks one."""
-    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in CHUNK_COLUMNS])
+    """The stored columns in their types, null where ``rows`` lacks one."""
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(CHUNKS).fields}
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in CHUNK_COLUMNS])

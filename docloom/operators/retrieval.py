@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,28 +153,35 @@ def file_search(candidates: DataFrame, limit: int = 10, digits: int = 4, pool: i
     return counted.where(F.col("place") <= limit).select("query_id", "place", "source", F.round("best", digits).alias("similarity"), "best_chunk", "chunk_count", "total_files")
 
 
-def hyperplane_buckets(rows: DataFrame, dim: int, tables: int, bits: int, seed: int = 11) -> DataFrame:
-    """``rows`` exploded to one row per table with the signs of its vector against random hyperplanes as ``bucket``."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).tolist()
+def hyperplane_buckets(rows: DataFrame, dim: int, tables: int, bits: int, probes: int = 0, seed: int = 11) -> DataFrame:
+    """``rows`` exploded to one row per table with the signs of its vector against random hyperplanes as ``bucket``.
 
-    def sign(plane: list[float], bit: int):
-        dot = F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.when(dot >= 0, F.lit(1 << bit)).otherwise(F.lit(0))
+    With ``probes`` 1 also the buckets that differ in one sign.
+    """
+    flips = [0] + [1 << b for b in range(bits)] * (probes > 0)
+
+    @F.pandas_udf("array<int>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        for vectors in batches:
+            signs = np.array(vectors.tolist(), np.float64).reshape(-1, dim) @ planes >= 0
+            yield pd.Series(list(signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))), index=vectors.index)
 
-    codes = [sum((sign(p, b) for b, p in enumerate(table)), F.lit(0)) for table in planes]
-    return rows.select("*", F.posexplode(F.array(*codes)).alias("table", "bucket"))
+    placed = rows.withColumn("_codes", codes("embedding")).select("*", F.posexplode("_codes").alias("table", "_code")).drop("_codes")
+    flipped = F.array(*[F.col("_code").bitwiseXOR(F.lit(x)) for x in flips])
+    return placed.select("*", F.explode(flipped).alias("bucket")).drop("_code")
 
 
-def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES, tables: int = 12, bits: int = 4, skip_self: bool = False) -> DataFrame:
+def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES, tables: int = 16, bits: int = 6, skip_self: bool = False) -> DataFrame:
     """Like ``top_k`` with a fixed k, but only chunks that share a hyperplane bucket of the user are scored.
 
-    Buckets are met by an equi-join on (user, table, bucket); more tables raise the recall, more bits lower the work.
+    Buckets are met by an equi-join on (user, table, bucket), to which questions bring the buckets next to
+    theirs too. More tables raise the recall, more bits lower the work; with these defaults neighbours at a
+    cosine of 0.25 are found with a probability of about 0.97.
     """
-    dim = queries.agg(F.max(F.size("embedding"))).first()[0]
-    if dim is None:
-        dim = 1
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
     left = hyperplane_buckets(chunks.where(F.size("embedding") == dim).select("user_id", "source", "chunk_index", "chunk_id", "embedding"), dim, tables, bits).drop("embedding")
-    right = hyperplane_buckets(queries.where(F.size("embedding") == dim).select("query_id", "user_id", "embedding"), dim, tables, bits).drop("embedding")
+    right = hyperplane_buckets(queries.where(F.size("embedding") == dim).select("query_id", "user_id", "embedding"), dim, tables, bits, probes=1).drop("embedding")
     pairs = left.join(right, ["user_id", "table", "bucket"]).select("query_id", "user_id", "chunk_id").distinct()
     if skip_self:
         pairs = pairs.where("query_id <> chunk_id")

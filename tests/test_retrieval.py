@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.operators import retrieval as r
+from docloom.plans.corpora import questions, vectors
+
+
+def candidates(spark, sims):
+    rows = [(q, k + 1, float(s)) for q, list_ in sims.items() for k, s in enumerate(list_)]
+    return spark.createDataFrame(rows, "query_id bigint, rank int, similarity double")
+
+
+def test_cut_off_golden(spark):
+    sims = {1: [0.90, 0.85, 0.74, 0.70], 2: [0.60, 0.59], 3: [0.80, 0.70], 4: [0.70, 0.66, 0.64]}
+    kept = r.cut_off(candidates(spark, sims))
+    found = {}
+    for row in kept.orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append((row["similarity"], row["low_confidence"]))
+    assert found == {1: [(s, False) for s in sims[1][: 2 if 0.85 - 0.74 > 0.10 else 4]], 2: [(0.6, True)], 3: [(0.8, False)], 4: [(0.7, False), (0.66, False)]}
+    asked = spark.createDataFrame([(q,) for q in (1, 2, 9)], "query_id bigint")
+    assert dict(map(tuple, r.low_confidence(asked, kept).collect())) == {1: False, 2: True, 9: True}
+
+
+def test_candidate_limit_golden(spark):
+    rows = spark.createDataFrame([(n,) for n in (0, 1, 3, 10, 39, 40, 100)], "n int")
+    assert [x[1] for x in sorted(rows.select("n", r.candidate_limit(F.col("n"))).collect())] == [1, 1, 1, 5, 19, 20, 20]
+
+
+CHUNKS = "user_id int, source string, chunk_index int, chunk_id bigint, chunk string, header string, file_mtime timestamp_ntz"
+
+
+def test_expansion_golden(spark):
+    rows = [(1, "a", i, i, f"t{i}", None, None) for i in range(6)] + [(2, "a", i, 10 + i, "other", None, None) for i in range(6)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    hits = spark.createDataFrame([(7, 1, "a", 1, 0.9), (7, 1, "a", 2, 0.8), (8, 1, "a", 0, 0.5)], "query_id bigint, user_id int, source string, chunk_index int, similarity double")
+    out = sorted((x["query_id"], x["chunk_index"], x["similarity"], x["chunk"]) for x in r.expand_context(hits, chunks).collect())
+    assert out == [(7, 0, 0.0, "t0"), (7, 1, 0.9, "t1"), (7, 2, 0.8, "t2"), (7, 3, 0.0, "t3"), (8, 0, 0.5, "t0"), (8, 1, 0.0, "t1")]
+    assert r.expand_context(hits, chunks, 0).collect() == hits.collect()
+
+
+@pytest.mark.parametrize("query_bytes", [r.QUERY_BYTES, 3000])
+def test_top_k_equals_brute_force(spark, sf_dir, query_bytes):
+    chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
+    found = {}
+    for row in r.top_k(chunks.repartition(5), asked, skip_self=True, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append(row["chunk_id"])
+    stored = chunks.select("chunk_id", "user_id", "embedding").collect()
+    for q in asked.collect():
+        own = [(c["chunk_id"], np.array(c["embedding"], float)) for c in stored if c["user_id"] == q["user_id"]]
+        v = np.array(q["embedding"], float)
+        sims = {i: float(e @ v / np.linalg.norm(e) / np.linalg.norm(v)) for i, e in own if i != q["query_id"]}
+        k = max(min(20, len(own) // 2), 1)
+        assert found[q["query_id"]] == sorted(sims, key=lambda i: -sims[i])[:k]
+
+
+def test_top_k_leaves_out_unusable_vectors(spark):
+    rows = [(1, "a", 0, 0, [0.0, 0.0]), (1, "a", 1, 1, None), (1, "a", 2, 2, [1.0]), (1, "a", 3, 3, [1.0, 1.0]), (1, "a", 4, 4, [1.0, 1.0]), (1, "b", 0, 5, [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "user_id int, source string, chunk_index int, chunk_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(9, 1, "q", [1.0, 1.0]), (8, 2, "q", [1.0, 1.0])], "query_id bigint, user_id int, question string, embedding array<float>")
+    out = r.top_k(chunks, asked).orderBy("rank").collect()
+    assert [(x["query_id"], x["chunk_id"]) for x in out] == [(9, 3), (9, 4), (9, 5)]
+
+
+def test_approximate_search_recall(spark, sf_dir):
+    chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
+    exact = {(x["query_id"], x["chunk_id"]) for x in r.top_k(chunks, asked, skip_self=True).collect()}
+    near = {(x["query_id"], x["chunk_id"]) for x in r.approximate_top_k(chunks, asked, skip_self=True).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_file_search_golden(spark):
+    rows = [(1, "f1", 0.9, 1, 1), (1, "f2", 0.8, 2, 2), (1, "f1", 0.7, 3, 3)]
+    found = r.file_search(spark.createDataFrame(rows, "query_id bigint, source string, similarity double, rank int, chunk_id bigint"), limit=1).collect()
+    assert [tuple(x) for x in found] == [(1, 1, "f1", 0.9, 1, 2, 2)]
