@@ -53,14 +53,13 @@ def collided(docs: DataFrame, text: str = "text") -> DataFrame:
 def add_fingerprints(rows: DataFrame, columns: dict[str, str], ties: DataFrame | None) -> DataFrame:
     """``rows`` with, for each text column, its fingerprint under the given name; ``ties`` as ``collided`` gives them, None if there are none."""
     for text, name in columns.items():
-        canon = canonical(F.col(text))
         if ties is None:
-            rows = rows.withColumn(name, digest(*wide_hash(canon)))
+            rows = rows.withColumn(name, digest(*wide_hash(canonical(F.col(text)))))
             continue
-        known = ties.select("h1", "h2", "canon", F.concat(digest(F.col("h1"), F.col("h2")), F.lit("-"), F.col("rank")).alias("ranked"))
-        h1, h2 = wide_hash(canon)
-        same = (h1 == known["h1"]) & (h2 == known["h2"]) & (canon == known["canon"])
-        rows = rows.join(known, same, "left").withColumn(name, F.coalesce("ranked", digest(*wide_hash(canon)))).drop("h1", "h2", "canon", "ranked")
+        known = ties.select("h1", "h2", F.col("canon").alias("_canon"), F.concat(digest(F.col("h1"), F.col("h2")), F.lit("-"), F.col("rank").cast("string")).alias("_ranked"))
+        hashed = rows.withColumn("_canon", canonical(F.col(text))).select("*", *wide_hash(F.col("_canon")))
+        found = hashed.join(known, ["h1", "h2", "_canon"], "left")
+        rows = found.withColumn(name, F.coalesce("_ranked", digest(F.col("h1"), F.col("h2")))).drop("h1", "h2", "_canon", "_ranked")
     return rows
 
 
@@ -75,7 +74,7 @@ def with_next(docs: DataFrame, value: str, id_col: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(value).alias("value")).withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = rows.where("id IS NOT NULL").agg(F.percentile_approx("at", shares, 10 * ranges)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows).drop("at")
     heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))
     order = Window.orderBy(F.desc("bucket"))
