@@ -289,8 +289,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(k, v) for k, v in added.items()]])
     rows = materialise(source.mapInArrow(set_rows(n, runs), schema), "sets")
 
+    first = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))), F.min(F.struct("id", "row")))
     sets = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row")).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths"))
+        F.count(F.lit(1)).alias("copies"), first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths"))
     sets = materialise(sets, "distinct-sets")
 
     narrow = sets.select("digest", F.inline("paths"))
