@@ -38,7 +38,7 @@ LOOKALIKES = {
 #: Digits and signs written for letters.
 STANDINS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
-STANDIN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|\b[@$](?=[^\W\d_])|(?<![^\W])[013457]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457@$]+(?!\w)")
+STANDIN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<!\w)[@$](?=[^\W\d_])|(?<!\w)[013457]+(?=[^\W\d_][^\W_])|(?<=[^\W\d_]{2})[013457@$]+(?!\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 TABLE = str.maketrans(LOOKALIKES)
 STANDIN_TABLE = str.maketrans(STANDINS)
