@@ -101,10 +101,10 @@ def upsert_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
     dealt = fresh.withColumn("_range", F.pmod(F.xxhash64("api_key"), F.lit(ranges)))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     start = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    offsets = sizes.withColumn("_start", F.coalesce(start, F.lit(0))).drop("_n").crossJoin(top)
+    top = users.agg(F.max("id")).first()[0] or 0
+    offsets = sizes.withColumn("_start", F.coalesce(start, F.lit(0)) + F.lit(top)).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("api_key"))
-    added = dealt.withColumn("_rank", rank).join(F.broadcast(offsets), "_range").select((F.col("_top") + F.col("_start") + F.col("_rank")).alias("id"), "name", "api_key")
+    added = dealt.withColumn("_rank", rank).join(F.broadcast(offsets), "_range").select((F.col("_start") + F.col("_rank")).alias("id"), "name", "api_key")
     return users.select("id", "name", "api_key").unionByName(added)
 
 

@@ -15,7 +15,6 @@ MAX_CANDIDATES, MAX_CORPUS_SHARE = 20, 0.5
 MIN_SIMILARITY, MAX_DROP, RADIUS = 0.65, 0.10, 1
 #: Questions broadcast at once; more are worked off in blocks of this size.
 QUERY_BYTES = 64 << 20
-RANK = ["query_id", "rank"]
 
 
 def corpus_size(chunks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -126,9 +126,8 @@ def upsert_users(spark: SparkSession, sf_dir: str) -> Frame:
     people = _users(spark, sf_dir)
     known = people.where("id % 2 = 0")
     out = incremental.upsert_users(known, people.select("name", "api_key"))
-    top = known.agg(F.max("id").alias("top"))
-    fresh = F.col("id") > F.col("top")
-    return out.join(F.broadcast(top)).groupBy(fresh.alias("fresh")).agg(F.count(F.lit(1)).alias("n_users"), F.count_distinct("id").alias("n_ids"), F.min("api_key").alias("first_key"), F.max("id").alias("last_id"))
+    fresh = F.col("id") > F.lit(known.agg(F.max("id")).first()[0])
+    return out.groupBy(fresh.alias("fresh")).agg(F.count(F.lit(1)).alias("n_users"), F.count_distinct("id").alias("n_ids"), F.min("api_key").alias("first_key"), F.max("id").alias("last_id"))
 
 
 def user_ids(spark: SparkSession, sf_dir: str) -> Frame:
