@@ -101,7 +101,8 @@ def dedup_lines(
     store = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
         store.add(keys.where(F.col("batch") == k))
-    repeated = store.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
+    # Written, so that both sides of the join are exchanges of their own and Spark can split a hot line.
+    repeated = materialise(store.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id"), "repeated-lines")
     gone = keys.join(repeated, KEY).where(~F.col("id").eqNullSafe(F.col("last_id")))
     per_row = gone.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
 
