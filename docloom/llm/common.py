@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -37,6 +38,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def content_key(value: object) -> str:
+    """A digest of a model's content: workers keep what they built from it under this key."""
+    return hashlib.sha256(repr(value).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def id_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

@@ -17,14 +17,13 @@ occurrences count a word once; repeated documents are searched one by one; other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import sha256
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import free_name, materialise
+from docloom.llm.common import content_key, free_name, materialise
 
 WINDOW, BLOCK = 10, 2
 #: A-Z become a-z, every other ASCII character that is no letter or digit a space; UTF-8 bytes above 7F stay.
@@ -100,15 +99,14 @@ def tables_of(windows: list[tuple[str | None, tuple[bytes, ...]]]) -> list[WuMan
     return [WuManber(n, {k: frozenset(v) for k, v in found.items()}) for n, found in sorted(by_length.items())]
 
 
-_built: dict[object, list[WuManber]] = {}
+_built: dict[str, list[WuManber]] = {}
 
 
-def finder(shared: Broadcast) -> Callable:
+def finder(shared: Broadcast, key: str) -> Callable:
     """The search for the broadcast windows as a function of a text column."""
 
     @F.pandas_udf(MATCH)
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = sha256(repr(shared.value).encode()).digest()
         if key not in _built:
             _built.clear()
             _built[key] = tables_of(shared.value)
@@ -124,7 +122,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     name = free_name(docs, "matches")
     out = None
     for shard in shards(items, max_windows):
-        matches = finder(docs.sparkSession.sparkContext.broadcast(shard))
+        matches = finder(docs.sparkSession.sparkContext.broadcast(shard), content_key(shard))
         if out is None:
             out = docs.withColumn(name, matches(F.col(text)))
         else:

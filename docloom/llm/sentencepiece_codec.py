@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import free_name
+from docloom.llm.common import content_key, free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -214,7 +214,7 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_loaded: dict[tuple, Pieces] = {}
+_loaded: dict[str, Pieces] = {}
 
 
 def vocabulary(df: DataFrame, path: str) -> tuple:
@@ -225,14 +225,14 @@ def vocabulary(df: DataFrame, path: str) -> tuple:
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with the columns ids and, with ``check``, whether decoding them gives the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, model))
+    rows = vocabulary(docs, model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(rows), content_key(rows)
     ids, same = free_name(docs, "ids"), free_name(docs, "round_trip")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(same, T.BooleanType())] if check else []))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, byte_ids, unknown = shared.value
-        key = (len(rows), rows[:1], rows[-1:], byte_ids, unknown)
         if key not in _loaded:
+            rows, byte_ids, unknown = shared.value
             _loaded.clear()
             _loaded[key] = Pieces([r[:2] for r in rows], [r[2] for r in rows], list(byte_ids) or None, unknown)
         codec = _loaded[key]
