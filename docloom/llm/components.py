@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a minimum per node and a join, both of which Spark combines or splits for hot nodes; no
-neighbour list is ever collected. Each round is written to the shared folder, so lineage stays short.
+neighbour list is ever collected. Minima are written before they are joined, so that both sides of the join
+are exchanges of their own and Spark can split a hot node. Each round is written to the shared folder, so
+lineage stays short.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

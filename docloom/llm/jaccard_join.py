@@ -125,8 +125,11 @@ def set_rows(n: int, runs: int):
 
 
 def sized(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key others share, with the number ``n`` of rows of the key."""
-    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), key)
+    """``rows`` whose key others share, with the number ``n`` of rows of the key.
+
+    The counts are written first: a join right above an aggregate on the same key would keep a hot key in one task.
+    """
+    return rows.join(materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes"), key)
 
 
 def block_pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -310,8 +313,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     classed = sets.select("digest", "copies", "first").join(linked, "digest", "left").select("digest", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "digest").alias("root"))
     known = "CASE WHEN first.id IS NOT NULL THEN first END"
-    heads = classed.groupBy("root").agg(F.coalesce(F.min(F.expr(known)), F.min("first")).alias("head"))
-    final = classed.join(heads, "root").select("digest", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "head")
+    heads = materialise(classed.groupBy("root").agg(F.coalesce(F.min(F.expr(known)), F.min("first")).alias("head")), "heads")
+    final = materialise(classed.join(heads, "root").select("digest", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "head"), "classes")
     out = rows.select("id", "row", "digest").join(final, "digest", "left")
     keeper = F.col("digest").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("row") == F.col("head.row")))
     return out.select("id", "row", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), keeper.alias("keeper"))
