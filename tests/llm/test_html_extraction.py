@@ -22,6 +22,10 @@ def text(page):
         ("<article><p>t</p><section id=comments><p>c</p></section><div class=\"cookie-notice\">n</div></article>", "t"), ("<article><p>a &lt;b&gt; &#233; &unknown;</p></article>", "a <b> é &unknown;"),
         ("<article><div class=ad>unclosed<p>x</article>", ""), ("<article><p>t</p><div class=sidebar>s</article><p>after</p>", "t"), ("<ARTICLE><P CLASS=x>Up</P></ARTICLE>", "Up"),
         ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"), ("<article><p title='a > b'>q</p></article>", "q"), ("<article>one</article><article class='comment'>two</article>", "one"),
+        ("<article class='post has-sidebar'>t</article>", "t"), ("<div class='wrap with-sidebar'><p>s</p><article><p>t</p></article></div>", "t"), ("<form id=f><nav>n</nav><article>t</article></form>", "t"),
+        ("<aside><article>teaser</article></aside><p>t</p>", "t"), ("<article><div class=entry-header><h1>T</h1><span>by</span></div><p>t</p></article>", "T\n\nt"),
+        ("<article><header><h2>T</h2><p>by</p></header><p>t</p></article>", "T\n\nt"), ("<article><p>t</p><p hidden>h</p><div style='display: none'>h</div></article>", "t"),
+        ("<div class=header>site</div><p>t</p>", "t"), ("<article><p title=\"broken>t</p></article>", "t"), ("<p>a</p>" + "<a" * 20_000, "a\n\n" + "<a" * 20_000),
     ],
 )
 def test_pages(page, want):
