@@ -39,14 +39,17 @@ def digest(h1: Column, h2: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in (h1, h2)])
 
 
-def collided(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, canon, rank) of every canonical text whose wide hash another canonical text shares: none, as a rule."""
+def collided(docs: DataFrame, text: str = "text") -> DataFrame | None:
+    """(h1, h2, canon, rank) of every canonical text whose wide hash another canonical text shares; None if there is none, as a rule."""
     canon = docs.select(canonical(F.col(text)).alias("canon")).select("canon", *wide_hash(F.col("canon")))
     several = materialise(canon.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "several")
     few = several.count() <= BROADCAST_ROWS
     members = canon.join(F.broadcast(several) if few else several, ["h1", "h2"], "left_semi")
-    differ = members.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least <> most").select("h1", "h2")
-    each = members.join(differ, ["h1", "h2"], "left_semi").distinct()
+    least_most = members.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    differ = materialise(least_most.where("least <> most").select("h1", "h2"), "differ")
+    if differ.isEmpty():
+        return None
+    each = canon.join(differ, ["h1", "h2"], "left_semi").distinct()
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("canon")))
 
 
@@ -92,8 +95,7 @@ def op9_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last half replaced by as many code points of the next document, by descending id.
     Likeness is 1 where fingerprints are equal, else 0: the digest is exact.
     """
-    shared = collided(docs)
-    ties = None if shared.isEmpty() else shared
+    ties = collided(docs)
     rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     half = F.floor(F.char_length("value") / 2).cast("int")
     edited = F.concat(F.substring("value", F.lit(1), F.char_length("value") - half), F.substring("following", F.lit(1), half))
