@@ -4,8 +4,10 @@ Pages are sorted by host and URL path; each is paired with the neighbour of its
 longer prefix with its own. The text lines (blocks) of the two are aligned by their longest common
 subsequence, and lines they share are deleted as the site's template. Two structural rules go with it: what
 stands in an element made for menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-or comments is never text, and lines inside a declared main element (article, main) are never deleted, so an
-article that two pages repeat stays whole. Where a page declares a main element, nothing outside it is text.
+or comments, by name or by the words of its class, id, role or label, or that is hidden, is never text (of a
+header inside a main element the headings stay; a marked wrapper ends where a main element begins), and lines
+inside a declared main element (article, main) are never deleted, so an article that two pages repeat stays
+whole. Where a page declares a main element, nothing outside it is text.
 
 The sorted order is cut into ranges at sampled keys (a bounded number goes to the driver), so a host of any
 size is spread over tasks; the pages at the ends of a range are copied into the next, which keeps every
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -43,19 +45,32 @@ OUTSIDE = frozenset("nav aside footer form head header menu button select dialog
 MAIN = ("article", "main")
 #: Words of class, id, role or label that mark what is no article.
 MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer foot bottom comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations more outbrain taboola pagination pager toolbar search complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations outbrain taboola pagination pager toolbar search complementary contentinfo".split()
 )
+COMMENTS = frozenset("comment comments commentlist reply replies respond discussion".split())
 WORDS = re.compile(r"[a-z0-9]+")
+HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
 COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, safe array<boolean>, text binary"
 RESULT_COLUMNS = ["page_id", "url", "text"]
 SAMPLED_KEYS = 20
 
 
-def marked(attributes: str) -> bool:
-    for match in NAMES.finditer(attributes):
-        if not MARKED.isdisjoint(WORDS.findall((match[1] or match[2] or match[3] or "").lower())):
-            return True
-    return False
+def marks(attributes: str) -> set[str]:
+    """The telling words of class, id, role and label; ``hidden`` for what is not shown."""
+    found = {w for m in NAMES.finditer(attributes) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in MARKED}
+    return found | {"hidden"} if HIDDEN.search(attributes) else found
+
+
+def left_out(name: str, attributes: str) -> str:
+    """How an element is left out: ``header`` (headings in a main element stay), another reason, or not at all (empty)."""
+    found = marks(attributes) if attributes else set()
+    if name in MAIN:
+        return "comments" if found & COMMENTS or "hidden" in found else ""
+    if name in ("html", "body"):
+        return ""
+    if name == "header" or found and found <= {"header", "masthead"}:
+        return "header"
+    return name if name in OUTSIDE else "marked" if found else ""
 
 
 def lines_of(html: str | None) -> list[tuple[str, bool]]:
@@ -63,7 +78,7 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
     kinds: dict[str, list[tuple[str, bool]]] = {"article": [], "main": [], "": []}
     parts: list[str] = []
     depth = {"article": 0, "main": 0}
-    skip, nested, heading = "", 0, 0
+    skip, why, nested, heading = "", "", 0, 0
     at = 0
 
     def close() -> None:
@@ -85,12 +100,13 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         closing = bool(token[2])
         if skip:
             inside = depth["article"] or depth["main"]
-            if skip == "header" and inside and re.fullmatch("h[1-6]", name):
+            opens_main = not closing and name in MAIN and not inside and why in ("marked", "form", "header") and skip != "header" and not left_out(name, token[4])
+            if why == "header" and inside and re.fullmatch("h[1-6]", name):
                 close()
                 heading = 0 if closing else 1
             if name == skip:
                 nested += -1 if closing else 0 if token[4].rstrip().endswith("/") else 1
-            if nested == 0 or closing and name in MAIN and depth[name] and name != skip or closing and name in ("body", "html"):
+            if opens_main or nested == 0 or closing and name in MAIN and depth[name] and name != skip or closing and name in ("body", "html"):
                 parts.clear()
                 skip, heading = "", 0
                 if name not in MAIN:
@@ -101,7 +117,7 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
             close()
         elif name == "br":
             parts.append(" ")
-        if not closing and name not in VOID and (name in OUTSIDE or name not in ("html", "body") and token[4] and marked(token[4])):
+        if not closing and name not in VOID and (why := left_out(name, token[4])):
             close()
             skip, nested, heading = name, 1, 0
             continue
