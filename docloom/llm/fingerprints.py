@@ -23,6 +23,7 @@ from docloom.llm.common import materialise
 
 #: Groups with several members are broadcast up to this many, 16 bytes each; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+SAMPLED_IDS = 50
 
 
 def canonical(text: Column) -> Column:
@@ -75,8 +76,10 @@ def with_next(docs: DataFrame, value: str, id_col: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(value).alias("value")).withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.where("id IS NOT NULL").agg(F.percentile_approx("at", shares, 10 * ranges)).first()[0] or []
+    # Quantiles of a hash sample of about SAMPLED_IDS ids a range, so that what one task merges is bounded.
+    every = max(1, docs.count() // (SAMPLED_IDS * ranges))
+    sampled = rows.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
+    cuts = sampled.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows).drop("at")
     heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))
