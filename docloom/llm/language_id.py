@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import free_name, id_bucket
+from docloom.llm.common import content_key, free_name, id_bucket
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -84,9 +84,13 @@ def fit_profiles(
     hashes lowest, and of those the ``profile_words`` most frequent words. Callers filter ``docs`` to the
     rows that may be learnt from.
     """
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").withColumn("dealt", F.xxhash64("id"))
+    # All but about four times the sample goes by a bound on the hash, so ranking sees few rows however large the table is.
+    shares = {r["lang"]: min(1.0, 4 * sample_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
+    bounds = [F.when(F.col("lang") == k, F.lit(int(-(2**63) + share * (2**64 - 1)))) for k, share in shares.items() if share < 1]
+    near = labelled.where(F.col("dealt") <= F.coalesce(*bounds, F.lit(2**63 - 1))) if bounds else labelled
     rank = Window.partitionBy("lang").orderBy("dealt", "id")
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL")
-    chosen = labelled.withColumn("dealt", F.xxhash64("id")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample_docs)
+    chosen = near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample_docs)
     ids = sorted({r[0] for r in chosen.select("id").collect()})
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isin(ids)).where("lang IS NOT NULL")
     counts = texts.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), r'\p{L}+', 0)")).alias("word")).groupBy("lang", "word").count()
@@ -146,16 +150,16 @@ class Identifier:
         return self.langs[best], float(1 / np.exp2(np.maximum(cost[best] - cost, -1000)).sum())
 
 
-_built: dict[int, Identifier] = {}
+_built: dict[str, Identifier] = {}
 
 
 def language(profiles: dict[str, list[str]], text: Column, df: DataFrame) -> Column:
     """A struct column (lang_pred, score) for ``text``; the profiles, of bounded size, are broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(profiles)
+    key = content_key(profiles)
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = hash(tuple((k, len(v), v[0] if v else "", v[-1] if v else "") for k, v in shared.value.items()))
         model = _built.get(key)
         if model is None:
             _built.clear()
