@@ -4,10 +4,11 @@ Pages are sorted by host and URL path; each is paired with the neighbour of its
 longer prefix with its own. The text lines (blocks) of the two are aligned by their longest common
 subsequence, and lines they share are deleted as the site's template. Two structural rules go with it: what
 stands in an element made for menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-or comments, by name or by the words of its class, id, role or label, or that is hidden, is never text (of a
-header inside a main element the headings stay; a marked wrapper ends where a main element begins), and lines
-inside a declared main element (article, main) are never deleted, so an article that two pages repeat stays
-whole. Where a page declares a main element, nothing outside it is text.
+or comments, by name or by whole names in its class or role (outside main elements also its id or label; of
+headings and paragraphs, only adverts), or that is hidden, is never text (of a header inside a main element the
+headings stay; a marked wrapper ends where a main element begins), and lines inside a declared main element
+(article, main) are never deleted, so an article that two pages repeat stays whole. Where a page declares main
+elements, nothing outside them is text. End tags that HTML lets a page omit are implied.
 
 The sorted order is cut into ranges at sampled keys (a bounded number goes to the driver), so a host of any
 size is spread over tasks; the pages at the ends of a range are copied into the next, which keeps every
@@ -36,7 +37,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^<>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -47,23 +48,68 @@ MAIN = ("article", "main")
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations outbrain taboola pagination pager toolbar search complementary contentinfo".split()
 )
+#: Words that say nothing of their own in a name with a marked word (``ad-slot``, ``comments-area``).
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons container content entry form global group holder icon icons inline inner item items left link links list main module outer page panel post posts primary right secondary section site slot thread top unit wrap wrapper".split()
+)
 COMMENTS = frozenset("comment comments commentlist reply replies respond discussion".split())
+#: What ids tell inside a main element, where they are mostly anchors of its headings and sections.
+COMMENT_IDS = frozenset("comment comments commentlist disqus".split())
+#: What classes tell of headings and paragraphs.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+TABLE = frozenset("caption colgroup table tbody td tfoot th thead tr".split())
 WORDS = re.compile(r"[a-z0-9]+")
-HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
+#: Elements whose end tag may be missing: the start tags that end them, and the elements that these do not look beyond.
+CELLS, ROWS = ("td", "th"), ("tbody", "tfoot", "thead")
+SCOPE = ("button", "caption", "object", "table", "td", "th", "article", "main")
+ITEM_SCOPE = tuple(BLOCKS - {"address", "dd", "div", "dt", "li", "p"}) + ("button", "object")
+IMPLIED = {name: (("p",), SCOPE) for name in BLOCKS - {"body", "caption", "dd", "dt", "html", "legend", "li", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}} | {
+    "li": (("li",), ITEM_SCOPE), "dd": (("dd", "dt"), ITEM_SCOPE), "dt": (("dd", "dt"), ITEM_SCOPE), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
+    "td": (CELLS, ("table",)), "th": (CELLS, ("table",)), "tr": ((*CELLS, "tr"), ("table",)), **dict.fromkeys(ROWS, ((*CELLS, "tr", "caption", *ROWS), ("table",))),
+}
 COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, safe array<boolean>, text binary"
 RESULT_COLUMNS = ["page_id", "url", "text"]
 SAMPLED_KEYS = 20
 
 
-def marks(attributes: str) -> set[str]:
-    """The telling words of class, id, role and label; ``hidden`` for what is not shown."""
-    found = {w for m in NAMES.finditer(attributes) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in MARKED}
-    return found | {"hidden"} if HIDDEN.search(attributes) else found
-
-
-def left_out(name: str, attributes: str) -> str:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def marked(names: list[str], words: frozenset[str]) -> set[str]:
+    """The telling words of whole names: each word of a name is telling, neutral or a number, and one is telling."""
+    found: set[str] = set()
+    for name in names:
+        parts = WORDS.findall(name.lower())
+        if all(w in words or w in NEUTRAL or w.isdigit() for w in parts):
+            found.update(w for w in parts if w in words)
+    return found
+
+
+def marks(name: str, attributes: str, inside: bool) -> set[str]:
+    """The telling words of class and role, and outside main elements of id and label; ``hidden`` for what is not shown."""
+    values = attributes_of(attributes)
+    words = ADVERTS if name in PROSE else MARKED
+    found = marked(f"{values.get('class', '')} {values.get('role', '')}".split(), words)
+    if name not in PROSE:
+        found |= marked([values.get("id", "")], COMMENT_IDS if inside or name in MAIN else MARKED - {"discussion"})
+        if not inside:
+            found |= marked([values.get("aria-label", "")], words)
+    if name in TABLE:
+        found -= {"header", "masthead"}
+    styles = (x.partition(":") for x in values.get("style", "").lower().split(";"))
+    shown = not any(k.strip() == "display" and v.replace("!important", "").strip() == "none" for k, _, v in styles)
+    return found if shown and "hidden" not in values else found | {"hidden"}
+
+
+def left_out(name: str, attributes: str, inside: bool = False) -> str:
     """How an element is left out: ``header`` (headings in a main element stay), another reason, or not at all (empty)."""
-    found = marks(attributes) if attributes else set()
+    found = marks(name, attributes, inside) if attributes else set()
     if name in MAIN:
         return "comments" if found & COMMENTS or "hidden" in found else ""
     if name in ("html", "body"):
@@ -73,60 +119,115 @@ def left_out(name: str, attributes: str) -> str:
     return name if name in OUTSIDE else "marked" if found else ""
 
 
+class Open:
+    """The open elements of a page, with the places of each name, so that no step walks over them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, name: str) -> int:
+        return at[-1] if (at := self.places.get(name)) else -1
+
+    def cut(self, at: int) -> list[str]:
+        """Close the elements from ``at`` on."""
+        gone = self.names[at:]
+        for name in gone:
+            self.places[name].pop()
+        del self.names[at:]
+        return gone
+
+    def ended_by_start(self, name: str) -> int:
+        """The first element that a start tag of ``name`` closes, or -1."""
+        closed, scope = IMPLIED.get(name, ((), ()))
+        if not any(self.places.get(x) for x in closed):
+            return -1
+        barrier = max(self.last(x) for x in scope)
+        return min((at for x in closed if (at := self.last(x)) > barrier), default=-1)
+
+    def ended_by_end(self, name: str, skipped: int) -> int:
+        """The element that an end tag of ``name`` closes, or -1. Nothing but its own end tag closes a main element."""
+        at = self.last(name)
+        if at < 0 or name in MAIN or at == skipped or at == len(self.names) - 1:
+            return at
+        scope = ("table", *MAIN) if name in TABLE and name != "table" else MAIN if name == "table" else SCOPE if name in BLOCKS or name in OUTSIDE else BLOCKS
+        return at if all(self.last(x) <= at for x in scope) else -1
+
+
 def lines_of(html: str | None) -> list[tuple[str, bool]]:
     """The text blocks of a page in order, and whether each stands in its main element."""
-    kinds: dict[str, list[tuple[str, bool]]] = {"article": [], "main": [], "": []}
+    kinds: dict[bool, list[tuple[str, bool]]] = {True: [], False: []}
     parts: list[str] = []
-    depth = {"article": 0, "main": 0}
-    skip, why, nested, heading = "", "", 0, 0
+    opened = Open()
+    #: Places of the main elements that are text; place of the element that is left out (-1: none).
+    mains: list[int] = []
+    skipped, why, heading = -1, "", False
     at = 0
 
     def close() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            kind = "article" if depth["article"] else "main" if depth["main"] else ""
-            kinds[kind].append((text, bool(kind)))
-            if kind == "article" and depth["main"]:
-                kinds["main"].append((text, True))
+            kinds[bool(mains)].append((text, bool(mains)))
+
+    def cut(place: int) -> None:
+        nonlocal skipped, heading
+        if skipped < 0 or heading:
+            close()
+        opened.cut(place)
+        while mains and mains[-1] >= place:
+            mains.pop()
+        if 0 <= place <= skipped:
+            parts.clear()
+            skipped, heading = -1, False
 
     for token in TOKEN.finditer(html or ""):
-        if not skip or heading:
+        if skipped < 0 or heading:
             parts.append(html[at : token.start()])
         at = token.end()
         name = (token[3] or "").lower()
         if not name:
             continue
         closing = bool(token[2])
-        if skip:
-            inside = depth["article"] or depth["main"]
-            opens_main = not closing and name in MAIN and not inside and why in ("marked", "form", "header") and skip != "header" and not left_out(name, token[4])
-            if why == "header" and inside and re.fullmatch("h[1-6]", name):
+        if skipped >= 0:
+            if why == "header" and mains and re.fullmatch("h[1-6]", name):
                 close()
-                heading = 0 if closing else 1
-            if name == skip:
-                nested += -1 if closing else 0 if token[4].rstrip().endswith("/") else 1
-            if opens_main or nested == 0 or closing and name in MAIN and depth[name] and name != skip or closing and name in ("body", "html"):
+                heading = not closing
+            if closing and name in ("body", "html"):
+                cut(skipped)
+            elif not closing and name in MAIN and not mains and why in ("marked", "form", "header") and opened.names[skipped] != "header" and not left_out(name, token[4]):
                 parts.clear()
-                skip, heading = "", 0
-                if name not in MAIN:
-                    continue
-            else:
-                continue
-        if name in BLOCKS:
-            close()
-        elif name == "br":
-            parts.append(" ")
-        if not closing and name not in VOID and (why := left_out(name, token[4])):
-            close()
-            skip, nested, heading = name, 1, 0
+                skipped, heading = -1, False
+        if skipped < 0:
+            if name in BLOCKS:
+                close()
+            elif name == "br":
+                parts.append(" ")
+        if closing:
+            if (place := opened.ended_by_end(name, skipped)) >= 0:
+                if name in BLOCKS or place <= skipped or name in OUTSIDE:
+                    cut(place)
+                else:
+                    opened.cut(place)
             continue
-        if name in MAIN:
-            depth[name] = max(0, depth[name] + (-1 if closing else 1))
-    if not skip:
+        if (place := opened.ended_by_start(name)) >= 0:
+            cut(place)
+        if name in VOID or skipped >= 0 and token[4].rstrip().endswith("/"):
+            continue
+        if skipped < 0 and (why := left_out(name, token[4], bool(mains))):
+            close()
+            skipped, heading = len(opened.names), False
+        elif skipped < 0 and name in MAIN:
+            mains.append(len(opened.names))
+        opened.push(name)
+    if skipped < 0:
         parts.append((html or "")[at:])
         close()
-    return kinds["article"] or kinds["main"] or kinds[""]
+    return kinds[True] or kinds[False]
 
 
 def shared_lines(mine: np.ndarray, other: np.ndarray) -> list[int]:

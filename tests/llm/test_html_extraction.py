@@ -32,6 +32,22 @@ def test_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><section id=discussion><p>d</p></section><h2 id=related-work>r</h2><p id=search-method>s</p><p data-id=share>i</p><div aria-label='the comments of x'>l</div></article>", "d\n\nr\n\ns\n\ni\n\nl"),
+        ("<article><a title='the hidden cost of x'>t</a><i title='style=display:none'>u</i><b data-hidden=1>v</b></article>", "tuv"), ("<article><p class=notice>n</p><h2 class='related'>r</h2><div class='related-work'>w</div></article>", "n\n\nr\n\nw"),
+        ("<article><div class='ad-slot'>a</div><p class=ad>b</p><div role=navigation>c</div><p style='color:red; DISPLAY : none !important'>d</p>t</article>", "t"),
+        ("<article><p class=ad>x<p>real<p>more</article>", "real\n\nmore"), ("<article><ul><li class=ad>x<li>real</ul><p>t</article>", "real\n\nt"), ("<article><ul><li class=ad>x</ul><p>t</article>", "t"),
+        ("<article><dl><dt class=ad>x<dd>d</dl><table><tr class=header><th>h<td class=ad>x<td>c</table>t</article>", "d\n\nh\n\nc\n\nt"), ("<article><ul><li class=ad>x<ul><li>y</ul>z<li>t</ul></article>", "t"),
+        ("<main><p>lead</p><article><p>a</p></article><p>end</p></main><p>out</p>", "lead\n\na\n\nend"), ("<article>a<aside><article>teaser</article></aside>b</article>", "a\n\nb"),
+        ("<div><article><aside>x</div>y</aside>z</article></div>", "z"), ("<section id=discussion><p>d</p></section><div id=sidebar>s</div>", "d"), ("<article><li><ul>" + "<div>" * 9_000 + "<li></li>" * 9_000 + "t</article>", "t"),
+    ],
+)
+def test_article_text_stays(page, want):
+    assert text(page) == want
+
+
 def lcs(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
