@@ -1,7 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path; each is paired with the neighbour of its host whose path shares the
-longer prefix with its own. The text lines (blocks) of the two are aligned by their longest common
+Pages are sorted by host and URL path; each is paired with that of the nearest pages before and after it on its
+host whose path shares the longer prefix with its own. Copies and near copies of a page (print versions, mirrors)
+are passed over, as the lines shared with them are not the site's: pages are copies if their common lines hold
+``COPY_SHARE`` of the characters of all their lines, judged by up to ``SKETCHED_LINES`` line hashes. The text lines (blocks) of the two are aligned by their longest common
 subsequence, and lines they share are deleted as the site's template. Two structural rules go with it: what
 stands in an element made for menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
 or comments, by name or by whole names in its class or role (outside main elements also its id or label; of
@@ -11,11 +13,12 @@ headings stay; a marked wrapper ends where a main element begins), and lines ins
 elements, nothing outside them is text. End tags that HTML lets a page omit are implied.
 
 The sorted order is cut into ranges at sampled keys (a bounded number goes to the driver), so a host of any
-size is spread over tasks; the pages at the ends of a range are copied into the next, which keeps every
-pair. Only hashes of lines are compared; page texts travel compressed.
+size is spread over tasks. A range also gets, from either side, the nearest page and the nearest that is no copy
+of it, however many ranges a group of copies fills; a first pass over line sketches finds them. A range is held in
+memory while it is compared. Only hashes of lines are compared; page texts travel compressed.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own without path; pages
-that repeat are treated one by one; a page without a neighbour loses no line; unclosed elements end where
+that repeat are treated one by one; a page without a neighbour that is no copy loses no line; unclosed elements end where
 their main element or the page ends; unknown character references stay as they are; other columns are not read.
 """
 
@@ -68,9 +71,14 @@ IMPLIED = {name: (("p",), SCOPE) for name in BLOCKS - {"body", "caption", "dd",
     "li": (("li",), ITEM_SCOPE), "dd": (("dd", "dt"), ITEM_SCOPE), "dt": (("dd", "dt"), ITEM_SCOPE), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
     "td": (CELLS, ("table",)), "th": (CELLS, ("table",)), "tr": ((*CELLS, "tr"), ("table",)), **dict.fromkeys(ROWS, ((*CELLS, "tr", "caption", *ROWS), ("table",))),
 }
-COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, safe array<boolean>, text binary"
+COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, sizes array<int>, safe array<boolean>, text binary"
 RESULT_COLUMNS = ["page_id", "url", "text"]
 SAMPLED_KEYS = 20
+ENDS = "bucket int, side string, place int, key string, sketch binary"
+#: Two pages are copies if the lines they share hold this share of the characters of all their lines.
+COPY_SHARE = 0.7
+#: Lines (those of the least hashes) by which two pages are compared, and pages kept on the way to one that is no copy.
+SKETCHED_LINES, TRAIL = 128, 4
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -264,8 +272,106 @@ def common_prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
+def hashes_of(lines: list[tuple[str, bool]]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in lines]
+
+
+def sketch_of(hashes: list[int], sizes: list[int]) -> dict[int, int]:
+    """Characters of the distinct lines of least hash."""
+    sizes_by_hash = dict(zip(hashes, sizes, strict=True))
+    return {h: sizes_by_hash[h] for h in sorted(sizes_by_hash)[:SKETCHED_LINES]}
+
+
+def packed(sketch: dict[int, int]) -> bytes:
+    return np.array([*sketch.keys(), *sketch.values()], np.int64).tobytes()
+
+
+def unpacked(sketch: bytes) -> dict[int, int]:
+    both = np.frombuffer(sketch, np.int64).tolist()
+    return dict(zip(both[: len(both) // 2], both[len(both) // 2 :], strict=True))
+
+
+def are_copies(a: dict[int, int], b: dict[int, int]) -> bool:
+    """Whether the lines that two sketches share hold enough of the characters (two pages without lines are copies)."""
+    full = [next(reversed(x)) for x in (a, b) if len(x) == SKETCHED_LINES]
+    if full:
+        a, b = ({h: n for h, n in x.items() if h <= min(full)} for x in (a, b))
+    common = sum(n for h, n in a.items() if h in b)
+    return common >= COPY_SHARE * (sum(a.values()) + sum(b.values()) - common)
+
+
+def follow(trail: list[tuple], page: tuple) -> tuple | None:
+    """The last page of the trail that is no copy of ``page``, a tuple of key and sketch first, which is put at its end.
+
+    A page takes the place of the copy before it, so a group of copies of any size is one step of the trail.
+    """
+    if trail and trail[-1][0].partition("\0")[0] != page[0].partition("\0")[0]:
+        trail.clear()
+    found = next((p for p in reversed(trail) if not are_copies(p[1], page[1])), None)
+    if trail and (found is not trail[-1]):
+        trail[-1] = page
+    else:
+        trail.append(page)
+    del trail[:-TRAIL]
+    return found
+
+
+def deal_sketches(cuts: list[str]):
+    """Batches of page_id, url and html to bucket, key and sketch."""
+
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [url_key(u, i) for i, u in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
+            pages = (lines_of(html) for html in batch.column("html").to_pylist())
+            sketches = [packed(sketch_of(hashes_of(lines), [len(t) for t, _ in lines])) for lines in pages]
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), pa.array(keys, pa.string()), pa.array(sketches, pa.binary())], names=["bucket", "key", "sketch"])
+
+    return deal_out
+
+
+def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and sketches to, per bucket and side, the outermost page (place 0) and the next of its host that is no copy of it (1)."""
+    bucket, head, tail, trail, rows = None, [], [], [], []
+
+    def ends() -> list[tuple]:
+        return [(bucket, side, place, *page) for side, pages in (("head", head), ("tail", tail)) for place, page in enumerate(pages) if page]
+
+    for batch in batches:
+        for b, key, sketch in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sketch")), strict=True):
+            page = (key, unpacked(sketch))
+            if b != bucket:
+                rows += ends()
+                bucket, head, trail = b, [page], []
+            elif len(head) == 1:
+                if key.partition("\0")[0] != head[0][0].partition("\0")[0]:
+                    head.append(None)
+                elif not are_copies(page[1], head[0][1]):
+                    head.append(page)
+            tail = [page, follow(trail, page)]
+    for row in [*rows, *ends()]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((*row[:4], packed(row[4])), (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "side", "place", "key", "sketch"])
+
+
+def carried(ends: list[tuple]) -> dict[str, list[int]]:
+    """Keys of the pages that buckets get of others: on each side the nearest page and the nearest that is no copy of it."""
+    sides: dict[str, dict[int, list[tuple]]] = {"head": {}, "tail": {}}
+    for bucket, side, _, key, sketch in sorted(ends, key=lambda r: r[:3]):
+        sides[side].setdefault(bucket, []).append((key, sketch))
+    out: dict[str, list[int]] = {}
+    for near, far, order in (("tail", "head", 1), ("head", "tail", -1)):
+        trail: list[tuple] = []
+        for bucket in sorted(sides["head"])[::order]:
+            host = sides[far][bucket][0][0].partition("\0")[0]
+            for key, _ in trail[-2:]:
+                if key.partition("\0")[0] == host and bucket not in out.setdefault(key, []):
+                    out[key].append(bucket)
+            for key, sketch in reversed(sides[near][bucket]):
+                follow(trail, (key, unpacked(sketch)))
+    return out
+
+
 def deal(cuts: list[str], ends: dict[str, list[int]] | None):
-    """Batches of page_id, url (and html) to rows of a bucket; with ``ends``, copies of the pages at the ends of buckets."""
+    """Batches of page_id, url (and html) to rows of a bucket; with ``ends``, copies of the pages that other buckets need."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,47 +387,60 @@ def deal(cuts: list[str], ends: dict[str, list[int]] | None):
             for n, (i, url, html) in enumerate(zip(ids, urls, pages, strict=True)):
                 key = url_key(url, i)
                 lines = lines_of(html)
-                hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in lines]
-                rows.append((bisect_right(cuts, key), key, False, hashes, [s for _, s in lines], pack("\0".join(t.replace("\0", " ") for t, _ in lines).encode("utf-8", "surrogatepass"))))
+                hashes, sizes = hashes_of(lines), [len(t) for t, _ in lines]
+                rows.append((bisect_right(cuts, key), key, False, hashes, sizes, [s for _, s in lines], pack("\0".join(t.replace("\0", " ") for t, _ in lines).encode("utf-8", "surrogatepass"))))
                 at.append(n)
                 for bucket in ends.get(key, ()):
-                    rows.append((bucket, key, True, hashes, None, None))
+                    rows.append((bucket, key, True, hashes, sizes, None, None))
                     at.append(n)
             take = pa.array(at, pa.int64())
-            made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()), strict=True)] if rows else []
+            made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary()), strict=True)] if rows else []
             if rows:
-                yield pa.RecordBatch.from_arrays([made[0], made[1], batch.column("page_id").take(take), batch.column("url").take(take), *made[2:]], names=["bucket", "key", "page_id", "url", "copy", "hashes", "safe", "text"])
+                yield pa.RecordBatch.from_arrays([made[0], made[1], batch.column("page_id").take(take), batch.column("url").take(take), *made[2:]], names=["bucket", "key", "page_id", "url", "copy", "hashes", "sizes", "safe", "text"])
 
     return narrow if ends is None else whole
 
 
 def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages to their main texts: each is compared with the nearer of its two neighbours."""
+    """Sorted pages to their main texts: each is compared with the nearer of the next pages before and after it that are no copies of it."""
     unpack = zstandard.ZstdDecompressor().decompress
 
-    def text_of(before: dict | None, page: dict, after: dict | None) -> str:
+    def text_of(page: dict, near: list[dict]) -> str:
         lines = unpack(page["text"]).decode("utf-8", "surrogatepass").split("\0") if page["hashes"] else []
-        host = page["key"].partition("\0")[0]
-        near = [p for p in (before, after) if p and p["bucket"] == page["bucket"] and p["key"].partition("\0")[0] == host]
         gone: set[int] = set()
-        if near and not all(page["safe"]):
+        if near:
             other = max(near, key=lambda p: common_prefix(p["key"], page["key"]))
             gone = set(shared_lines(np.array(page["hashes"], np.int64), np.array(other["hashes"], np.int64)))
         return "\n\n".join(line for k, line in enumerate(lines) if page["safe"][k] or k not in gone)
 
-    before = page = None
+    def texts_of(pages: list[dict]) -> Iterator[tuple[dict, str]]:
+        """The texts of a bucket; only buckets that have lines outside main elements are compared."""
+        near: list[list[dict]] = [[] for _ in pages]
+        if not all(p["copy"] or all(p["safe"]) for p in pages):
+            steps = [(p["key"], sketch_of(p["hashes"], p["sizes"]), p) for p in pages]
+            for order in (1, -1):
+                trail: list[tuple] = []
+                for k in range(len(pages))[::order]:
+                    if found := follow(trail, steps[k]):
+                        near[k].append(found[2])
+        for page, others in zip(pages, near, strict=True):
+            if not page["copy"]:
+                yield page, text_of(page, [] if all(page["safe"]) else others)
+
+    def batch_of(pages: list[dict]) -> pa.RecordBatch:
+        done = list(texts_of(pages))
+        return pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p, _ in done], kind), pa.array([p["url"] for p, _ in done], pa.string()), pa.array([t for _, t in done], pa.string())], names=RESULT_COLUMNS)
+
+    pages: list[dict] = []
     for batch in batches:
-        ids, urls, texts = [], [], []
-        for after in [*batch.to_pylist()]:
-            if page is not None and not page["copy"]:
-                ids.append(page["page_id"])
-                urls.append(page["url"])
-                texts.append(text_of(before, page, after))
-            before, page = page, after
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("page_id").type), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=RESULT_COLUMNS)
         kind = batch.schema.field("page_id").type
-    if page is not None and not page["copy"]:
-        yield pa.RecordBatch.from_arrays([pa.array([page["page_id"]], kind), pa.array([page["url"]], pa.string()), pa.array([text_of(before, page, None)], pa.string())], names=RESULT_COLUMNS)
+        for page in batch.to_pylist():
+            if pages and pages[-1]["bucket"] != page["bucket"]:
+                yield batch_of(pages)
+                pages = []
+            pages.append(page)
+    if pages:
+        yield batch_of(pages)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -334,11 +453,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     every = max(1, keys.count() // (SAMPLED_KEYS * ranges))
     sampled = sorted({r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).collect()})
     cuts = sampled[:: max(1, len(sampled) // ranges)]
-    spans = rows.select("page_id", "url").mapInArrow(deal(cuts, None), "bucket int, key string").groupBy("bucket").agg(F.min("key").alias("head"), F.max("key").alias("tail")).orderBy("bucket").collect()
-    ends: dict[str, list[int]] = {}
-    for left, right in zip(spans[:-1], spans[1:], strict=True):
-        ends.setdefault(left["tail"], []).append(right["bucket"])
-        ends.setdefault(right["head"], []).append(left["bucket"])
+    sketches = rows.mapInArrow(deal_sketches(cuts), "bucket int, key string, sketch binary").repartition("bucket").sortWithinPartitions("bucket", "key")
+    ends = carried([tuple(r) for r in sketches.mapInArrow(ends_of, ENDS).collect()])
     dealt = rows.mapInArrow(deal(cuts, ends), COPIES.format(id=kind))
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "key", "copy").mapInArrow(difference, f"page_id {kind}, url string, text string")
 

@@ -78,6 +78,27 @@ def test_template_lines_go_where_no_main_element_is_declared(spark, parts):
     assert (found[100], found[101], found[102], found[103], found[104]) == ("Site name\n\nalone", "no url", "same", "same", "")
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_copies_keep_their_article(spark, parts):
+    def page(k, note=""):
+        return f"<div>Site name</div><h1>Title {k}</h1>" + "".join(f"<p>Story {k} has its paragraph {n} of some length</p>" for n in range(5)) + f"<p>{note}</p><div>Imprint</div>"
+
+    rows = [(0, "http://a.com/x", page(1)), (1, "http://a.com/x?print=1", page(1, "Print version"))]
+    rows += [(2 + i, f"http://b.com/m/{i:04}", page(2, f"mirror {i}")) for i in range(700)] + [(702, "http://b.com/n", page(3)), (703, "http://b.com/a", page(4))]
+    found = extract(spark, rows, parts)
+    article = ["\n\n".join([f"Title {k}", *(f"Story {k} has its paragraph {n} of some length" for n in range(5))]) for k in range(5)]
+    assert found[0] == f"Site name\n\n{article[1]}\n\nImprint" and found[1] == f"Site name\n\n{article[1]}\n\nPrint version\n\nImprint"
+    assert all(found[2 + i] == f"{article[2]}\n\nmirror {i}" for i in range(700))
+    assert (found[702], found[703]) == (article[3], article[4])
+
+
+def test_pages_of_many_lines_are_compared_by_a_sample():
+    lines = [[f"{k} line {n}" for n in range(2_000)] for k in range(2)]
+    a, b = (he.sketch_of(he.hashes_of([(t, False) for t in x]), [len(t) for t in x]) for x in lines)
+    c = he.sketch_of(he.hashes_of([(t, False) for t in lines[0][:1_900]]), [len(t) for t in lines[0][:1_900]])
+    assert he.are_copies(a, c) and not he.are_copies(a, b) and he.unpacked(he.packed(a)) == a and not he.are_copies({}, a)
+
+
 def test_documents(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = {r["page_id"]: r for r in he.op10_html_extraction(pages).collect()}
