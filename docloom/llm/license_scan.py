@@ -6,7 +6,9 @@ shingles, rounded up to a power of two W. A document is cut, per class, into win
 start every W/2 (of one shingle for W = 1), so any passage of W shingles lies wholly in one window. A window
 that holds the share ``CONTAINMENT`` of a template's shingles has a known least Jaccard similarity to it, and ``bands_for`` gives
 the bands, of one MinHash value each, that make a common band miss with a probability below ``MISS``.
-Templates retrieved so are verified exactly: the share of their shingles that the window holds.
+Templates retrieved so are verified exactly: the share of their shingles that the window holds. Where matches of
+several licenses overlap, the best share stays and ties are listed; a short template inside a longer match goes if
+the longer template holds it as well as the text does. ``license_templates.json`` has the templates.
 
 Defined cases: null and wordless texts have no license; a text shorter than a shingle is one shingle; equal
 templates under several names report each name; a template that occurs often is reported once with its best
@@ -15,9 +17,11 @@ share; an empty template is ignored; repeated rows are scanned one by one; other
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,27 +37,10 @@ WORD = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "licenses array<struct<name:string, share:double, first_shingle:bigint>>"
 
-#: Fixed texts: public license notices.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("All-rights-reserved", "All rights reserved."),
-)
+#: Fixed texts: licenses in full, their notices, common short forms and SPDX tags (name, text).
+TEMPLATES = tuple((name, text) for name, text in json.loads(pkgutil.get_data(__package__, "license_templates.json")))
+#: Templates less than this times as long as another compete with it.
+COMPARABLE = 2
 
 
 def bands_for(least_jaccard: float, miss: float = MISS) -> int:
@@ -66,14 +53,18 @@ class Scanner:
         self.size, self.containment, self.words = size, containment, {}
         self.names = [name for name, _ in templates]
         self.sets: list[np.ndarray] = []
+        self.widths: list[int] = []
+        self.texts = [text for _, text in templates]
+        self.held: dict[tuple[int, int], float] = {}
         classes: dict[tuple[int, int], list[int]] = {}
         for k, (_, text) in enumerate(templates):
             hashes = self.hashes(text)
             width = min(size, len(hashes))
             self.sets.append(np.unique(self.shingles(hashes, width)))
+            self.widths.append(width)
             if width:
                 classes.setdefault((width, 1 << (len(hashes) - width).bit_length()), []).append(k)
-        #: Per class: shingle width, W, MinHash factors, sorted band keys of its templates and whose they are.
+        #: Per class: shingle width, W, shingles that a text needs, MinHash factors, sorted band keys of its templates and whose they are.
         self.classes = []
         for (width, w), members in sorted(classes.items()):
             least = min(self.least_jaccard(len(self.sets[k]), window_of(w)) for k in members)
@@ -83,7 +74,8 @@ class Scanner:
             order = np.argsort(keys, kind="stable")
             heads = np.zeros(1 << 16, bool)
             heads[keys >> np.uint64(48)] = True
-            self.classes.append((width, w, factors, keys[order], owner[order], heads))
+            needed = min(math.ceil(self.containment * len(self.sets[k]) - 1e-9) for k in members)
+            self.classes.append((width, w, needed, factors, keys[order], owner[order], heads))
 
     def least_jaccard(self, size: int, window: int) -> float:
         """Of a template of ``size`` shingles and a window that holds the least share of them."""
@@ -116,20 +108,72 @@ class Scanner:
         """Band keys of rows of MinHash values: the value with the number of its band."""
         return (least ^ np.arange(least.shape[1], dtype=np.uint64)) * ODD
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(license, share of its shingles, first shingle of the window) of each license found."""
+    def matches(self, text: str | None) -> Iterator[tuple[int, float, int, int, int]]:
+        """(template, share of its shingles, first shingle of the window, first and last of its shingles there)."""
         hashes = self.hashes(text) if text else np.zeros(0, np.uint64)
-        best: dict[str, tuple[float, int]] = {}
         sequences: dict[int, np.ndarray] = {}
-        for width, w, factors, keys, owner, heads in self.classes:
+        for width, w, needed, factors, keys, owner, heads in self.classes:
             sequence = sequences[width] if width in sequences else sequences.setdefault(width, self.shingles(hashes, width))
-            for start in range(0, len(sequence), 4096 * w):
-                part = sequence[start : start + 4096 * w + w]
+            if len(sequence) < needed:
+                continue
+            length = min(4096 * w, max(4 * w, 1 << 18))
+            for start in range(0, len(sequence), length):
+                part = sequence[start : start + length + w]
                 for at, k in retrieve(part, w, self.mixed(part, factors), keys, owner, heads):
-                    share = float(np.isin(self.sets[k], part[at : at + window_of(w)]).mean())
-                    known = best.get(self.names[k], (0.0, 0))
-                    if share >= self.containment and (share, -start - at) > (known[0], -known[1]):
-                        best[self.names[k]] = (share, start + at)
+                    window = part[at : at + window_of(w)]
+                    share = float(np.isin(self.sets[k], window).mean())
+                    if share >= self.containment:
+                        places = np.flatnonzero(np.isin(window, self.sets[k]))
+                        yield k, share, start + at, start + at + int(places[0]), start + at + int(places[-1]) + width - 1
+
+    def scan(self, text: str | None) -> list[tuple[str, float, int]]:
+        """(license, share of its shingles, first shingle of the window) of each license that matches."""
+        return self.best(self.matches(text))
+
+    def found(self, text: str | None) -> list[tuple[str, float, int]]:
+        """As ``scan``, without matches that another license explains better."""
+        kept: dict[tuple[int, int, int], tuple] = {}
+        for m in self.matches(text):
+            known = kept.get((m[0], *m[3:]))
+            if known is None or (m[1], -m[2]) > (known[1], -known[2]):
+                kept[m[0], *m[3:]] = m
+        if len({self.names[m[0]] for m in kept.values()}) < 2:
+            return self.best(kept.values())
+        rows = sorted(kept.values(), key=lambda m: m[3])
+        lost: set[int] = set()
+        open_: list[int] = []
+        for j, m in enumerate(rows):
+            open_ = [i for i in open_ if rows[i][4] >= m[3]]
+            for i in open_:
+                if self.explains(rows[i], m):
+                    lost.add(j)
+                if self.explains(m, rows[i]):
+                    lost.add(i)
+            open_.append(j)
+        return self.best(m for j, m in enumerate(rows) if j not in lost)
+
+    def explains(self, other: tuple, m: tuple) -> bool:
+        """Whether ``other``, of another license, overlaps most of the shorter of both and is the better match: of comparable
+        lengths that of the higher share, else the longer one if its template holds as much of the shorter as the text does."""
+        if self.names[other[0]] == self.names[m[0]] or 2 * (min(other[4], m[4]) - max(other[3], m[3]) + 1) < min(other[4] - other[3], m[4] - m[3]) + 1:
+            return False
+        a, b = len(self.sets[other[0]]), len(self.sets[m[0]])
+        if max(a, b) < COMPARABLE * min(a, b):
+            return other[1] > m[1] + 1e-9
+        return a > b and self.holds(other[0], m[0]) >= m[1] - 1e-9
+
+    def holds(self, k: int, part: int) -> float:
+        """The share of the shingles of template ``part`` that template ``k`` holds."""
+        if (k, part) not in self.held:
+            self.held[k, part] = float(np.isin(self.sets[part], self.shingles(self.hashes(self.texts[k]), self.widths[part])).mean())
+        return self.held[k, part]
+
+    def best(self, matches: Iterable[tuple]) -> list[tuple[str, float, int]]:
+        best: dict[str, tuple[float, int]] = {}
+        for k, share, at, *_ in matches:
+            known = best.get(self.names[k], (0.0, 0))
+            if (share, -at) > (known[0], -known[1]):
+                best[self.names[k]] = (share, at)
         return sorted((name, share, at) for name, (share, at) in best.items())
 
 
@@ -163,7 +207,7 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: tuple[tuple[st
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates)
         for texts in batches:
-            yield pd.DataFrame({"licenses": [[{"name": n, "share": s, "first_shingle": at} for n, s, at in scanner.scan(t if isinstance(t, str) else None)] for t in texts]})
+            yield pd.DataFrame({"licenses": [[{"name": n, "share": s, "first_shingle": at} for n, s, at in scanner.found(t if isinstance(t, str) else None)] for t in texts]})
 
     return docs.withColumn(name, scan(F.col(text)))
 

@@ -61,3 +61,20 @@ def test_odd_rows(odd, empty):
     assert out.count() == 14 and out.where("n_licenses <> 0 OR licenses <> '' OR best_share <> 0").count() == 0
     assert ls.op8_license_scan(empty).count() == 0
     assert ls.find_licenses(odd, templates=(("none", ""), ("a", "lazy dog"), ("b", "lazy dog"))).where("get(_found.licenses, 1).name = 'b'").count() == 6
+
+
+def test_full_texts_and_notices_of_neighbouring_licenses():
+    scanner = ls.Scanner(ls.TEMPLATES)
+    found = lambda text: [n for n, _, _ in scanner.found(text)]
+    full = {name: text for name, text in reversed(ls.TEMPLATES) if len(text) > 600}
+    assert {"Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "MPL-2.0", "CC-BY-SA-4.0"} <= set(full)
+    for name, text in full.items():
+        words = text.split()
+        words[len(words) // 2] = "edited"
+        assert found(f"some words before it {' '.join(words)} and some after it") == [name]
+    notice = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+    assert found(notice.format(";", "", ";", 2)) == ["GPL-2.0"] and found(notice.format(":", "", ",", 3)) == ["GPL-3.0"] and found(notice.format(":", "Affero ", ",", 3)) == ["AGPL-3.0"]
+    for text, want in (("It is licensed under the MIT License, as is usual", "MIT"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Made available under the Eclipse Public License v2.0.", "EPL-2.0"), ("under the terms of the GNU General Public License, version 3", "GPL-3.0")):
+        assert found(text) == [want]
+    assert found(full["MIT"] + " " + "word " * 400 + full["BSD-2-Clause"]) == ["BSD-2-Clause", "MIT"]
+    assert [n for n, _, _ in ls.Scanner((("a", "one two three four five six"), ("b", "one two three four five six"))).found("one two three four five six")] == ["a", "b"]
