@@ -1,13 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
 A run holds, sorted by a 128-bit hash of the line key, in how many documents a key was seen and the
-largest document id that holds it. Every batch of documents is anti-joined against the runs and adds a run of its own at level 0;
-when a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.
+largest document id that holds it. Every batch of documents adds a run of its own at level 0, also for keys that
+earlier runs hold: documents are to be counted, so counting replaces the anti-join of batches against the runs. When a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.
 Runs are Parquet tables in the shared folder; a run is written whole before it is named, so a lost executor
 or a repeated task leaves no partial run.
 
 Hot lines: a run is built by a count per (line, document) and then per line, both combined on the map side,
-and the anti-join is a sort-merge join of which Spark splits the large partitions; no line's documents are
+and the join with the repeated lines is a sort-merge join of which Spark splits the large partitions; no line's documents are
 ever collected. Lines return to their documents as positions, and a document is rewritten by one array
 difference, linear in its lines.
 
@@ -62,7 +62,7 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` (h1, h2, ...) that no run holds."""
+        """The rows of ``keys`` (h1, h2, ...) that no run holds; the query does not need it."""
         return reduce(lambda left, run: left.join(run, KEY, "left_anti"), self.runs(), keys)
 
     def add(self, keys: DataFrame) -> None:
