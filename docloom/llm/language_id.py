@@ -181,9 +181,11 @@ def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang:
 
 
 def keep_identified(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those that come out as ``und`` go."""
-    found = identify(docs, text, id_col, lang)
-    name = found.columns[-1]
+    """The rows of ``docs`` whose text has a language: those that come out as ``und`` go. Where no language can be learned, those with a letter stay."""
+    profiles = fit_profiles(learnable(docs, id_col), text, lang, id_col)
+    if not profiles:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    found = docs.withColumn(name := free_name(docs, "identified"), language(profiles, F.col(text), docs))
     return found.where(F.col(name)["lang_pred"] != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

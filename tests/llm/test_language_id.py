@@ -48,3 +48,8 @@ def test_stage_keeps_columns_and_rejects_und(odd, empty):
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [5, 5, 6, 7, None, 8, 9, 10, 11]))
     assert li.keep_identified(empty).count() == 0
+
+
+def test_stage_keeps_texts_where_no_language_is_learned(frame):
+    docs = frame([(1, "some text", None), (2, None, None), (3, "12 !?", None), (4, "été", None)])
+    assert sorted(r["doc_id"] for r in li.keep_identified(docs).collect()) == [1, 4]
