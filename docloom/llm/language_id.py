@@ -1,6 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built over labelled words of each language. A text is parsed, word by word, into
+A suffix automaton is built over the distinct most frequent labelled words of each language, not over running
+text: word order and frequency are not used. A text is parsed, word by word, into
 the longest phrases that the automaton of a language holds; the language that needs the fewest phrases,
 each weighed by the log of the size of its training text, wins.
 
