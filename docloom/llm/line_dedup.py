@@ -1,10 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run holds, sorted by a 128-bit hash of the line key, in how many documents a key was seen and the
-largest document id that holds it. Every batch of documents adds a run of its own at level 0, also for keys that
-earlier runs hold: documents are to be counted, so counting replaces the anti-join of batches against the runs. When a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.
+A run holds line keys (as 128-bit hashes) in sorted order, each with the number of documents that hold it and the
+largest of their ids. Documents come in batches. Each batch is counted by key and merge-anti-joined against the runs: keys that no
+run owns form a run of the batch's own, at level 0. Keys that a run owns already are counted documents too, so
+they go with the batch as additions to the counts of their owners. When a level holds ``fanout`` batches they are compacted
+into one of the next level, where additions meet their owners, so a key is rewritten a logarithmic number of times. A key has one owner at any
+time; its count is the owner's with the additions not yet compacted.
 Runs are Parquet tables in the shared folder; a run is written whole before it is named, so a lost executor
-or a repeated task leaves no partial run.
+or a repeated task leaves no partial run, and what a compaction has replaced is deleted.
 
 Hot lines: a run is built by a count per (line, document) and then per line, both combined on the map side,
 and the join with the repeated lines is a sort-merge join of which Spark splits the large partitions; no line's documents are
@@ -24,9 +27,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import free_name, materialise
+from docloom.llm.common import discard, free_name, materialise
 
-MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 20, 3, 3, 4
+MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 3
+#: Bytes of text of a batch, and the least number of batches. A batch is worked off by all executors, so it may be large.
+BATCH_BYTES, BATCHES = 4 << 40, 4
+#: The keys of a batch are spread over so many hash slots.
+SLOTS = 4096
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -52,57 +59,74 @@ def keyed_lines(docs: DataFrame, text: str, id_col: str, min_chars: int) -> Data
 
 @dataclass
 class LineRuns:
-    """The levelled runs: ``levels[k]`` lists the runs of level k."""
+    """The levelled runs: ``levels[k]`` lists the tables of level k, with (h1, h2, n_docs, last_id, owned); rows that are not owned are additions."""
 
     spark: SparkSession
     fanout: int = FANOUT
     levels: list[list[DataFrame]] = field(default_factory=list)
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def rows(self) -> DataFrame | None:
+        tables = [table for level in self.levels for table in level]
+        return reduce(DataFrame.unionByName, tables) if tables else None
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` (h1, h2, ...) that no run holds; the query does not need it."""
-        return reduce(lambda left, run: left.join(run, KEY, "left_anti"), self.runs(), keys)
+        """``keys`` (h1, h2, ...) with ``owned``: whether no run holds the key, so that it becomes the batch's own. One merge join tells."""
+        rows = self.rows()
+        if rows is None:
+            return keys.withColumn("owned", F.lit(True))
+        held = rows.where("owned").select(*KEY, F.lit(True).alias("held"))
+        return keys.join(held.hint("merge"), KEY, "left").withColumn("owned", F.col("held").isNull()).drop("held")
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (id, h1, h2) as a run: documents that share no id with earlier batches."""
+        """Add a batch of (id, h1, h2): documents that share no id with earlier batches."""
         once = keys.select(*KEY, "id").distinct()
-        self._put(0, once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id")))
+        counts = once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
+        self._put(0, self.unseen(counts))
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(materialise(run.sortWithinPartitions(*KEY), "line-run"))
+        self.levels[level].append(materialise(rows.sortWithinPartitions(*KEY), "line-run"))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, merge_runs(full))
+            self._put(level + 1, compacted(reduce(DataFrame.unionByName, full)))
+            discard(*full)
 
-    def merged(self) -> DataFrame:
-        """All runs as one."""
-        return merge_runs(self.runs())
+    def clear(self) -> None:
+        """Delete all runs."""
+        discard(*[table for level in self.levels for table in level])
+        self.levels = []
 
+    def counts(self) -> DataFrame:
+        """(h1, h2, n_docs, last_id) of every key: owners with their additions."""
+        return compacted(self.rows()).drop("owned")
 
-def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    together = reduce(DataFrame.unionByName, runs)
-    return together if len(runs) == 1 else together.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+
+def compacted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.bool_or("owned").alias("owned"))
+
+
+def batches_for(docs: DataFrame, text: str) -> int:
+    return max(BATCHES, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BATCH_BYTES))
 
 
 def dedup_lines(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT
 ) -> DataFrame:
     """``docs`` with ``text`` rewritten and, last, a struct of its own: n_lines before and n_dropped.
 
-    Lines whose key is in at least ``min_docs`` documents stay in the one of the largest id only. The
-    table is dealt into ``batches`` by id, each added to the runs in turn.
+    Lines whose key is in at least ``min_docs`` documents stay in the one of the largest id only. The table
+    is dealt into ``batches`` by id (by its bytes where none are given), each added to the runs in turn.
     """
-    dealt = keyed_lines(docs, text, id_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
-    keys = materialise(dealt, "line-keys")
+    batches = batches or batches_for(docs, text)
+    dealt = keyed_lines(docs, text, id_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    keys = materialise(dealt.repartition("batch", F.pmod(F.col("h1"), F.lit(SLOTS)), F.pmod(F.xxhash64("id"), F.lit(SLOTS))), "line-keys", "batch")
     store = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
         store.add(keys.where(F.col("batch") == k))
     # Written, so that both sides of the join are exchanges of their own and Spark can split a hot line.
-    repeated = materialise(store.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id"), "repeated-lines")
+    repeated = materialise(store.counts().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id"), "repeated-lines")
+    store.clear()
     gone = keys.join(repeated, KEY).where(~F.col("id").eqNullSafe(F.col("last_id")))
     per_row = gone.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
 

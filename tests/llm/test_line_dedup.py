@@ -56,8 +56,28 @@ def test_runs_are_levelled(spark):
     for i in range(5):
         store.add(spark.createDataFrame([(i, 1, 1), (i, i, 9)], "id bigint, h1 bigint, h2 bigint"))
     assert [len(level) for level in store.levels] == [1, 0, 1]
-    assert {(r["h1"], r["h2"]): (r["n_docs"], r["last_id"]) for r in store.merged().collect()}[1, 1] == (5, 4)
-    assert [tuple(r) for r in store.unseen(spark.createDataFrame([(1, 1), (7, 7)], "h1 bigint, h2 bigint")).collect()] == [(7, 7)]
+    assert {(r["h1"], r["h2"]): (r["n_docs"], r["last_id"]) for r in store.counts().collect()}[1, 1] == (5, 4)
+    seen = store.unseen(spark.createDataFrame([(1, 1), (7, 7)], "h1 bigint, h2 bigint")).collect()
+    assert sorted(tuple(r) for r in seen) == [(1, 1, False), (7, 7, True)]
+    store.clear()
+    assert store.rows() is None
+
+
+def test_a_batch_adds_only_unseen_keys_to_the_runs(spark):
+    """Every key has one owner: without the anti-join each batch would own the keys it repeats."""
+    store = ld.LineRuns(spark, fanout=3)
+    for i in range(4):
+        store.add(spark.createDataFrame([(i, 1, 1), (i, 2, 2 + i)], "id bigint, h1 bigint, h2 bigint"))
+    rows = [tuple(r) for r in store.rows().collect()]
+    assert sorted((h1, h2) for h1, h2, _, _, owned in rows if owned) == [(1, 1), (2, 2), (2, 3), (2, 4), (2, 5)]
+    assert [r[:3] for r in rows if not r[-1]] == [(1, 1, 1)]
+    assert all(len(level) < 3 for level in store.levels)
+
+
+def test_the_query_goes_through_the_anti_join(spark, frame, monkeypatch):
+    monkeypatch.setattr(ld.LineRuns, "unseen", lambda self, keys: keys.withColumn("owned", ld.F.lit(True)).where("false"))
+    skipped = ld.dedup_lines(frame(ROWS))
+    assert skipped.where(f"{skipped.columns[-1]}.n_dropped > 0").count() == 0
 
 
 def test_odd_rows(odd, empty):
