@@ -34,9 +34,15 @@ def look_up(rows: DataFrame, cache: DataFrame, value: str = "value") -> DataFram
 def misses(rows: DataFrame, cache: DataFrame, content: str) -> DataFrame:
     """(digest, content) once for each content that is not cached.
 
-    Digests are made distinct before anything else, so repeated contents do not travel.
+    Only the rows of digests that the cache lacks bring their content, and of these each task keeps one per digest before they travel.
     """
-    return rows.groupBy("digest").agg(F.any_value(content).alias(content)).join(cache.select("digest"), "digest", "left_anti")
+    missing = rows.select("digest").distinct().join(cache.select("digest"), "digest", "left_anti")
+    return distinct_contents(rows.join(missing, "digest", "left_semi"), content)
+
+
+def distinct_contents(rows: DataFrame, content: str) -> DataFrame:
+    """(digest, content) once for each digest."""
+    return rows.groupBy("digest").agg(F.any_value(content).alias(content))
 
 
 def write_back(cache: DataFrame, made: DataFrame) -> DataFrame:

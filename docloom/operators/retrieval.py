@@ -15,6 +15,8 @@ MAX_CANDIDATES, MAX_CORPUS_SHARE = 20, 0.5
 MIN_SIMILARITY, MAX_DROP, RADIUS = 0.65, 0.10, 1
 #: Questions broadcast at once; more are worked off in blocks of this size.
 QUERY_BYTES = 64 << 20
+#: Places that context expansion broadcasts at most; more are joined by a shuffle.
+BROADCAST_PLACES = 1_000_000
 
 
 def corpus_size(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def top_k(chunks: DataFrame, queries: DataFrame, skip_self: bool = False, query_
 
     ``chunks``: user_id, source, chunk_index, embedding and, for ``skip_self``, the id that equals query_id.
     The limit depends on the size of the user's corpus. Questions are broadcast in blocks of bounded size, so
-    vectors are never shuffled; every batch of chunks keeps its own best before candidates meet by question.
+    vectors are never shuffled; every batch of chunks keeps its own best, and Spark's limit below the window those of a task, before candidates meet by question.
     Similarity is half of one plus the cosine; vectors of length zero or of another dimension are no
     candidates. Ties go by source and chunk_index.
     """
@@ -68,17 +70,18 @@ def best_of_batches(chunks: DataFrame, queries: DataFrame, skip_self: bool) -> D
             by_user[user, len(vector)][1].append(query_id)
         by_user = {k: (unit(np.array(v, np.float64)), ids) for k, (v, ids) in by_user.items()}
         for batch in batches:
-            users = batch.column("user_id").to_pylist()
-            vectors = batch.column("embedding").to_pylist()
             ids = batch.column("chunk_id").to_pylist()
+            flat = batch.column("embedding").values.to_numpy(zero_copy_only=False)
+            starts = batch.column("embedding").offsets.to_numpy()
+            sizes = np.where(batch.column("embedding").is_valid().to_numpy(zero_copy_only=False), np.diff(starts), -1)
             groups: dict[tuple, list[int]] = {}
-            for i, (user, vector) in enumerate(zip(users, vectors, strict=True)):
-                if vector is not None and (user, len(vector)) in by_user:
-                    groups.setdefault((user, len(vector)), []).append(i)
+            for i, key in enumerate(zip(batch.column("user_id").to_pylist(), sizes.tolist(), strict=True)):
+                if key in by_user:
+                    groups.setdefault(key, []).append(i)
             take, query_ids, sims = [], [], []
             for key, members in groups.items():
                 wanted, names = by_user[key]
-                matrix = unit(np.array([vectors[i] for i in members], np.float64))
+                matrix = unit(flat[starts[members][:, None] + np.arange(key[1])].astype(np.float64))
                 similarity = (1 + matrix @ wanted.T) / 2
                 for q, name in enumerate(names):
                     s = similarity[:, q].copy()
@@ -124,18 +127,21 @@ def low_confidence(queries: DataFrame, kept: DataFrame) -> DataFrame:
     return queries.select("query_id").join(flags, "query_id", "left").select("query_id", F.coalesce("low_confidence", F.lit(True)).alias("low_confidence"))
 
 
-def expand_context(hits: DataFrame, chunks: DataFrame, radius: int = RADIUS) -> DataFrame:
+def expand_context(hits: DataFrame, chunks: DataFrame, radius: int = RADIUS, most_hits: int | None = None) -> DataFrame:
     """Hits and their neighbours within ``radius`` in the same user's source; neighbours have similarity 0.
 
     Neighbour keys are made by ``sequence`` and met by an equi-join, which shuffles evenly where a range join
-    would not. Of several stored rows of one place the latest counts. Radius 0 gives the hits as they are.
+    would not. Where ``most_hits``, a bound on the hits, keeps the keys under ``BROADCAST_PLACES``, they are broadcast and the
+    chunk table stays where it is. Of several stored rows of one place the latest counts. Radius 0 gives the hits as they are.
     """
     if radius <= 0:
         return hits
     around = hits.select("query_id", "user_id", "source", F.col("chunk_index").alias("hit"), "similarity", F.explode(F.sequence(F.col("chunk_index") - radius, F.col("chunk_index") + radius)).alias("chunk_index"))
     own = F.when(F.col("hit") == F.col("chunk_index"), F.col("similarity")).otherwise(F.lit(0.0))
     places = around.groupBy("query_id", "user_id", "source", "chunk_index").agg(F.max(own).alias("similarity"))
-    stored = places.select("user_id", "source", "chunk_index").distinct().join(chunks, ["user_id", "source", "chunk_index"])
+    keys = places.select("user_id", "source", "chunk_index").distinct()
+    few = most_hits is not None and most_hits * (2 * radius + 1) <= BROADCAST_PLACES
+    stored = chunks.join(F.broadcast(keys) if few else keys, ["user_id", "source", "chunk_index"])
     latest = stored.groupBy("user_id", "source", "chunk_index").agg(F.max_by(F.struct("chunk", "header"), F.struct("file_mtime", "chunk_id")).alias("row"))
     return places.join(latest, ["user_id", "source", "chunk_index"]).select("query_id", "user_id", "source", "chunk_index", "similarity", "row.*")
 

@@ -107,11 +107,18 @@ def merged_boundaries(boundaries: DataFrame, sentences: DataFrame, key: str, lea
 
 
 def boundary_texts(boundaries: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
-    """(key, pos, header, chunk): sentences start..end joined by blanks; gaps drop text and overlaps repeat it."""
+    """(key, pos, header, chunk): sentences start..end joined by blanks; gaps drop text and overlaps repeat it.
+
+    All boundaries of a document meet its sentences in one row, so its text travels once however many there are.
+    """
     listed = sentences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
-    first = F.greatest(F.col("start"), F.lit(0))
-    chunk = F.array_join(F.slice("sentences", first + 1, F.greatest(F.col("end") - first + 1, F.lit(0))), " ")
-    return boundaries.join(listed, key).select(key, "pos", "header", chunk.alias("chunk"))
+    bounds = boundaries.groupBy(key).agg(F.collect_list(F.struct("pos", "header", F.greatest("start", F.lit(0)).alias("first"), "end")).alias("bounds"))
+
+    def text(b):
+        return F.array_join(F.slice("sentences", b["first"] + 1, F.greatest(b["end"] - b["first"] + 1, F.lit(0))), " ")
+
+    made = F.transform("bounds", lambda b: F.struct(b["pos"].alias("pos"), b["header"].alias("header"), text(b).alias("chunk")))
+    return listed.join(bounds, key).select(key, F.explode(made).alias("made")).select(key, "made.*")
 
 
 def chunk_semantically(docs: DataFrame, replies: DataFrame, key: str, text: str = "text", target: int = TARGET_WORDS, least: int = MIN_WORDS) -> DataFrame:

@@ -98,10 +98,13 @@ kept AS (SELECT * EXCLUDE (stop, stops) FROM (
              FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY rank)))
          WHERE stops = 0)"""
 
-#: Replies of ``replies`` as lists: what repair leaves, whether they fail, whether they are rejected.
-REPLIES_SQL = (
-    VECTORS_SQL
-    + """,
+
+def replies_sql(rows: str = "cand") -> str:
+    """Replies of ``replies`` to the candidates in ``rows`` as lists: what repair leaves, whether they fail, whether they are rejected."""
+    return VECTORS_SQL + _REPLIES.replace("cand", rows)
+
+
+_REPLIES = """,
 size AS (SELECT query_id, count(*) AS n FROM cand GROUP BY query_id),
 reply AS (SELECT query_id, n, CASE WHEN (query_id // 25) % 7 = 6 THEN 3 ELSE (query_id // 25) % 6 END AS pick FROM size),
 state AS (SELECT query_id, n, pick = 3 AS failed,
@@ -109,4 +112,19 @@ state AS (SELECT query_id, n, pick = 3 AS failed,
 chosen AS (SELECT query_id, unnest(idx) AS i, generate_subscripts(idx, 1) AS place FROM state WHERE NOT failed AND len(idx) > 0),
 reranked AS (SELECT c.*, place, FALSE AS rejected FROM cand c JOIN chosen s ON c.query_id = s.query_id AND c.rank = s.i + 1 WHERE place <= 5
              UNION ALL SELECT c.*, rank AS place, NOT failed AS rejected FROM cand c JOIN state s USING (query_id) WHERE (failed OR len(idx) = 0) AND rank <= 5)"""
-)
+
+#: Letters that the stand-in model of the queries counts; its vectors have a twin in SQL.
+LETTERS = "etaoinshrdlu"
+
+
+def letter_model(texts: list[str]) -> list[list[float]]:
+    return [[float(text.count(c)) for c in LETTERS] for text in texts]
+
+
+def letter_weight(vector: str):
+    """The numbers of a vector in one: each times its place."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+#: ``letter_weight`` of the vector of a text.
+LETTERS_SQL = "(" + " + ".join(f"{k} * (length({{0}}) - length(replace({{0}}, '{c}', '')))" for k, c in enumerate(LETTERS, 1)) + ")"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.chunking import chunk_documents
 from docloom.operators import cache, catalog, embedding, incremental, pages
-from docloom.plans.corpora import FILES_SQL, LINES_SQL, files, line_chunks
+from docloom.plans.corpora import FILES_SQL, LETTERS_SQL, LINES_SQL, files, letter_model, letter_weight, line_chunks
 from docloom.plans.jobs import chunk_files, ingest
+from docloom.plans.text_queries import LOOSE_SQL, bounded_sql, loose_sql
+from docloom.schemas import VECTORS
 
 Frame = DataFrame
 
@@ -154,6 +156,20 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> Frame:
     return cache.misses(rows, known, "chunk").select("digest", F.length("chunk").alias("n_chars"))
 
 
+def cache_growth(spark: SparkSession, sf_dir: str) -> Frame:
+    """The cache after the missing lines were written back: known keys keep their value."""
+    rows = cache.with_digest(line_chunks(spark, sf_dir).select("doc_id", "chunk"), "chunk")
+    known = rows.where("doc_id % 2 = 0").select("digest", F.lit("known").alias("value")).distinct()
+    made = rows.where("doc_id % 3 = 0").select("digest", F.lit("made").alias("value")).distinct()
+    return cache.write_back(known, made)
+
+
+def cache_hits(spark: SparkSession, sf_dir: str) -> Frame:
+    """Counts over all look-ups."""
+    rows = cache.with_digest(line_chunks(spark, sf_dir).select("doc_id", "chunk"), "chunk")
+    return cache.hit_report(cache.look_up(rows, rows.where("doc_id % 2 = 0").select("digest").distinct().withColumn("value", F.lit("x"))))
+
+
 def cache_keys(spark: SparkSession, sf_dir: str) -> Frame:
     rows = files(spark, sf_dir)
     text = F.col("text")
@@ -168,19 +184,17 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> Frame:
 def chunk_distinct(spark: SparkSession, sf_dir: str) -> Frame:
     """Chunk counts of files where each distinct text was chunked once and met by its digest."""
     rows = cache.with_digest(files(spark, sf_dir).select("doc_id", "text"), "text")
-    distinct = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
-    chunks = chunk_documents(distinct, ["digest"]).groupBy("digest").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"))
+    chunks = chunk_documents(cache.distinct_contents(rows, "text"), ["digest"]).groupBy("digest").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"))
     return rows.select("doc_id", "digest").join(chunks, "digest").select("doc_id", "n_chunks", "longest")
 
 
 def embed_new_texts(spark: SparkSession, sf_dir: str) -> Frame:
     """Vectors of the lines of documents; those of every second one come from the cache."""
     rows = line_chunks(spark, sf_dir).select("doc_id", "chunk_index", "chunk")
-    model = embedding.hashing_model()
-    none = spark.createDataFrame([], "digest string, embedding array<float>")
-    known = embedding.embed_distinct(cache.misses(cache.with_digest(rows.where("doc_id % 2 = 0"), "chunk"), none, "chunk"), model, "chunk").select("digest", "embedding")
-    out, _ = embedding.embed_rows(rows, known, model, "chunk")
-    return out.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"), "error")
+    none = spark.createDataFrame([], VECTORS)
+    _, known = embedding.embed_rows(rows.where("doc_id % 2 = 0"), none, letter_model, "chunk")
+    out, _ = embedding.embed_rows(rows, known, letter_model, "chunk")
+    return out.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), letter_weight("embedding").alias("weight"), "error")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> Frame:
@@ -196,8 +210,8 @@ def _images(spark: SparkSession, sf_dir: str) -> tuple[Frame, Frame, Frame]:
     count = (F.col("doc_id") % 2 + 1).cast("int")
     part = rows.select("path", "page_num", "doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("img_idx"))
     embedded = part.select("path", "page_num", "img_idx", F.concat(F.lit("figure "), ((F.col("doc_id") + F.col("img_idx")) % 89).cast("string")).cast("binary").alias("content"))
-    every = whole.select("content").unionByName(embedded.select("content")).distinct()
-    said = every.where(F.length("content") % 3 != 0).select(cache.digest(F.col("content")).alias("digest"), F.concat(F.lit("text of "), F.col("content").cast("string")).alias("text"))
+    every = whole.select("content", F.lit(pages.STRICT).alias("prompt")).unionByName(embedded.select("content", F.lit(pages.RELAXED).alias("prompt"))).distinct()
+    said = every.where(F.length("content") % 3 != 0).select(pages.vision_digest(F.col("content"), F.col("prompt")).alias("digest"), F.concat(F.lit("text of "), F.col("content").cast("string")).alias("text"))
     return whole, embedded, said
 
 
@@ -212,7 +226,7 @@ def page_word_counts(spark: SparkSession, sf_dir: str) -> Frame:
 def vision_requests(spark: SparkSession, sf_dir: str) -> Frame:
     whole, embedded, said = _images(spark, sf_dir)
     requests = pages.image_requests(pages.route(_pages(spark, sf_dir)), whole, embedded)
-    return pages.vision_requests(requests, said).select("digest", "n_uses", F.col("content").cast("string").alias("content"))
+    return pages.vision_requests(requests, said).select("digest", "n_uses", "prompt", F.col("content").cast("string").alias("content"))
 
 
 def page_assembly(spark: SparkSession, sf_dir: str) -> Frame:
@@ -240,9 +254,8 @@ def image_files(spark: SparkSession, sf_dir: str) -> Frame:
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> Frame:
     """Chunks per file after an incremental run over the stored table."""
     stored = incremental.chunk_rows(_stored(spark, sf_dir))
-    none = spark.createDataFrame([], "digest string, embedding array<float>")
-    done = ingest(files(spark, sf_dir).where("doc_id % 11 <> 0"), stored, none, embedding.hashing_model())
-    return done.chunks.groupBy("user_id", "source", "content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("embedding").alias("n_vectors"))
+    done = ingest(files(spark, sf_dir).where("doc_id % 11 <> 0"), stored, spark.createDataFrame([], VECTORS), letter_model)
+    return done.chunks.groupBy("user_id", "source", "content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("embedding").alias("n_vectors"), F.sum(F.coalesce(letter_weight("embedding"), F.lit(0))).alias("weight"))
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> Frame:
@@ -252,15 +265,19 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> Frame:
 
 PAGES_SQL = """page AS (SELECT doc_id, 'pdf' || (doc_id // 5) AS path, (doc_id % 5)::INT AS page_num, trim(text, ' ') AS text FROM documents),
 routed AS (SELECT *, CASE WHEN len(regexp_extract_all(text, '\\S+')) < 50 THEN 'strict' ELSE 'relaxed' END AS strategy FROM page),
-request AS (SELECT path, page_num, 0 AS img_idx, 'scan ' || (doc_id % 97) AS content FROM routed WHERE strategy = 'strict'
-            UNION ALL SELECT path, page_num, k, 'figure ' || ((doc_id + k) % 89) FROM (SELECT *, unnest(range(0, doc_id % 2 + 1)) AS k FROM routed WHERE strategy = 'relaxed')),
+request AS (SELECT path, page_num, 0 AS img_idx, 'strict' AS prompt, 'scan ' || (doc_id % 97) AS content FROM routed WHERE strategy = 'strict'
+            UNION ALL SELECT path, page_num, k, 'relaxed', 'figure ' || ((doc_id + k) % 89) FROM (SELECT *, unnest(range(0, doc_id % 2 + 1)) AS k FROM routed WHERE strategy = 'relaxed')),
 said AS (SELECT *, CASE WHEN length(content) % 3 <> 0 THEN 'text of ' || content END AS said FROM request)"""
 
+#: The chunks of all files, as the chunk jobs make them.
+CHUNKED_SQL = f"""lt AS (SELECT doc_id, text FROM files WHERE file_type IS DISTINCT FROM '.pdf'), pt AS (SELECT doc_id, text FROM files WHERE file_type = '.pdf'), {loose_sql("lt")}, {bounded_sql("pt")},
+made AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS chunk_index, chunk FROM (SELECT * FROM chunk UNION ALL SELECT * FROM bchunk))"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         list_documents, index_stats, stored_types, approximate_types, indexed_files, corpus_totals, file_type_counts, existing_files, change_detection, files_to_process, change_summary, replace_modified,
-        delete_sources, deletion_report, append_run, failed_sources, upsert_users, user_ids, cascade_delete_users, cache_split, cache_misses, cache_keys, cache_stats, chunk_distinct, embed_new_texts,
+        delete_sources, deletion_report, append_run, failed_sources, upsert_users, user_ids, cascade_delete_users, cache_split, cache_misses, cache_growth, cache_hits, cache_keys, cache_stats, chunk_distinct, embed_new_texts,
         page_route, page_word_counts, vision_requests, page_assembly, document_texts, image_files, incremental_ingest, chunk_table,
     )
 }
@@ -292,11 +309,20 @@ FROM customer, k GROUP BY c_custkey % 2""",
     "cascade_delete_users": f"WITH {LINES_SQL} SELECT user_id, count(*) AS n FROM chunks WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id",
     "cache_split": f"WITH {LINES_SQL}, known AS (SELECT DISTINCT chunk FROM chunks WHERE doc_id % 2 = 0) SELECT doc_id, count(k.chunk) AS n_hits, count(*) - count(k.chunk) AS n_misses FROM chunks c LEFT JOIN known k USING (chunk) GROUP BY doc_id",
     "cache_misses": f"WITH {LINES_SQL} SELECT DISTINCT sha256(chunk) AS digest, length(chunk)::INT AS n_chars FROM chunks WHERE chunk NOT IN (SELECT chunk FROM chunks WHERE doc_id % 2 = 0)",
+    "cache_growth": f"WITH {LINES_SQL} SELECT sha256(chunk) AS digest, CASE WHEN bool_or(doc_id % 2 = 0) THEN 'known' ELSE 'made' END AS value FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY chunk",
+    "cache_hits": f"WITH {LINES_SQL}, known AS (SELECT DISTINCT chunk AS k FROM chunks WHERE doc_id % 2 = 0) SELECT count(*) AS n_rows, count(k) AS n_hits, count(DISTINCT CASE WHEN k IS NULL THEN chunk END) AS n_missing_keys FROM chunks LEFT JOIN known ON chunk = k",
+    "chunk_distinct": f"{LOOSE_SQL} SELECT doc_id, count(*) AS n_chunks, max(length(chunk))::INT AS longest FROM chunk GROUP BY doc_id",
+    "chunk_table": f"WITH RECURSIVE {FILES_SQL}, {CHUNKED_SQL} SELECT user_id, source, file_type, chunk_index, chunk FROM made JOIN files USING (doc_id)",
+    "embed_new_texts": f"WITH {LINES_SQL} SELECT doc_id, chunk_index::INT AS chunk_index, 12 AS dim, ({LETTERS_SQL.format('chunk')})::BIGINT AS weight, NULL::VARCHAR AS error FROM chunks",
+    "incremental_ingest": f"""WITH RECURSIVE {STORED_SQL}, {CHUNKED_SQL},
+done AS (SELECT s.user_id, s.source, s.content_hash, count(*) AS n_chunks, 0 AS n_vectors, 0 AS weight FROM stored s JOIN status t USING (user_id, source) WHERE t.status = 'unchanged' GROUP BY ALL
+         UNION ALL SELECT user_id, source, f.content_hash, count(*), count(*), sum({LETTERS_SQL.format('chunk')})::BIGINT FROM made JOIN files f USING (doc_id) JOIN status t USING (user_id, source) WHERE t.status IN ('new', 'modified') GROUP BY ALL)
+SELECT * FROM done""",
     "cache_keys": "SELECT doc_id, 'embedding:' || left(sha256(text), 16) AS embedding_key, 'chunks:' || left(sha256(sha256(text) || '|500|100|no_ocr'), 16) AS chunk_key, 'chunks:' || left(sha256(sha256(text) || '|500|100|ocr|auto|50'), 16) AS ocr_key FROM documents",
     "cache_stats": f"WITH {FILES_SQL} SELECT 'chunks' AS kind, count(*) AS n_entries, sum(strlen(text))::BIGINT AS n_bytes FROM files UNION ALL SELECT 'ocr', count(*), sum(strlen(text))::BIGINT FROM files WHERE file_type = '.pdf'",
     "page_route": f"WITH {PAGES_SQL} SELECT path, page_num, strategy FROM routed",
     "page_word_counts": "WITH w AS (SELECT 'pdf' || (doc_id // 5) AS path, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT path, count(*) AS n_pages, sum(n)::BIGINT AS n_words, min(n)::INT AS fewest, max(n)::INT AS most FROM w GROUP BY path",
-    "vision_requests": f"WITH {PAGES_SQL} SELECT sha256(content) AS digest, count(*) AS n_uses, content FROM said WHERE said IS NULL GROUP BY content",
+    "vision_requests": f"WITH {PAGES_SQL} SELECT sha256(sha256(content) || '|' || prompt) AS digest, count(*) AS n_uses, prompt, content FROM said WHERE said IS NULL GROUP BY prompt, content",
     "page_assembly": f"""WITH {PAGES_SQL}, m AS (SELECT path, page_num, string_agg(chr(10) || chr(10) || '[image: ' || said || ']', '' ORDER BY img_idx) AS marks, any_value(said) AS one FROM said GROUP BY ALL)
 SELECT path, page_num, md5(CASE WHEN strategy = 'strict' THEN coalesce(one, '') ELSE text || coalesce(marks, '') END) AS text_md5 FROM routed LEFT JOIN m USING (path, page_num)""",
     "document_texts": f"""WITH {PAGES_SQL}, t AS (SELECT path, page_num, CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END AS text FROM page)

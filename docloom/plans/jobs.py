@@ -1,14 +1,17 @@
-"""Whole jobs: incremental ingest, contexts for a table of questions, catalogue."""
+"""Whole jobs: incremental ingest, a directory brought into the chunk table, contexts for a table of questions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.chunking import MAX_LEN, OVERLAP, chunk_documents
-from docloom.operators import catalog, context, embedding, incremental, rerank, retrieval
+from docloom.operators import context, embedding, incremental, rerank, retrieval
+from docloom.sources import chunk_table
+from docloom.sources import files as file_tables
+from docloom.sources.scratch import discard, materialise, new_path
 
 FILE = ["user_id", "source"]
 
@@ -19,9 +22,7 @@ def chunk_files(files: DataFrame, max_len: int = MAX_LEN, overlap: int = OVERLAP
     PDF text goes through the bounded chunker, everything else through the loose one.
     """
     keys = ["user_id", "source", "file_type", "content_hash", "file_mtime"]
-    pdf = F.coalesce(F.col("file_type") == ".pdf", F.lit(False))
-    bounded = chunk_documents(files.where(pdf), keys, "text", True, max_len, overlap)
-    return bounded.unionByName(chunk_documents(files.where(~pdf), keys, "text", False, max_len, overlap))
+    return chunk_documents(files, keys, "text", F.coalesce(F.col("file_type") == ".pdf", F.lit(False)), max_len, overlap)
 
 
 @dataclass
@@ -42,17 +43,61 @@ def ingest(files: DataFrame, chunks: DataFrame, known: DataFrame, model: embeddi
     as gone to a path prefix.
     """
     current = files.select(*FILE, "content_hash", F.col("file_mtime").alias("mtime"))
-    classified = incremental.classify(current, incremental.existing_files(chunks, scope))
-    work = incremental.to_process(classified).select(*FILE)
-    made = chunk_files(files.join(work, FILE, "left_semi"))
+    classified = materialise(incremental.classify(current, incremental.existing_files(chunks, scope)), "classified")
+    changed = files.join(incremental.to_process(classified).select(*FILE), FILE, "left_semi")
+    return apply_changes(classified, changed.withColumn("error", F.lit(None).cast("string")), chunks, known, model)
+
+
+def apply_changes(classified: DataFrame, changed: DataFrame, chunks: DataFrame, known: DataFrame, model: embedding.Model) -> Ingested:
+    """Put the ``changed`` files (as in ``ingest``, with ``error`` where there is no text) into ``chunks``.
+
+    What was chunked and what the model gave is written once, and everything is derived from that: a model that fails
+    now and then never gives one answer to the new rows and another one to the list of failures.
+    """
+    unread = changed.where("error IS NOT NULL").select(*FILE, "error")
+    made = materialise(chunk_files(changed.where("error IS NULL")), "chunks")
     embedded, grown = embedding.embed_rows(made, known, model, "chunk")
     good, failed = incremental.complete_sources(embedded)
+    failed = failed.unionByName(unread)
     fresh = incremental.chunk_rows(good)
     modified = classified.where(F.col("status") == incremental.MODIFIED).select(*FILE, "content_hash")
     kept = incremental.delete_sources(chunks, incremental.to_delete(classified))
     return Ingested(incremental.replace_modified(kept, fresh, failed, modified), grown, classified, failed)
 
 
+def index_directory(
+    spark: SparkSession, directory: str, table: str, cache: str, model: embedding.Model, user_id: int, extensions: list[str] | None = None, recognised: DataFrame | None = None
+) -> Ingested:
+    """Bring one user's part of the chunk table at ``table`` up to date with the files under ``directory``.
+
+    The listing keeps names and hashes only; texts are read of what is new or modified. Vectors go to the cache
+    table at ``cache``, shared by all users, which only grows. Files that cannot be read, pictures and PDF files
+    without recognised text are in ``failed`` and keep their old rows. A repeated run changes nothing.
+    """
+    found = file_tables.scan_directory(spark, directory, extensions)
+    listed = materialise(found.select(F.lit(user_id).alias("user_id"), F.col("path").alias("source"), "content_hash", "mtime"), "listing")
+    chunks = chunk_table.stored_chunks(spark, table, user_id)
+    classified = materialise(incremental.classify(listed, incremental.existing_files(chunks, directory)), "classified")
+    work = incremental.to_process(classified).select(F.col("source").alias("path"))
+    todo = materialise(found.join(work, "path", "left_semi"), "changed-files")
+    texts = file_tables.load_texts(todo, recognised)
+    changed = todo.drop("content").join(texts, "path").select(F.lit(user_id).alias("user_id"), F.col("path").alias("source"), F.col("ext").alias("file_type"), "content_hash", F.col("mtime").alias("file_mtime"), "text", "error")
+    known = embedding.stored_vectors(spark, cache)
+    done = apply_changes(classified, changed, chunks, known, model)
+    failed = materialise(done.failed, "failed")
+    chunk_table.write_snapshot(done.chunks, table, new_path(spark, "snapshot"), user_id)
+    done.cache.join(known.select("digest"), "digest", "left_anti").write.mode("append").parquet(cache)
+    discard(todo)
+    return Ingested(chunk_table.stored_chunks(spark, table, user_id), embedding.stored_vectors(spark, cache), classified, failed)
+
+
+def answer_questions(chunks: DataFrame, questions: DataFrame, model: embedding.Model, **options) -> dict[str, DataFrame]:
+    """The stages of ``question_contexts`` for questions (query_id, user_id, question) that have no vectors yet, and ``failed`` (query_id, error)."""
+    asked = embedding.embed_questions(questions, model)
+    found = question_contexts(chunks, asked.where("error IS NULL").drop("error"), **options)
+    return found | {"failed": asked.where("error IS NOT NULL").select("query_id", "error")}
+
+
 def question_contexts(chunks: DataFrame, queries: DataFrame, replies: DataFrame | None = None, on_reject: str = "fallback", radius: int = retrieval.RADIUS, skip_self: bool = False) -> dict[str, DataFrame]:
     """The stages of answering ``queries`` from ``chunks``: candidates, kept, reranked, expanded, context, prompts, funnel."""
     found = retrieval.top_k(chunks, queries, skip_self)
@@ -61,17 +106,9 @@ def question_contexts(chunks: DataFrame, queries: DataFrame, replies: DataFrame
     with_text = kept.join(texts.select("chunk_id", "chunk", "header"), "chunk_id")
     empty = queries.select("query_id", F.lit(None).cast("string").alias("response"))
     reranked = rerank.apply_rerank(with_text, empty if replies is None else replies, on_reject=on_reject, use=replies is not None)
-    expanded = retrieval.expand_context(reranked, chunks, radius)
+    expanded = retrieval.expand_context(reranked, chunks, radius, most_hits=queries.count() * rerank.TOP_K)
     contexts = context.context_text(expanded)
     prompts = context.prompts(queries, contexts, retrieval.low_confidence(queries, kept))
     corpus = retrieval.corpus_size(chunks, queries)
     funnel = context.funnel(queries, candidates=found, kept=kept, reranked=reranked, expanded=expanded).join(corpus, "query_id")
     return {"candidates": found, "kept": kept, "requests": rerank.rerank_requests(with_text, queries), "reranked": reranked, "expanded": expanded, "context": contexts, "prompts": prompts, "funnel": funnel}
-
-
-def catalogue(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The catalogue reports of a chunk table; keep it persisted or stored, for each report reads it."""
-    return {
-        "documents": catalog.list_documents(chunks), "types": catalog.file_types(chunks), "stats": catalog.index_stats(chunks),
-        "files": catalog.indexed_files(chunks), "totals": catalog.corpus_totals(chunks), "path_types": catalog.path_types(chunks),
-    }

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import context, rerank, retrieval
-from docloom.plans.corpora import REPLIES_SQL, VECTORS_SQL, questions, replies, vectors
-from docloom.plans.jobs import question_contexts
+from docloom.operators import context, embedding, rerank, retrieval
+from docloom.plans.corpora import VECTORS_SQL, questions, replies, replies_sql, vectors
+from docloom.plans.corpora import LETTERS_SQL, letter_model, letter_weight
+from docloom.plans.jobs import answer_questions, question_contexts
+from docloom.schemas import VECTORS
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,10 +80,26 @@ def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, queries, found = _found(spark, sf_dir)
-    kept = retrieval.cut_off(found)
-    counts = context.funnel(queries, candidates=found, kept=kept)
-    return counts.join(retrieval.low_confidence(queries, kept), "query_id").join(retrieval.corpus_size(chunks, queries), "query_id")
+    """How many rows each stage of the whole way leaves of each question."""
+    queries = questions(spark, sf_dir)
+    stages = question_contexts(vectors(spark, sf_dir), queries, replies(spark, sf_dir), skip_self=True)
+    return stages["funnel"].join(retrieval.low_confidence(queries, stages["kept"]), "query_id")
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say in conversations as questions, embedded with letter counts."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    asked = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 8).cast("int").alias("user_id"), F.col("text").alias("question"))
+    return embedding.embed_questions(asked, letter_model).select("query_id", "user_id", letter_weight("embedding").alias("weight"), "error")
+
+
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions without vectors to the funnel: chunks and questions are embedded with letter counts."""
+    chunks = vectors(spark, sf_dir).drop("embedding")
+    none = spark.createDataFrame([], VECTORS)
+    embedded = embedding.embed_rows(chunks, none, letter_model, "chunk")[0].drop("error")
+    asked = questions(spark, sf_dir).join(chunks.select(F.col("chunk_id").alias("query_id"), F.substring("chunk", 1, 200).alias("start")), "query_id")
+    return answer_questions(embedded, asked.select("query_id", "user_id", F.col("start").alias("question")), letter_model)["funnel"].select("query_id", "n_candidates", "corpus")
 
 
 def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,21 +120,32 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.functions.text import vector_from_text, vector_text
 
-    rows = vectors(spark, sf_dir).select("chunk_id", "embedding", vector_text("embedding").alias("text"))
+    """Vectors to text and back: dimension and parts of what was read again."""
+    rows = vectors(spark, sf_dir).select("chunk_id", vector_text("embedding").alias("text"))
     back = vector_from_text("text", 64)
-    return rows.select("chunk_id", F.size(back).alias("dim"), (back == F.col("embedding")).alias("same"))
+    return rows.select("chunk_id", F.size(back).alias("dim"), F.substring("text", 1, 1).alias("first"), *[F.get(back, F.lit(k)).cast("double").alias(f"x{k}") for k in (0, 31, 63)])
 
 
-EXPANDED = """,
-around AS (SELECT query_id, user_id, source, chunk_index + d AS chunk_index, CASE WHEN d = 0 THEN similarity ELSE 0.0 END AS similarity FROM cand, (SELECT unnest([-1, 0, 1]) AS d) WHERE rank <= 5),
+def _expanded(rows: str = "cand", condition: str = "rank <= 5") -> str:
+    """Hits with their neighbours and the context text made of them."""
+    return f""",
+around AS (SELECT query_id, user_id, source, chunk_index + d AS chunk_index, CASE WHEN d = 0 THEN similarity ELSE 0.0 END AS similarity FROM {rows}, (SELECT unnest([-1, 0, 1]) AS d) WHERE {condition}),
 place AS (SELECT query_id, user_id, source, chunk_index, max(similarity) AS similarity FROM around GROUP BY ALL),
 expanded AS (SELECT p.*, chunk, header FROM place p JOIN vec v USING (user_id, source, chunk_index)),
 ctx AS (SELECT query_id, string_agg('[Chunk ' || (chunk_index + 1) || '] ' || CASE WHEN coalesce(header, '') <> '' THEN header || ' ' ELSE '' END || '(source: ' || source || ')' || chr(10) || chunk || chr(10) || chr(10), '' ORDER BY source, chunk_index) AS context, count(*) AS n_chunks
         FROM expanded GROUP BY query_id)
 """
+
+
+EXPANDED, ANSWERED = _expanded(), _expanded("reranked", "TRUE")
 LOW = ", low AS (SELECT query_id, coalesce(bool_or(low_confidence), TRUE) AS low_confidence FROM queries LEFT JOIN kept USING (query_id) GROUP BY query_id)"
 
 
+PROMPTS = f"""SELECT query_id, CASE WHEN low_confidence THEN '{context.NOTICE.strip()}' || chr(10) ELSE '' END
+       || 'Answer from the passages below and cite them by their [Chunk n] marks; say when they do not hold the answer.' || chr(10) || chr(10) || coalesce(context, '') || 'Question: ' || question || chr(10) AS prompt
+FROM queries LEFT JOIN ctx USING (query_id) LEFT JOIN low USING (query_id)"""
+
+
 def _file_search_sql(pool: int, limit: int, digits: int) -> str:
     return f"""WITH {VECTORS_SQL},
 f AS (SELECT query_id, source, max(similarity) AS best, arg_min(chunk_id, rank) AS best_chunk, count(*) AS chunk_count FROM cand WHERE rank <= {pool} GROUP BY query_id, source),
@@ -128,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, corpus_limits, similarity_cutoff, expand_context, file_search, file_search_dedup, apply_rerank, rerank_strict, rerank_state, rerank_requests,
-        context_text, context_labels, source_list, retrieval_funnel, prompt_texts, retrieve_context, lsh_topk, vector_texts,
+        context_text, context_labels, source_list, retrieval_funnel, prompt_texts, retrieve_context, lsh_topk, vector_texts, question_vectors, answered_questions,
     )
 }
 SQL = {
@@ -138,9 +167,9 @@ SQL = {
     "expand_context": f"WITH {VECTORS_SQL}{EXPANDED} SELECT query_id, source, chunk_index, round(similarity, 4) AS similarity, md5(chunk) AS chunk_md5, header FROM expanded",
     "file_search": _file_search_sql(20, 10, 4),
     "file_search_dedup": _file_search_sql(10, 5, 3),
-    "apply_rerank": f"WITH {REPLIES_SQL} SELECT query_id, place, chunk_id, rejected FROM reranked",
-    "rerank_strict": f"WITH {REPLIES_SQL} SELECT query_id, place, chunk_id FROM reranked WHERE NOT rejected",
-    "rerank_state": f"WITH {REPLIES_SQL} SELECT query_id, coalesce(NOT failed AND len(idx) = 0, TRUE) AS rejected FROM queries LEFT JOIN state USING (query_id)",
+    "apply_rerank": f"WITH {replies_sql()} SELECT query_id, place, chunk_id, rejected FROM reranked",
+    "rerank_strict": f"WITH {replies_sql()} SELECT query_id, place, chunk_id FROM reranked WHERE NOT rejected",
+    "rerank_state": f"WITH {replies_sql()} SELECT query_id, coalesce(NOT failed AND len(idx) = 0, TRUE) AS rejected FROM queries LEFT JOIN state USING (query_id)",
     "rerank_requests": f"""WITH {VECTORS_SQL}
 SELECT query_id, question, count(*) AS n,
        md5(string_agg('[' || (rank - 1) || '] ' || CASE WHEN coalesce(header, '') <> '' THEN header || chr(10) ELSE '' END || left(chunk, 500) || CASE WHEN length(chunk) > 500 THEN '...' ELSE '' END || chr(10) || chr(10), '' ORDER BY rank)) AS numbered_md5
@@ -149,12 +178,15 @@ FROM cand JOIN queries USING (query_id) JOIN vec USING (chunk_id) GROUP BY query
     "context_labels": f"WITH {VECTORS_SQL}{EXPANDED} SELECT query_id, source, chunk_index, CASE WHEN similarity > 0 THEN printf('similarity: %.3f', similarity) ELSE 'context' END AS label FROM expanded",
     "source_list": f"""WITH {VECTORS_SQL} SELECT query_id, rank AS place, cand.source AS file, cand.chunk_index, round(similarity, 4) AS similarity, header,
        left(chunk, 200) || CASE WHEN length(chunk) > 200 THEN '...' ELSE '' END AS preview FROM cand JOIN vec USING (chunk_id) WHERE rank <= 10""",
-    "retrieval_funnel": f"""WITH {VECTORS_SQL}{LOW}
-SELECT query_id, (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS n_candidates, (SELECT count(*) FROM kept k WHERE k.query_id = q.query_id) AS n_kept, low_confidence, corpus
+    "retrieval_funnel": f"""WITH {replies_sql("kept")}{ANSWERED}{LOW}
+SELECT query_id, (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS n_candidates, (SELECT count(*) FROM kept k WHERE k.query_id = q.query_id) AS n_kept,
+       (SELECT count(*) FROM reranked r WHERE r.query_id = q.query_id) AS n_reranked, (SELECT count(*) FROM expanded e WHERE e.query_id = q.query_id) AS n_expanded, low_confidence, corpus
 FROM queries q JOIN low USING (query_id) JOIN corpus USING (query_id)""",
-    "prompt_texts": f"""WITH {VECTORS_SQL}{EXPANDED}{LOW}
-SELECT query_id, CASE WHEN low_confidence THEN '{context.NOTICE.strip()}' || chr(10) ELSE '' END
-       || 'Answer from the passages below and cite them by their [Chunk n] marks; say when they do not hold the answer.' || chr(10) || chr(10) || coalesce(context, '') || 'Question: ' || question || chr(10) AS prompt
-FROM queries LEFT JOIN ctx USING (query_id) LEFT JOIN low USING (query_id)""",
-    "vector_texts": "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim, TRUE AS same FROM embeddings",
+    "retrieve_context": f"WITH {replies_sql('kept')}{ANSWERED}{LOW}\n{PROMPTS}",
+    "question_vectors": f"SELECT conv_id * 1000 + turn AS query_id, (conv_id % 8)::INT AS user_id, {LETTERS_SQL.format('text')} AS weight, NULL::VARCHAR AS error FROM conversations WHERE role = 'user'",
+    "answered_questions": f"WITH {VECTORS_SQL}, letters AS (SELECT * FROM vec WHERE {LETTERS_SQL.format('chunk')} > 0), n AS (SELECT query_id, count(v.chunk_id) AS usable FROM queries q LEFT JOIN letters v USING (user_id) GROUP BY query_id)\n"
+    "SELECT query_id, CASE WHEN q.weight = 0 THEN 0 ELSE least(greatest(least(20, floor(corpus * 0.5)), 1), usable) END::BIGINT AS n_candidates, corpus FROM corpus JOIN n USING (query_id) JOIN "
+    f"(SELECT chunk_id AS query_id, {LETTERS_SQL.format('left(chunk, 200)')} AS weight FROM vec) q USING (query_id)",
+    "prompt_texts": f"WITH {VECTORS_SQL}{EXPANDED}{LOW}\n{PROMPTS}",
+    "vector_texts": "SELECT vec_id AS chunk_id, len(embedding)::INT AS dim, '[' AS first, embedding[1]::DOUBLE AS x0, embedding[32]::DOUBLE AS x31, embedding[64]::DOUBLE AS x63 FROM embeddings",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +9,10 @@ from docloom.functions.chunking import chunk_documents
 from docloom.functions.text import extension, family, normalise_space, preview, safe_filename, split_sentences, stem, unique_name, word_count
 from docloom.operators import semantic
 from docloom.plans.corpora import FILES_SQL, files, table
-from docloom.plans.jobs import chunk_files
+from docloom.sources.chunk_table import stored_chunks
 from docloom.sources.files import html_text_column
+from docloom.sources.scratch import new_path
+from docloom.streaming.ingest import start_upload_stream
 
 Frame = DataFrame
 
@@ -80,14 +79,18 @@ def merge_small_chunks(spark: SparkSession, sf_dir: str) -> Frame:
     return semantic.merged_boundaries(_threes(rows), rows, "doc_id", least=40)
 
 
+def _halves(requests: Frame) -> Frame:
+    """Replies that split every block in two; every third cannot be read."""
+    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    good = F.format_string('```json\n{"chunks": [{"start_sentence": 0, "end_sentence": %d, "header": "A"}, {"start_sentence": %d, "end_sentence": %d, "header": "B"}]}\n```', half, half + 1, F.col("n") - 1)
+    return requests.select("doc_id", "block", F.when(F.col("block") % 3 == 2, "sorry").otherwise(good).alias("response"))
+
+
 def boundary_chunks(spark: SparkSession, sf_dir: str) -> Frame:
     """Chunks from replies that split every block in two; every third reply cannot be read."""
     rows = sentence_words(spark, sf_dir)
     requests = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
-    half = F.floor((F.col("n") - 1) / 2).cast("int")
-    good = F.format_string('```json\n{"chunks": [{"start_sentence": 0, "end_sentence": %d, "header": "A"}, {"start_sentence": %d, "end_sentence": %d, "header": "B"}]}\n```', half, half + 1, F.col("n") - 1)
-    replies = requests.select("doc_id", "block", F.when(F.col("block") % 3 == 2, "sorry").otherwise(good).alias("response"))
-    found = semantic.parse_boundaries(requests, replies, "doc_id")
+    found = semantic.parse_boundaries(requests, _halves(requests), "doc_id")
     placed = found.select("doc_id", (F.col("block") * 10 + F.col("pos")).alias("pos"), "start", "end", "header")
     out = semantic.boundary_texts(placed, rows, "doc_id")
     text = semantic.embed_text(F.col("header"), F.col("chunk"))
@@ -95,10 +98,12 @@ def boundary_chunks(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> Frame:
-    """All of it with no reply at all: every block falls back to one boundary."""
+    """The whole way with the replies of ``boundary_chunks``, small chunks merged into their followers."""
     docs = table(spark, sf_dir, "documents")
-    none = spark.createDataFrame([], "doc_id bigint, block int, response string")
-    return semantic.chunk_semantically(docs, none, "doc_id", target=400, least=50).select("doc_id", "chunk_index", "header", F.length("chunk").alias("n_chars"))
+    rows = semantic.sentence_rows(docs, "doc_id")
+    requests = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    found = semantic.chunk_semantically(docs, _halves(requests), "doc_id", target=150, least=50)
+    return found.select("doc_id", "chunk_index", "header", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> Frame:
@@ -106,25 +111,22 @@ def html_text(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> Frame:
-    """Documents as a file stream whose batches are chunked and appended to a table: chunks per document."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
-    base = f"{where}/stream-{uuid.uuid4().hex}"
-    arriving = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    """Documents as text files, ten in each, that an upload stream indexes: chunks and characters by the hash of the file."""
+    base = new_path(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("tens"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("tens").sortWithinPartitions("tens", "doc_id").select("tens", "text").write.partitionBy("tens").text(f"{base}/landing")
+    start_upload_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", 0, once=True).awaitTermination()
+    return stored_chunks(spark, f"{base}/table", 0).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
 
-    def index(batch: Frame, batch_id: int) -> None:
-        rows = batch.select("doc_id", F.lit(0).alias("user_id"), F.col("doc_id").cast("string").alias("source"), F.lit(".txt").alias("file_type"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(None).cast("timestamp_ntz").alias("file_mtime"), "text")
-        chunk_files(rows).write.mode("append").parquet(f"{base}/table/batch={batch_id}")
 
-    query = arriving.writeStream.foreachBatch(index).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/table").groupBy(F.col("source").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+def sentences_of(text: str) -> str:
+    """The sentences of normalised text in SQL."""
+    return rf"string_split(regexp_replace(trim(regexp_replace({text}, '\s+', ' ', 'g'), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
-NORMAL_SQL = r"norm AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM documents)"
-LOOSE_SQL = (
-    "WITH RECURSIVE "
-    + NORMAL_SQL
-    + """,
+def loose_sql(rows: str) -> str:
+    """``chunk`` (doc_id, i, k, chunk): the loose chunks of ``rows`` (doc_id, text), ordered by i and k."""
+    return f"""norm AS (SELECT doc_id, {sentences_of("text")} AS a FROM {rows}),
 fold AS (
   SELECT doc_id, a, 0 AS i, '' AS cur, NULL::VARCHAR AS done FROM norm
   UNION ALL
@@ -134,7 +136,35 @@ fold AS (
   FROM fold WHERE i < len(a)),
 chunk AS (SELECT doc_id, i, 0 AS k, done AS chunk FROM fold WHERE done IS NOT NULL
           UNION ALL SELECT doc_id, i, 1, trim(cur, ' ') FROM fold WHERE i = len(a) AND trim(cur, ' ') <> '')"""
-)
+
+
+def bounded_sql(rows: str) -> str:
+    """``bchunk`` (doc_id, i, k, chunk): the bounded chunks of ``rows``: long sentences in segments of whole words, longer words in slices, pieces packed."""
+    return f"""bsent AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS n FROM (SELECT doc_id, {sentences_of("text")} AS a FROM {rows})),
+bword AS (SELECT doc_id, n, unnest(string_split(s, ' ')) AS w, generate_subscripts(string_split(s, ' '), 1) AS j FROM bsent WHERE length(s) > 500),
+bitem AS (SELECT doc_id, n, j, 0 AS h, w AS t, FALSE AS slice FROM bword WHERE length(w) <= 500
+          UNION ALL SELECT doc_id, n, j, h, substr(w, h * 500 + 1, 500), TRUE FROM (SELECT *, unnest(range(0, (length(w) + 499) // 500)) AS h FROM bword WHERE length(w) > 500)),
+blist AS (SELECT doc_id, n, list({{'t': t, 'slice': slice}} ORDER BY j, h) AS ws FROM bitem GROUP BY doc_id, n),
+bseg AS (
+  SELECT doc_id, n, ws, 0 AS i, '' AS seg, NULL::VARCHAR AS d1, NULL::VARCHAR AS d2 FROM blist
+  UNION ALL
+  SELECT doc_id, n, ws, i + 1, CASE WHEN x.slice THEN '' WHEN seg = '' OR length(seg) + 1 + length(x.t) > 500 THEN x.t ELSE seg || ' ' || x.t END,
+         CASE WHEN seg <> '' AND (x.slice OR length(seg) + 1 + length(x.t) > 500) THEN seg END, CASE WHEN x.slice THEN x.t END
+  FROM (SELECT *, ws[i + 1] AS x FROM bseg WHERE i < len(ws))),
+bpiece AS (SELECT doc_id, n, 0 AS i, 0 AS k, s AS piece FROM bsent WHERE length(s) <= 500
+           UNION ALL SELECT doc_id, n, i, 0, d1 FROM bseg WHERE d1 IS NOT NULL UNION ALL SELECT doc_id, n, i, 1, d2 FROM bseg WHERE d2 IS NOT NULL
+           UNION ALL SELECT doc_id, n, i, 2, seg FROM bseg WHERE i = len(ws)),
+bpieces AS (SELECT doc_id, list(piece ORDER BY n, i, k) AS p FROM bpiece GROUP BY doc_id),
+bfold AS (
+  SELECT doc_id, p, 0 AS i, '' AS held, NULL::VARCHAR AS done FROM bpieces
+  UNION ALL
+  SELECT doc_id, p, i + 1,
+         trim(CASE WHEN NOT past THEN held || ' ' || x WHEN length(x) >= 499 THEN left(x, 500) ELSE right(right(held, 100), 499 - length(x)) || ' ' || x END, ' '), CASE WHEN past THEN held END
+  FROM (SELECT *, p[i + 1] AS x, held <> '' AND length(held) + length(p[i + 1]) + 1 > 500 AS past FROM bfold WHERE i < len(p))),
+bchunk AS (SELECT doc_id, i, 0 AS k, done AS chunk FROM bfold WHERE done IS NOT NULL UNION ALL SELECT doc_id, i, 1, held FROM bfold WHERE i = len(p) AND held <> '')"""
+
+
+LOOSE_SQL = f"WITH RECURSIVE {loose_sql('documents')}"
 #: Sentences of the raw text, trimmed, without empty ones, and their words.
 SENTENCES_SQL = r"""raw AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS a FROM documents),
 sent AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS i FROM raw),
@@ -147,6 +177,10 @@ pack AS (
   FROM (SELECT *, total > 0 AND total + w[i + 1] > 150 AS cut FROM pack WHERE i < len(w))),
 ranges AS (SELECT doc_id, first, last FROM pack WHERE first IS NOT NULL UNION ALL SELECT doc_id, start, i - 1 FROM pack WHERE i = len(w)),
 blocks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS block, first::INT AS first, last::INT AS last FROM ranges)"""
+#: Boundaries as the replies of ``_halves`` give them.
+HALVES_SQL = """b AS (SELECT doc_id, block, first, last, first + (last - first) // 2 AS mid FROM blocks),
+p AS (SELECT doc_id, block * 10 AS pos, first AS s, last AS e, 'Content section' AS header FROM b WHERE block % 3 = 2
+      UNION ALL SELECT doc_id, block * 10, first, mid, 'A' FROM b WHERE block % 3 <> 2 UNION ALL SELECT doc_id, block * 10 + 1, mid + 1, last, 'B' FROM b WHERE block % 3 <> 2)"""
 MERGE_SQL = (
     f"WITH RECURSIVE {SENTENCES_SQL}"
     + """,
@@ -171,7 +205,7 @@ QUERIES = {
     )
 }
 SQL = {
-    "normalize_sentences": f"WITH {NORMAL_SQL} SELECT doc_id, unnest(list_transform(a, lambda s: md5(s))) AS sentence_md5, generate_subscripts(a, 1) - 1 AS i FROM norm",
+    "normalize_sentences": f"WITH norm AS (SELECT doc_id, {sentences_of('text')} AS a FROM documents) SELECT doc_id, unnest(list_transform(a, lambda s: md5(s))) AS sentence_md5, generate_subscripts(a, 1) - 1 AS i FROM norm",
     "word_counts": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words FROM documents",
     "previews": "SELECT doc_id, left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS preview, CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END::BIGINT AS n_snippet FROM documents",
     "safe_names": f"SELECT page_id, {SAFE.format(chr(39) + ' The page..' + chr(39))} AS a, {SAFE.format('url')} AS b FROM pages",
@@ -183,11 +217,21 @@ SQL = {
     "boundary_requests": f"""WITH RECURSIVE {SENTENCES_SQL} SELECT doc_id, block, any_value(first) AS "offset", count(*)::INT AS n, md5(string_agg('[' || (i - first) || '] ' || sentence, chr(10) ORDER BY i)) AS numbered_md5
 FROM blocks JOIN counted USING (doc_id) WHERE i BETWEEN first AND last GROUP BY doc_id, block""",
     "merge_small_chunks": MERGE_SQL,
-    "boundary_chunks": f"""WITH RECURSIVE {SENTENCES_SQL},
-b AS (SELECT doc_id, block, first, last, first + (last - first) // 2 AS mid FROM blocks),
-p AS (SELECT doc_id, block * 10 AS pos, first AS s, last AS e, 'Content section' AS header FROM b WHERE block % 3 = 2
-      UNION ALL SELECT doc_id, block * 10, first, mid, 'A' FROM b WHERE block % 3 <> 2 UNION ALL SELECT doc_id, block * 10 + 1, mid + 1, last, 'B' FROM b WHERE block % 3 <> 2)
+    "boundary_chunks": f"""WITH RECURSIVE {SENTENCES_SQL}, {HALVES_SQL}
 SELECT doc_id, pos, header, md5(header || chr(10) || chr(10) || coalesce(string_agg(sentence, ' ' ORDER BY i), '')) AS text_md5 FROM p LEFT JOIN counted USING (doc_id) WHERE i BETWEEN s AND e GROUP BY doc_id, pos, header
 UNION ALL SELECT doc_id, pos, header, md5(header || chr(10) || chr(10)) FROM p WHERE s > e""",
-    "stream_ingest": f"{LOOSE_SQL} SELECT doc_id, count(*) AS n_chunks FROM chunk GROUP BY doc_id",
+    "chunk_bounded": f"WITH RECURSIVE {bounded_sql('documents')} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS chunk_index, length(chunk)::INT AS n_chars, md5(chunk) AS chunk_md5 FROM bchunk",
+    "stream_ingest": f"""WITH RECURSIVE arrived AS (SELECT doc_id // 10 AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL), {loose_sql("arrived")}
+SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
+    "semantic_chunks": f"""WITH RECURSIVE {SENTENCES_SQL}, {HALVES_SQL},
+bounds AS (SELECT doc_id, any_value(w) AS w, list({{'s': s, 'e': e, 'h': header}} ORDER BY pos) AS bs FROM p JOIN lists USING (doc_id) GROUP BY doc_id),
+merge AS (
+  SELECT doc_id, w, bs, 1 AS k, bs[1].s AS start, bs[1].e AS stop, bs[1].h AS header, NULL::STRUCT(s BIGINT, e BIGINT, h VARCHAR) AS done FROM bounds
+  UNION ALL
+  SELECT doc_id, w, bs, k + 1, CASE WHEN small THEN start ELSE bs[k + 1].s END, bs[k + 1].e, CASE WHEN small THEN header || '; ' ELSE '' END || bs[k + 1].h, CASE WHEN NOT small THEN {{'s': start, 'e': stop, 'h': header}} END
+  FROM (SELECT *, coalesce(list_sum(w[start + 1 : stop + 1]), 0) < 50 AS small FROM merge WHERE k < len(bs))),
+kept AS (SELECT doc_id, k, done.s AS s, done.e AS e, done.h AS header FROM merge WHERE done IS NOT NULL UNION ALL SELECT doc_id, k + 1, start, stop, header FROM merge WHERE k = len(bs)),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index FROM kept)
+SELECT doc_id, chunk_index, header, md5(coalesce(string_agg(sentence, ' ' ORDER BY i) FILTER (i BETWEEN s AND e), '')) AS chunk_md5
+FROM placed LEFT JOIN counted USING (doc_id) GROUP BY doc_id, chunk_index, header, s, e""",
 }

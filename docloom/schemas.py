@@ -7,6 +7,8 @@ CHUNKS = (
     "id bigint, user_id int, chunk string, header string, embedding array<float>, source string, "
     "chunk_index int, file_type string, content_hash string, file_mtime timestamp_ntz"
 )
+VECTORS = "digest string, embedding array<float>"
+PENDING = "user_id int, source string, path string, file_type string, content_hash string, file_mtime timestamp_ntz, error string"
 CHUNK_COLUMNS = ["user_id", "chunk", "header", "embedding", "source", "chunk_index", "file_type", "content_hash", "file_mtime"]
 QUERIES = "query_id bigint, user_id int, question string, embedding array<float>"
 BOUNDARY_REPLY = "struct<chunks:array<struct<start_sentence:int,end_sentence:int,header:string>>>"

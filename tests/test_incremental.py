@@ -1,7 +1,10 @@
 import datetime
+import os
+import uuid
 
-from docloom.operators import catalog, embedding
+from docloom.operators import cache, catalog, embedding
 from docloom.operators import incremental as inc
+from docloom.plans import jobs
 from docloom.plans.jobs import ingest
 from docloom.schemas import CHUNKS
 
@@ -57,6 +60,45 @@ def test_replacement_and_failure(spark):
         e.with_retries = kept
 
 
+def test_a_flaky_model_sees_each_text_once_and_old_rows_stay(spark, tmp_path, monkeypatch):
+    """The model answers every second call only: whatever it failed on keeps its old rows, whatever is new has vectors."""
+    monkeypatch.setattr(embedding, "with_retries", lambda call, retries: call())
+    calls = str(tmp_path)
+
+    def model(texts):
+        n = len(os.listdir(calls))
+        with open(f"{calls}/{n}-{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        if n % 2:
+            raise OSError("down")
+        return [[1.0]] * len(texts)
+
+    old = stored(spark, [(1, f"f{i}", 0, "x", ".txt", "old") for i in range(8)])
+    files = spark.createDataFrame([(1, f"f{i}", ".txt", f"h{i}", TIME, f"Text {i}.") for i in range(8)], "user_id int, source string, file_type string, content_hash string, file_mtime timestamp_ntz, text string")
+    none = spark.createDataFrame([], "digest string, embedding array<float>")
+    done = jobs.ingest(files.repartition(4), old, none, model)
+    failed = {r["source"] for r in done.failed.collect()}
+    rows = {r["source"]: r for r in done.chunks.collect()}
+    assert set(rows) == {f"f{i}" for i in range(8)}
+    assert all(r["content_hash"] == "old" if s in failed else r["embedding"] is not None and r["content_hash"] != "old" for s, r in rows.items())
+    assert done.cache.count() == 8 - len(failed)
+    sent = [line for name in os.listdir(calls) for line in open(f"{calls}/{name}").read().split("\n")]
+    assert sorted(sent) == [f"Text {i}." for i in range(8)]
+
+
+def test_cache_write_back_and_clear(spark):
+    known = spark.createDataFrame([("a", "1")], "digest string, value string")
+    made = spark.createDataFrame([("a", "2"), ("b", "3")], "digest string, value string")
+    assert sorted(map(tuple, cache.write_back(known, made).collect())) == [("a", "1"), ("b", "3")]
+    assert cache.clear(known).count() == 0
+
+
+def test_questions_are_embedded_once_each(spark):
+    rows = spark.createDataFrame([(1, 1, "why"), (2, 1, "why"), (3, 2, "how")], "query_id bigint, user_id int, question string")
+    out = {r["query_id"]: r["embedding"] for r in embedding.embed_questions(rows, embedding.hashing_model(8)).collect()}
+    assert out[1] == out[2] != out[3] and len(out[3]) == 8
+
+
 def test_scope_protects_other_folders(spark):
     old = stored(spark, [(1, "A/x", 0, "x", ".txt", "h"), (1, "B/y", 0, "y", ".txt", "h")])
     files = [(1, "B/z", ".txt", "h1", TIME, "Z.")]

@@ -1,10 +1,13 @@
 import io
+import shutil
+import uuid
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.cache import digest
+from docloom.plans import jobs
 from docloom.sources import chunk_table, files
 from docloom.streaming.ingest import start_upload_stream
 
@@ -34,8 +37,12 @@ def test_scan_and_load(spark, folder):
     found = files.scan_directory(spark, str(folder))
     assert {r["path"].removeprefix(f"{folder}/"): r["family"] for r in found.collect()} == {"a.TXT": "text", "sub/b.md": "text", "c.html": "document", "d.docx": "document", "e.odt": "document", "g.png": "image"}
     assert files.scan_directory(spark, str(folder), [".MD"]).count() == 1
-    texts = {r["path"].rpartition("/")[2]: r["text"] for r in files.load_texts(found).collect()}
-    assert texts == {"a.TXT": "é one.\nTwo.", "b.md": "café", "c.html": "T\nA & b", "d.docx": "P1\nP2", "e.odt": ""}
+    rows = files.load_texts(found).collect()
+    assert {r["path"].rpartition("/")[2]: r["text"] for r in rows} == {"a.TXT": "é one.\nTwo.", "b.md": "café", "c.html": "T\nA & b", "d.docx": "P1\nP2", "e.odt": None, "g.png": None}
+    errors = {r["path"].rpartition("/")[2]: r["error"] for r in rows if r["error"]}
+    assert errors["e.odt"].startswith("BadZipFile") and errors["g.png"] == "LookupError: no recognised text of this image"
+    known = spark.createDataFrame([(f"{folder}/g.png", "a cat")], "path string, text string")
+    assert {r["text"] for r in files.load_texts(found, known).where("path LIKE '%.png'").collect()} == {"a cat"}
     raw = spark.read.format("binaryFile").load(str(folder))
     assert [r["path"].rpartition("/")[2] for r in files.unsupported(raw).collect()] == ["f.exe"]
 
@@ -46,7 +53,9 @@ def test_images_in_office_files(spark, folder):
     assert [(r["img_idx"], r["name"]) for r in images.collect()] == [(0, "word/media/i.PNG")]
     said = images.select(digest(F.col("content")).alias("digest"), F.lit("a cat").alias("text"))
     texts = files.with_image_texts(files.office_texts(office), images, said)
-    assert {r["text"] for r in texts.collect()} == {"P1\nP2\n\n[embedded image: a cat]", ""}
+    assert {r["text"] for r in texts.collect()} == {"P1\nP2\n\n[embedded image: a cat]", None}
+    blank = files.office_texts(office).withColumn("text", F.lit(" "))
+    assert {r["text"] for r in files.with_image_texts(blank, images, said).collect()} == {"[embedded image: a cat]", ""}
 
 
 def test_snapshot_rewrites_only_its_users(spark, tmp_path):
@@ -59,15 +68,63 @@ def test_snapshot_rewrites_only_its_users(spark, tmp_path):
     assert {(r["user_id"], r["chunk"]) for r in chunk_table.read_chunks(spark, table).collect()} == {(1, "z"), (2, "y")}
 
 
-def test_uploads_are_indexed_once(spark, folder, tmp_path):
+def test_uploads_are_indexed_once(spark, folder, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("stored")
     table, state = str(tmp_path / "table"), str(tmp_path / "state")
 
     def index():
         start_upload_stream(spark, str(folder), table, state, 7, once=True).awaitTermination()
         return sorted((r["user_id"], r["source"].partition("_")[0], r["chunk_index"], r["chunk"]) for r in chunk_table.read_chunks(spark, table).collect())
 
+    def pending():
+        return sorted((r["source"].partition("_")[0], r["error"].partition(":")[0]) for r in spark.read.parquet(f"{table}-pending").collect())
+
     first = index()
     assert first == [(7, "a", 0, "é one. Two."), (7, "b", 0, "café"), (7, "c", 0, "T A & b"), (7, "d", 0, "P1 P2")]
-    assert index() == first
+    waiting = [("e", "BadZipFile"), ("f", "ValueError"), ("g", "LookupError")]
+    assert pending() == waiting and index() == first and pending() == waiting
     (folder / "late.txt").write_text("Late.")
     assert len(index()) == 5
+    shutil.rmtree(state)  # every batch comes again
+    assert len(index()) == 5 and pending() == waiting
+
+
+def test_a_large_user_has_many_files_and_a_small_one_a_single_one(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("CAST(IF(id < 990, 1, 2) AS INT) AS user_id", "CAST(id AS STRING) AS source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    chunk_table.spread(rows, 100).write.partitionBy("user_id").parquet(str(tmp_path / "t"))
+    count = {u: len(list((tmp_path / "t" / f"user_id={u}").glob("*.parquet"))) for u in (1, 2)}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert count[2] == 1 and count[1] > 2
+
+
+def test_a_directory_is_indexed_once(spark, folder, tmp_path_factory):
+    """Two runs over an unchanged directory: the second changes nothing and sends nothing to the model."""
+    tmp_path = tmp_path_factory.mktemp("stored")
+    table, cache, calls = str(tmp_path / "table"), str(tmp_path / "cache"), tmp_path / "calls"
+    calls.mkdir()
+
+    def model(texts):
+        for text in texts:
+            (calls / uuid.uuid4().hex).write_text(text)
+        return [[1.0, 2.0]] * len(texts)
+
+    def index():
+        done = jobs.index_directory(spark, str(folder), table, cache, model, 3)
+        statuses = {r["source"].rpartition("/")[2]: r["status"] for r in done.classified.collect()}
+        failed = {r["source"].rpartition("/")[2] for r in done.failed.collect()}
+        return statuses, failed, sorted((r["source"].rpartition("/")[2], r["chunk"], r["embedding"]) for r in done.chunks.collect())
+
+    statuses, failed, rows = index()
+    assert set(statuses.values()) == {"new"} and failed == {"e.odt", "g.png"}
+    assert [r[:2] for r in rows] == [("a.TXT", "é one. Two."), ("b.md", "café"), ("c.html", "T A & b"), ("d.docx", "P1 P2")] and all(r[2] == [1.0, 2.0] for r in rows)
+    assert sorted(f.read_text() for f in calls.iterdir()) == sorted(r[1] for r in rows)
+    again = index()
+    assert {k for k, v in again[0].items() if v == "unchanged"} == set(statuses) - failed and again[2] == rows and len(list(calls.iterdir())) == 4
+    (folder / "a.TXT").write_text("Other text.")
+    (folder / "sub" / "b.md").unlink()
+    statuses, failed, rows = index()
+    assert (statuses["a.TXT"], statuses["b.md"]) == ("modified", "deleted") and [r[1] for r in rows] == ["Other text.", "T A & b", "P1 P2"] and len(list(calls.iterdir())) == 5
+    for name in ("a.TXT", "c.html", "d.docx"):
+        (folder / name).unlink()
+    assert index()[2] == []
