@@ -13,7 +13,7 @@ so that every pair of a component is decided exactly however many runs found it.
 
 Hot groups: equal sets are one set with a count. Large buckets and components are dealt into blocks of
 about ``BLOCK`` sets, and pairs of blocks are tasks of bounded size; pairs are counted where they are
-compared and never emitted.
+compared and never emitted. What travels to the blocks is the hashes of a set, written once, not its text.
 
 Defined cases: words are runs of non-blanks of the text in lower case; a text of fewer than n words has one
 n-gram, all its words; null and wordless texts are linked to nothing, each a class of its own; repeated rows
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import free_name, materialise
+from docloom.llm.common import discard, free_name, materialise
 from docloom.llm.components import components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -124,12 +124,13 @@ def set_rows(n: int, runs: int):
     return rows
 
 
-def sized(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key others share, with the number ``n`` of rows of the key.
+def sized(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key others share, with the number ``n`` of rows of the key; and the table of these numbers.
 
     The counts are written first: a join right above an aggregate on the same key would keep a hot key in one task.
     """
-    return rows.join(materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes"), key)
+    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    return rows.join(sizes, key), sizes
 
 
 def block_pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -250,15 +251,26 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def exact_links(n: int, threshold: float):
+def token_rows(n: int):
+    """For Arrow batches of root, n, digest, copies and text: the text replaced by the hashes of its set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            tokens = pa.array([shingler.shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "n", "digest", "copies")), tokens], names=["root", "n", "digest", "copies", "tokens"])
+
+    return rows
+
+
+def exact_links(threshold: float):
     def compare(batch: pa.RecordBatch, groups: list[tuple[int, int]]) -> pa.RecordBatch | None:
-        shingler = _shinglers.setdefault(n, Shingler(n))
-        names, texts, copies = (batch.column(c).to_pylist() for c in ("digest", "text", "copies"))
+        names, tokens, copies = (batch.column(c).to_pylist() for c in ("digest", "tokens", "copies"))
         sides, alone = batch.column("side").to_numpy(zero_copy_only=False), batch.column("alone").to_numpy(zero_copy_only=False)
         digests, links, root = [], [], []
         for a, b in groups:
             at = list({names[k]: k for k in range(a, b)}.values())  # a set comes twice if its row is repeated
-            name, sets = [names[k] for k in at], [shingler.shingles(texts[k]) for k in at]
+            name, sets = [names[k] for k in at], [np.frombuffer(tokens[k], np.uint64) for k in at]
             if len(sets) < 2:
                 continue
             size = np.array([len(s) for s in sets], np.float64)
@@ -276,9 +288,6 @@ def exact_links(n: int, threshold: float):
     return compare
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, row, class_id, n_links, keeper) of every row; ``row`` is the hash of its text.
 
@@ -298,16 +307,20 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sets = materialise(sets, "distinct-sets")
 
     narrow = sets.select("digest", F.inline("paths"))
-    level2 = sized(narrow, "p2")
-    level3 = sized(level2.where(F.col("n") > BUCKET).drop("n"), "p3")
+    level2, sizes2 = sized(narrow, "p2")
+    level3, sizes3 = sized(level2.where(F.col("n") > BUCKET).drop("n"), "p3")
     buckets = level2.where(F.col("n") <= BUCKET).select(F.col("p2").alias("path"), "n", "digest").unionByName(level3.select(F.col("p3").alias("path"), "n", "digest"))
     sketched = block_pairs(buckets.join(sets.select("digest", "sketch"), "digest"), "path")
     edges = per_pair(sketched, sketch_edges(max(0.05, threshold - SKETCH_MARGIN)), ["digest", "sketch"], "a binary, b binary").distinct()
     groups = components(edges)
 
-    members = sized(groups.select(F.col("node").alias("digest"), "root"), "root").join(sets.select("digest", "copies", "first"), "digest")
+    grouped, sizes = sized(groups.select(F.col("node").alias("digest"), "root"), "root")
+    members = grouped.join(sets.select("digest", "copies", "first"), "digest")
     with_text = members.join(source, F.col("first.id").eqNullSafe(source["id"]) & (F.col("first.row") == source["row"])).select("root", "n", "digest", "copies", "text")
-    checked = materialise(per_pair(block_pairs(with_text, "root"), exact_links(n, threshold), ["digest", "text", "copies"], "digest binary, links bigint, root binary"), "links")
+    with_tokens = materialise(with_text.mapInArrow(token_rows(n), "root binary, n bigint, digest binary, copies bigint, tokens binary"), "member-sets")
+    discard(sizes2, sizes3, sizes)
+    checked = materialise(per_pair(block_pairs(with_tokens, "root"), exact_links(threshold), ["digest", "tokens", "copies"], "digest binary, links bigint, root binary"), "links")
+    discard(with_tokens)
     labels = components(checked.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     linked = checked.groupBy("digest").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "digest"), "digest", "left")
 
@@ -315,6 +328,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     known = "CASE WHEN first.id IS NOT NULL THEN first END"
     heads = materialise(classed.groupBy("root").agg(F.coalesce(F.min(F.expr(known)), F.min("first")).alias("head")), "heads")
     final = materialise(classed.join(heads, "root").select("digest", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "head"), "classes")
+    discard(sets, checked, heads, groups, labels)
     out = rows.select("id", "row", "digest").join(final, "digest", "left")
     keeper = F.col("digest").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("row") == F.col("head.row")))
     return out.select("id", "row", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), keeper.alias("keeper"))

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from docloom.llm import jaccard_join as jj
@@ -89,3 +91,15 @@ def test_stage_keeps_one_of_each_class(odd, empty):
 def test_runs_reach_the_recall():
     runs = jj.runs_for(0.999, 0.8, 3)
     assert 1 - (1 - 0.8**3) ** runs >= 0.999 > 1 - (1 - 0.8**3) ** (runs - 1)
+
+
+@pytest.mark.parametrize("size", [5, 9, 20, 60, 300, 2_000])
+def test_sketches_discard_no_pair_at_the_threshold(size):
+    """How often the sketches of a pair at the threshold fall below what they must reach, by the size of the sets."""
+    rng, missed, tried = np.random.default_rng(size), 0, 2_000 if size < 1_000 else 400
+    shared = math.ceil(jj.THRESHOLD * 2 * size / (1 + jj.THRESHOLD))
+    for _ in range(tried):
+        tokens = rng.integers(0, 2**64, 2 * size - shared, dtype=np.uint64)
+        x, y = (np.frombuffer(jj.sketch(np.sort(t)), np.uint8) for t in (tokens[:size], np.concatenate([tokens[:shared], tokens[size:]])))
+        missed += ((x == y) & (x > 0)).sum() < (jj.THRESHOLD - jj.SKETCH_MARGIN) * ((x > 0) | (y > 0)).sum()
+    assert missed <= 0.001 * tried
