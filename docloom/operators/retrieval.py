@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 
 MAX_CANDIDATES, MAX_CORPUS_SHARE = 20, 0.5
 MIN_SIMILARITY, MAX_DROP, RADIUS = 0.65, 0.10, 1
-#: Questions broadcast at once; more are worked off in blocks of this size.
-QUERY_BYTES = 64 << 20
+#: Questions are broadcast up to this size; more meet the chunks in cells of so many chunks and this size of questions.
+QUERY_BYTES, CELL_ROWS = 64 << 20, 50_000
+FOUND = "query_id bigint, user_id int, source string, chunk_index int, chunk_id bigint, similarity double"
 #: Places that context expansion broadcasts at most; more are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
 
@@ -35,32 +35,44 @@ def top_k(chunks: DataFrame, queries: DataFrame, skip_self: bool = False, query_
     """(query_id, user_id, rank, source, chunk_index, chunk_id, similarity): the best chunks of each question's user.
 
     ``chunks``: user_id, source, chunk_index, embedding and, for ``skip_self``, the id that equals query_id.
-    The limit depends on the size of the user's corpus. Questions are broadcast in blocks of bounded size, so
+    The limit depends on the size of the user's corpus. Questions of up to ``query_bytes`` are broadcast, so that
     vectors are never shuffled; every batch of chunks keeps its own best, and Spark's limit below the window those of a task, before candidates meet by question.
+    More questions than that meet the chunks in cells of bounded size on the executors (``best_of_cells``).
     Similarity is half of one plus the cosine; vectors of length zero or of another dimension are no
     candidates. Ties go by source and chunk_index.
     """
     limits = corpus_size(chunks, queries).withColumn("k", candidate_limit(F.col("corpus"))).select("query_id", "k")
-    found = None
-    for part in query_blocks(queries, query_bytes):
-        best = best_of_batches(chunks, part, skip_self)
-        found = best if found is None else found.unionByName(best)
+    narrow = chunks.select(F.col("user_id").cast("int").alias("user_id"), "source", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("user_id").cast("int").alias("user_id"), "embedding").where("embedding IS NOT NULL")
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    few = n * max(dim or 1, 1) * 8 <= query_bytes
+    found = best_of_batches(narrow, asked, skip_self) if few else best_of_cells(narrow, asked, skip_self, max(1, query_bytes // (8 * max(dim, 1))))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def query_blocks(queries: DataFrame, query_bytes: int) -> list[DataFrame]:
-    """The questions as one table or, if they are many, as several by the hash of their id."""
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    blocks = max(1, math.ceil(n * max(dim or 1, 1) * 8 / query_bytes))
-    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+def best_rows(vectors: np.ndarray, ids: list[int], wanted: np.ndarray, names: list[int], skip_self: bool) -> tuple[list[int], list[int], list[float]]:
+    """Places in ``vectors``, names and similarities of the best of each name, with those as good as the last of them."""
+    similarity = (1 + unit(vectors.astype(np.float64)) @ wanted.T) / 2
+    take, found, sims = [], [], []
+    for q, name in enumerate(names):
+        s = similarity[:, q].copy()
+        if skip_self:
+            s[[k for k, i in enumerate(ids) if i == name]] = np.nan
+        usable = np.flatnonzero(~np.isnan(s))
+        if len(usable) > MAX_CANDIDATES:
+            least = np.partition(s[usable], -MAX_CANDIDATES)[-MAX_CANDIDATES]
+            usable = usable[s[usable] >= least]
+        take += usable.tolist()
+        found += [name] * len(usable)
+        sims += s[usable].tolist()
+    return take, found, sims
 
 
 def best_of_batches(chunks: DataFrame, queries: DataFrame, skip_self: bool) -> DataFrame:
     """Candidates of each Arrow batch of chunks: no chunk that is missing can be among the best of its user."""
-    rows = [(r["query_id"], r["user_id"], r["embedding"]) for r in queries.select("query_id", "user_id", "embedding").where("embedding IS NOT NULL").collect()]
-    shared = chunks.sparkSession.sparkContext.broadcast(rows)
+    shared = chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in queries.collect()])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_user: dict[tuple, tuple[np.ndarray, list]] = {}
@@ -80,26 +92,44 @@ def best_of_batches(chunks: DataFrame, queries: DataFrame, skip_self: bool) -> D
                     groups.setdefault(key, []).append(i)
             take, query_ids, sims = [], [], []
             for key, members in groups.items():
-                wanted, names = by_user[key]
-                matrix = unit(flat[starts[members][:, None] + np.arange(key[1])].astype(np.float64))
-                similarity = (1 + matrix @ wanted.T) / 2
-                for q, name in enumerate(names):
-                    s = similarity[:, q].copy()
-                    if skip_self:
-                        s[[k for k, i in enumerate(members) if ids[i] == name]] = np.nan
-                    usable = np.flatnonzero(~np.isnan(s))
-                    if len(usable) > MAX_CANDIDATES:
-                        least = np.partition(s[usable], -MAX_CANDIDATES)[-MAX_CANDIDATES]
-                        usable = usable[s[usable] >= least]
-                    take += [members[k] for k in usable]
-                    query_ids += [name] * len(usable)
-                    sims += s[usable].tolist()
+                rows, names, s = best_rows(flat[starts[members][:, None] + np.arange(key[1])], [ids[i] for i in members], *by_user[key], skip_self)
+                take += [members[k] for k in rows]
+                query_ids += names
+                sims += s
             at = pa.array(take, pa.int64())
             kept = [batch.column(c).take(at) for c in ("user_id", "source", "chunk_index", "chunk_id")]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), *kept, pa.array(sims, pa.float64())], names=["query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity"])
 
-    narrow = chunks.select(F.col("user_id").cast("int").alias("user_id"), "source", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
-    return narrow.mapInArrow(search, "query_id bigint, user_id int, source string, chunk_index int, chunk_id bigint, similarity double")
+    return chunks.mapInArrow(search, FOUND)
+
+
+def best_of_cells(chunks: DataFrame, queries: DataFrame, skip_self: bool, block: int, cell: int = CELL_ROWS) -> DataFrame:
+    """Candidates of each cell: ``block`` questions of a user against about ``cell`` of its chunks.
+
+    A user's questions are copied once for every range of its chunks and its chunks once for every block of its questions; a user with
+    many of both is many cells, and no cell grows with the tables.
+    """
+    asked = queries.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    stored = chunks.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("ranges"))
+    sizes = asked.join(stored, "user_id")
+    left = chunks.where("embedding IS NOT NULL").join(sizes, "user_id").withColumn("range", F.pmod(F.xxhash64("source", "chunk_index", "chunk_id"), F.col("ranges")).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "ranges")
+    right = queries.join(sizes, "user_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    right = right.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1))).drop("blocks", "ranges")
+
+    def search(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for dim, part in asked.groupby(asked["embedding"].map(len)):
+            rows = stored[stored["embedding"].map(len) == dim]
+            if len(rows):
+                wanted = unit(np.array(part["embedding"].tolist(), np.float64))
+                take, names, sims = best_rows(np.array(rows["embedding"].tolist()), rows["chunk_id"].tolist(), wanted, part["query_id"].tolist(), skip_self)
+                out.append(rows.iloc[take][["user_id", "source", "chunk_index", "chunk_id"]].assign(query_id=names, similarity=sims))
+        columns = ["query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity"]
+        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+
+    keys = ["user_id", "block", "range"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:

@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,8 +41,9 @@ def test_expansion_golden(spark):
     assert r.expand_context(hits, chunks, 0).collect() == hits.collect()
 
 
-@pytest.mark.parametrize("query_bytes", [r.QUERY_BYTES, 3000])
-def test_top_k_equals_brute_force(spark, sf_dir, query_bytes):
+@pytest.mark.parametrize(("query_bytes", "cell"), [(r.QUERY_BYTES, r.CELL_ROWS), (3000, r.CELL_ROWS), (1500, 20)])
+def test_top_k_equals_brute_force(spark, sf_dir, monkeypatch, query_bytes, cell):
+    monkeypatch.setattr(r, "best_of_cells", functools.partial(r.best_of_cells, cell=cell))
     chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
     found = {}
     for row in r.top_k(chunks.repartition(5), asked, skip_self=True, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
