@@ -1,24 +1,27 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are sorted by host and URL path; each is paired with that of the nearest pages before and after it on its
-host whose path shares the longer prefix with its own. Copies and near copies of a page (print versions, mirrors)
+host whose path shares the longer prefix with its own (the one before, if both share as much). Copies and near copies of a page (print versions, mirrors)
 are passed over, as the lines shared with them are not the site's: pages are copies if their common lines hold
-``COPY_SHARE`` of the characters of all their lines, judged by up to ``SKETCHED_LINES`` line hashes. The text lines (blocks) of the two are aligned by their longest common
-subsequence, and lines they share are deleted as the site's template. Two structural rules go with it: what
+``COPY_SHARE`` of the characters of all their lines, judged by up to ``SKETCHED_LINES`` line hashes. All text lines (blocks) of the two are aligned by their longest common
+subsequence, and lines they share are deleted as the site's template.
+
+Two structural rules go with it. What
 stands in an element made for menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
 or comments, by name or by whole names in its class or role (outside main elements also its id or label; of
 headings and paragraphs, only adverts), or that is hidden, is never text (of a header inside a main element the
-headings stay; a marked wrapper ends where a main element begins), and lines inside a declared main element
-(article, main) are never deleted, so an article that two pages repeat stays whole. Where a page declares main
-elements, nothing outside them is text. End tags that HTML lets a page omit are implied.
+headings stay; a marked wrapper ends where a main element begins). And where declared main elements
+(article, main) hold ``MAIN_SHARE`` or more of the characters that differencing leaves, they are the article: nothing outside them is text,
+and their lines stay also where another page repeats them, as two articles may share a passage. Main elements that hold less, such as a teaser beside the
+story, are lines like any others. End tags that HTML lets a page omit are implied.
 
-The sorted order is cut into ranges at sampled keys (a bounded number goes to the driver), so a host of any
+The sorted order is cut into ranges of about ``RANGE_BYTES`` at sampled keys (a bounded number goes to the driver), so a host of any
 size is spread over tasks. A range also gets, from either side, the nearest page and the nearest that is no copy
 of it, however many ranges a group of copies fills; a first pass over line sketches finds them. A range is held in
 memory while it is compared. Only hashes of lines are compared; page texts travel compressed.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own without path; pages
-that repeat are treated one by one; a page without a neighbour that is no copy loses no line; unclosed elements end where
+that repeat are treated one by one; a page without a neighbour that is no copy loses no line by differencing; unclosed elements end where
 their main element or the page ends; unknown character references stay as they are; other columns are not read.
 """
 
@@ -28,14 +31,18 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import discard, materialise
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^<>]*>",
     re.S | re.I,
@@ -71,9 +78,16 @@ IMPLIED = {name: (("p",), SCOPE) for name in BLOCKS - {"body", "caption", "dd",
     "li": (("li",), ITEM_SCOPE), "dd": (("dd", "dt"), ITEM_SCOPE), "dt": (("dd", "dt"), ITEM_SCOPE), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
     "td": (CELLS, ("table",)), "th": (CELLS, ("table",)), "tr": ((*CELLS, "tr"), ("table",)), **dict.fromkeys(ROWS, ((*CELLS, "tr", "caption", *ROWS), ("table",))),
 }
-COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, sizes array<int>, safe array<boolean>, text binary"
+COPIES = "bucket int, key string, page_id {id}, url string, copy boolean, hashes array<bigint>, sizes array<int>, kinds array<tinyint>, text binary"
 RESULT_COLUMNS = ["page_id", "url", "text"]
-SAMPLED_KEYS = 20
+#: Where a line stands: in an element that is left out, in a main element, or elsewhere.
+FURNITURE, PLAIN, IN_MAIN = 0, 1, 2
+#: Main elements are a page's article if they hold this share of the characters of all its lines that are its own.
+MAIN_SHARE = 0.3
+#: Bytes of html of a range of pages, the most ranges, and keys sampled for each.
+RANGE_BYTES, RANGES, SAMPLED_KEYS = 16 << 20, 250_000, 8
+#: Matches per line from which on lines are aligned by halves.
+MATCHES = 8
 ENDS = "bucket int, side string, place int, key string, sketch binary"
 #: Two pages are copies if the lines they share hold this share of the characters of all their lines.
 COPY_SHARE = 0.7
@@ -166,9 +180,9 @@ class Open:
         return at if all(self.last(x) <= at for x in scope) else -1
 
 
-def lines_of(html: str | None) -> list[tuple[str, bool]]:
-    """The text blocks of a page in order, and whether each stands in its main element."""
-    kinds: dict[bool, list[tuple[str, bool]]] = {True: [], False: []}
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """The text blocks of a page in order, and whether each stands in a main element, in a marked one (left out), or in neither."""
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
     opened = Open()
     #: Places of the main elements that are text; place of the element that is left out (-1: none).
@@ -180,22 +194,19 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            kinds[bool(mains)].append((text, bool(mains)))
+            lines.append((text, FURNITURE if skipped >= 0 and not heading else IN_MAIN if mains else PLAIN))
 
     def cut(place: int) -> None:
         nonlocal skipped, heading
-        if skipped < 0 or heading:
-            close()
+        close()
         opened.cut(place)
         while mains and mains[-1] >= place:
             mains.pop()
         if 0 <= place <= skipped:
-            parts.clear()
             skipped, heading = -1, False
 
     for token in TOKEN.finditer(html or ""):
-        if skipped < 0 or heading:
-            parts.append(html[at : token.start()])
+        parts.append(html[at : token.start()])
         at = token.end()
         name = (token[3] or "").lower()
         if not name:
@@ -208,13 +219,12 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
             if closing and name in ("body", "html"):
                 cut(skipped)
             elif not closing and name in MAIN and not mains and why in ("marked", "form", "header") and opened.names[skipped] != "header" and not left_out(name, token[4]):
-                parts.clear()
-                skipped, heading = -1, False
-        if skipped < 0:
-            if name in BLOCKS:
                 close()
-            elif name == "br":
-                parts.append(" ")
+                skipped, heading = -1, False
+        if name in BLOCKS:
+            close()
+        elif name == "br":
+            parts.append(" ")
         if closing:
             if (place := opened.ended_by_end(name, skipped)) >= 0:
                 if name in BLOCKS or place <= skipped or name in OUTSIDE:
@@ -232,20 +242,65 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         elif skipped < 0 and name in MAIN:
             mains.append(len(opened.names))
         opened.push(name)
-    if skipped < 0:
-        parts.append((html or "")[at:])
-        close()
-    return kinds[True] or kinds[False]
+    parts.append((html or "")[at:])
+    close()
+    return lines
 
 
 def shared_lines(mine: np.ndarray, other: np.ndarray) -> list[int]:
-    """The places in ``mine`` of a longest common subsequence with ``other`` (by increasing matches)."""
+    """The places in ``mine`` of a longest common subsequence with ``other``.
+
+    Equal lines at both ends match each other. What is between goes by increasing matches, or by halves where lines
+    repeat so often that the matches would be many.
+    """
+    a, b = mine.tolist(), other.tolist()
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     places: dict[int, list[int]] = {}
-    for j, h in enumerate(other.tolist()):
+    for j, h in enumerate(b):
         places.setdefault(h, []).append(j)
+    matches = sum(len(places.get(h, ())) for h in a)
+    between = by_halves(a, b) if matches > MATCHES * (len(a) + len(b)) else by_matches(a, places)
+    return [*range(head), *(head + k for k in between), *range(len(mine) - tail, len(mine))]
+
+
+def prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """For every prefix of ``b`` the length of its longest common subsequence with ``a``, by one addition of long numbers for each line of ``a``."""
+    masks: dict[int, int] = {}
+    for j, h in enumerate(b):
+        masks[h] = masks.get(h, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for h in a:
+        met = row & masks.get(h, 0)
+        row = (row + met | row - met) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def by_halves(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence, in memory linear in both: the halves of ``a`` with the parts of ``b`` that fit them best."""
+    found: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if j - i == 1:
+            found += [i] * (a[i] in b[k:m])
+        elif j > i and m > k:
+            half = (i + j) // 2
+            both = prefix_lengths(a[i:half], b[k:m]) + prefix_lengths(a[half:j][::-1], b[k:m][::-1])[::-1]
+            cut = k + int(both.argmax())
+            todo += [(half, j, cut, m), (i, half, k, cut)]
+    return found
+
+
+def by_matches(a: list[int], places: dict[int, list[int]]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence, line by line over the places that hold the same in the other."""
     ends: list[int] = []
     chains: list[tuple[int, tuple | None]] = []
-    for i, h in enumerate(mine.tolist()):
+    for i, h in enumerate(a):
         for j in reversed(places.get(h, ())):
             k = bisect_right(ends, j - 1)
             chain = (i, chains[k - 1] if k else None)
@@ -272,7 +327,7 @@ def common_prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def hashes_of(lines: list[tuple[str, bool]]) -> list[int]:
+def hashes_of(lines: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in lines]
 
 
@@ -316,15 +371,19 @@ def follow(trail: list[tuple], page: tuple) -> tuple | None:
     return found
 
 
-def deal_sketches(cuts: list[str]):
+def keys_of(batch: pa.RecordBatch) -> list[str]:
+    return [url_key(u, i) for i, u in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
+
+
+def deal_sketches(cuts: Broadcast):
     """Batches of page_id, url and html to bucket, key and sketch."""
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [url_key(u, i) for i, u in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-            pages = (lines_of(html) for html in batch.column("html").to_pylist())
+            keys = keys_of(batch)
+            pages = ([line for line in lines_of(html) if line[1] != FURNITURE] for html in batch.column("html").to_pylist())
             sketches = [packed(sketch_of(hashes_of(lines), [len(t) for t, _ in lines])) for lines in pages]
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), pa.array(keys, pa.string()), pa.array(sketches, pa.binary())], names=["bucket", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts.value, k) for k in keys], pa.int32()), pa.array(keys, pa.string()), pa.array(sketches, pa.binary())], names=["bucket", "key", "sketch"])
 
     return deal_out
 
@@ -352,111 +411,148 @@ def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((*row[:4], packed(row[4])), (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "side", "place", "key", "sketch"])
 
 
-def carried(ends: list[tuple]) -> dict[str, list[int]]:
-    """Keys of the pages that buckets get of others: on each side the nearest page and the nearest that is no copy of it."""
-    sides: dict[str, dict[int, list[tuple]]] = {"head": {}, "tail": {}}
-    for bucket, side, _, key, sketch in sorted(ends, key=lambda r: r[:3]):
-        sides[side].setdefault(bucket, []).append((key, sketch))
+def carried(ends: DataFrame) -> dict[str, list[int]]:
+    """Keys of the pages that buckets get of others: on each side the nearest page and the nearest that is no copy of it.
+
+    The ends, a few short rows a bucket, stream through the driver in the order of the buckets, once each way.
+    """
     out: dict[str, list[int]] = {}
-    for near, far, order in (("tail", "head", 1), ("head", "tail", -1)):
+    for near, far, order in (("tail", "head", F.asc), ("head", "tail", F.desc)):
         trail: list[tuple] = []
-        for bucket in sorted(sides["head"])[::order]:
-            host = sides[far][bucket][0][0].partition("\0")[0]
+        rows = ends.orderBy(order("bucket"), "place").select("bucket", "side", "key", "sketch").toLocalIterator()
+        for bucket, group in groupby(rows, key=lambda r: r["bucket"]):
+            sides: dict[str, list[tuple]] = {"head": [], "tail": []}
+            for row in group:
+                sides[row["side"]].append((row["key"], row["sketch"]))
+            host = sides[far][0][0].partition("\0")[0]
             for key, _ in trail[-2:]:
                 if key.partition("\0")[0] == host and bucket not in out.setdefault(key, []):
                     out[key].append(bucket)
-            for key, sketch in reversed(sides[near][bucket]):
+            for key, sketch in reversed(sides[near]):
                 follow(trail, (key, unpacked(sketch)))
     return out
 
 
-def deal(cuts: list[str], ends: dict[str, list[int]] | None):
-    """Batches of page_id, url (and html) to rows of a bucket; with ``ends``, copies of the pages that other buckets need."""
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [url_key(u, i) for i, u in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), pa.array(keys)], names=["bucket", "key"])
+def deal(cuts: Broadcast, ends: Broadcast):
+    """Batches of page_id, url and html to rows of a bucket, with copies of the pages that other buckets need."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            ids, urls, pages = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
             rows: list[tuple] = []
             at: list[int] = []
-            for n, (i, url, html) in enumerate(zip(ids, urls, pages, strict=True)):
-                key = url_key(url, i)
+            for n, (key, html) in enumerate(zip(keys_of(batch), batch.column("html").to_pylist(), strict=True)):
                 lines = lines_of(html)
-                hashes, sizes = hashes_of(lines), [len(t) for t, _ in lines]
-                rows.append((bisect_right(cuts, key), key, False, hashes, sizes, [s for _, s in lines], pack("\0".join(t.replace("\0", " ") for t, _ in lines).encode("utf-8", "surrogatepass"))))
+                found = (hashes_of(lines), [len(t) for t, _ in lines], [k for _, k in lines])
+                text = "\0".join(t.replace("\0", " ") for t, k in lines if k != FURNITURE)
+                rows.append((bisect_right(cuts.value, key), key, False, *found, pack(text.encode("utf-8", "surrogatepass"))))
                 at.append(n)
-                for bucket in ends.get(key, ()):
-                    rows.append((bucket, key, True, hashes, sizes, None, None))
+                for bucket in ends.value.get(key, ()):
+                    rows.append((bucket, key, True, *found, None))
                     at.append(n)
-            take = pa.array(at, pa.int64())
-            made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary()), strict=True)] if rows else []
             if rows:
-                yield pa.RecordBatch.from_arrays([made[0], made[1], batch.column("page_id").take(take), batch.column("url").take(take), *made[2:]], names=["bucket", "key", "page_id", "url", "copy", "hashes", "sizes", "safe", "text"])
+                take = pa.array(at, pa.int64())
+                kinds = (pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.binary())
+                made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([made[0], made[1], batch.column("page_id").take(take), batch.column("url").take(take), *made[2:]], names=["bucket", "key", "page_id", "url", "copy", "hashes", "sizes", "kinds", "text"])
+
+    return whole
+
+
+class Page:
+    """A page of a bucket: the hashes, sizes and kinds of all its lines, and its packed text."""
+
+    __slots__ = ("hashes", "key", "kinds", "own", "sizes", "text")
+
+    def __init__(self, key: str, hashes: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, text: bytes | None, own: tuple | None):
+        self.key, self.hashes, self.sizes, self.kinds, self.text, self.own = key, hashes, sizes, kinds, text, own
 
-    return narrow if ends is None else whole
+    def sketch(self) -> dict[int, int]:
+        kept = self.kinds != FURNITURE
+        return sketch_of(self.hashes[kept].tolist(), self.sizes[kept].tolist())
+
+    def undecided(self) -> bool:
+        """Whether lines stand outside main elements and what is left out: differencing tells which are the page's own."""
+        return self.own is not None and bool((self.kinds == PLAIN).any())
+
+    def kept(self, near: list[Page]) -> np.ndarray:
+        """Which lines are the main text. Lines shared with the nearest page are the site's, but for those of main elements that hold enough of what is left."""
+        shared = np.zeros(len(self.hashes), bool)
+        if near and self.undecided():
+            other = max(near, key=lambda p: common_prefix(p.key, self.key))
+            shared[shared_lines(self.hashes, other.hashes)] = True
+        main = self.kinds == IN_MAIN
+        own = (self.kinds == PLAIN) & ~shared
+        held, rest = int(self.sizes[main].sum()), int(self.sizes[own].sum())
+        return main if held and held >= MAIN_SHARE * (held + rest) else own | main & ~shared
+
+
+def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Page]]:
+    lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in map(batch.column, ("hashes", "sizes", "kinds"))]
+    plain = (batch.column(c).to_pylist() for c in ("bucket", "key", "page_id", "url", "copy", "text"))
+    for k, (bucket, key, page_id, url, copy, text) in enumerate(zip(*plain, strict=True)):
+        yield bucket, Page(key, *(values[at[k] : at[k + 1]] for at, values in lists), text, None if copy else (page_id, url))
 
 
 def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted pages to their main texts: each is compared with the nearer of the next pages before and after it that are no copies of it."""
     unpack = zstandard.ZstdDecompressor().decompress
 
-    def text_of(page: dict, near: list[dict]) -> str:
-        lines = unpack(page["text"]).decode("utf-8", "surrogatepass").split("\0") if page["hashes"] else []
-        gone: set[int] = set()
-        if near:
-            other = max(near, key=lambda p: common_prefix(p["key"], page["key"]))
-            gone = set(shared_lines(np.array(page["hashes"], np.int64), np.array(other["hashes"], np.int64)))
-        return "\n\n".join(line for k, line in enumerate(lines) if page["safe"][k] or k not in gone)
-
-    def texts_of(pages: list[dict]) -> Iterator[tuple[dict, str]]:
-        """The texts of a bucket; only buckets that have lines outside main elements are compared."""
-        near: list[list[dict]] = [[] for _ in pages]
-        if not all(p["copy"] or all(p["safe"]) for p in pages):
-            steps = [(p["key"], sketch_of(p["hashes"], p["sizes"]), p) for p in pages]
+    def text_of(page: Page, near: list[Page]) -> str:
+        lines = unpack(page.text).decode("utf-8", "surrogatepass").split("\0")
+        kept = page.kept(near)[page.kinds != FURNITURE]
+        return "\n\n".join(line for line, keep in zip(lines, kept.tolist(), strict=False) if keep)
+
+    def batch_of(pages: list[Page]) -> pa.RecordBatch:
+        near: list[list[Page]] = [[] for _ in pages]
+        if any(p.undecided() for p in pages):
             for order in (1, -1):
                 trail: list[tuple] = []
                 for k in range(len(pages))[::order]:
-                    if found := follow(trail, steps[k]):
+                    if found := follow(trail, (pages[k].key, pages[k].sketch(), pages[k])):
                         near[k].append(found[2])
-        for page, others in zip(pages, near, strict=True):
-            if not page["copy"]:
-                yield page, text_of(page, [] if all(page["safe"]) else others)
-
-    def batch_of(pages: list[dict]) -> pa.RecordBatch:
-        done = list(texts_of(pages))
-        return pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p, _ in done], kind), pa.array([p["url"] for p, _ in done], pa.string()), pa.array([t for _, t in done], pa.string())], names=RESULT_COLUMNS)
+        done = [(*page.own, text_of(page, others)) for page, others in zip(pages, near, strict=True) if page.own is not None]
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((id_kind, pa.string(), pa.string()))], names=RESULT_COLUMNS)
 
-    pages: list[dict] = []
+    pages: list[Page] = []
+    last, id_kind = None, None
     for batch in batches:
-        kind = batch.schema.field("page_id").type
-        for page in batch.to_pylist():
-            if pages and pages[-1]["bucket"] != page["bucket"]:
+        id_kind = batch.schema.field("page_id").type
+        for bucket, page in pages_of(batch):
+            if pages and bucket != last:
                 yield batch_of(pages)
                 pages = []
+            last = bucket
             pages.append(page)
     if pages:
         yield batch_of(pages)
 
 
+def range_cuts(rows: DataFrame) -> list[str]:
+    """Keys that cut the pages into ranges of about ``RANGE_BYTES`` of html, from a hash sample of bounded size."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    ranges = min(RANGES, max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)))
+    every = max(1, n // (SAMPLED_KEYS * ranges))
+    sample = rows.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("page_id", "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    keyed = sorted((url_key(r["url"], r["page_id"]), r["size"] + 1) for r in sample.collect())
+    share = max(1, sum(s for _, s in keyed) // ranges)
+    before = accumulate((s for _, s in keyed), initial=0)
+    return sorted({key for (key, s), at in zip(keyed, before, strict=False) if at // share != (at + s) // share})
+
+
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
-    spark = pages.sparkSession
+    context = pages.sparkSession.sparkContext
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.select("page_id", "url").mapInArrow(deal([], None), "bucket int, key string").select("key")
-    every = max(1, keys.count() // (SAMPLED_KEYS * ranges))
-    sampled = sorted({r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).collect()})
-    cuts = sampled[:: max(1, len(sampled) // ranges)]
-    sketches = rows.mapInArrow(deal_sketches(cuts), "bucket int, key string, sketch binary").repartition("bucket").sortWithinPartitions("bucket", "key")
-    ends = carried([tuple(r) for r in sketches.mapInArrow(ends_of, ENDS).collect()])
-    dealt = rows.mapInArrow(deal(cuts, ends), COPIES.format(id=kind))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "key", "copy").mapInArrow(difference, f"page_id {kind}, url string, text string")
+    cuts = context.broadcast(range_cuts(rows))
+    buckets = len(cuts.value) + 1
+    sketches = rows.mapInArrow(deal_sketches(cuts), "bucket int, key string, sketch binary").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "key")
+    ends = materialise(sketches.mapInArrow(ends_of, ENDS), "range-ends")
+    needed = context.broadcast(carried(ends))
+    discard(ends)
+    dealt = rows.mapInArrow(deal(cuts, needed), COPIES.format(id=kind))
+    return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "key", "copy").mapInArrow(difference, f"page_id {kind}, url string, text string")
 
 
 def op10_html_extraction(pages: DataFrame) -> DataFrame:

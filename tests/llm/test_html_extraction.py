@@ -1,5 +1,7 @@
 import html as h
 import re
+import time
+from os.path import commonprefix
 
 import numpy as np
 import pytest
@@ -10,7 +12,9 @@ from docloom.llm import html_extraction as he
 
 
 def text(page):
-    return "\n\n".join(t for t, _ in he.lines_of(page))
+    """The lines of main elements, or the plain ones where there is none."""
+    lines = he.lines_of(page)
+    return "\n\n".join(t for t, kind in lines if kind == max((k for _, k in lines if k), default=he.PLAIN))
 
 
 @pytest.mark.parametrize(
@@ -62,6 +66,17 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(places) == lcs(a, b) and places == sorted(set(places))
     rest = iter(b)
     assert all(a[p] in rest for p in places)
+    halves = he.by_halves(a, b)
+    rest = iter(b)
+    assert len(halves) == lcs(a, b) and halves == sorted(set(halves)) and all(a[p] in rest for p in halves)
+
+
+def test_lines_that_repeat_without_end_are_aligned_fast():
+    rng = np.random.default_rng(1)
+    a, b = (np.concatenate([[k], rng.integers(5, 8, 6_000), [k + 10]]) for k in (1, 2))
+    began = time.time()
+    assert len(he.shared_lines(a, b)) > 3_000 and len(he.shared_lines(np.full(9_000, 7), np.full(8_000, 7))) == 8_000
+    assert time.time() - began < 20
 
 
 def extract(spark, rows, parts=1):
@@ -92,6 +107,51 @@ def test_copies_keep_their_article(spark, parts):
     assert (found[702], found[703]) == (article[3], article[4])
 
 
+def test_a_teaser_beside_the_story_is_not_the_article(spark):
+    story = "".join(f"<p>Paragraph {n} of the story is long enough to matter</p>" for n in range(4))
+    other = "".join(f"<p>Another tale, part {n}, which has nothing in common with it</p>" for n in range(4))
+    page = "<div>Site name</div><article>See also: a teaser</article><div id=content>{}</div><div>Imprint</div>"
+    found = extract(spark, [(1, "http://a.com/1", page.format(story)), (2, "http://a.com/2", page.format(other)), (3, "http://b.com/1", page.format(story))])
+    lines = [f"Paragraph {n} of the story is long enough to matter" for n in range(4)]
+    assert found[1] == "\n\n".join(lines)
+    assert found[3] == "\n\n".join(["Site name", "See also: a teaser", *lines, "Imprint"])
+    nested = extract(spark, [(1, "u/1", "<main><p>intro</p><article>card</article><p>body</p></main>"), (2, "u/2", '<article><div class="social-science">kept</div>t</article>')])
+    assert nested == {1: "intro\n\ncard\n\nbody", 2: "kept\n\nt"}
+
+
+def test_equal_neighbours_go_to_the_page_before(spark):
+    rows = [(1, "http://a.com/s/1", "<p>one</p><p>first and second</p><p>tail of it</p>"), (2, "http://a.com/s/2", "<p>own of two</p><p>first and second</p><p>second and third</p>"), (3, "http://a.com/s/3", "<p>three</p><p>second and third</p><p>end of it</p>")]
+    assert extract(spark, rows)[2] == "own of two\n\nsecond and third"
+
+
+def test_pairing_and_deletion_equal_brute_force(spark):
+    """A generated site without main elements: every page against all pages of its host, lines by a table of all pairs."""
+    rng = np.random.default_rng(5)
+    template = [f"Site line {k}" for k in range(6)]
+    rows = []
+    for i in range(120):
+        own = [f"story {i} line {n} {'x' * int(rng.integers(20, 60))}" for n in range(int(rng.integers(3, 7)))]
+        shown = [line for line in template if rng.random() < 0.7]
+        rows.append((i, f"http://h{i % 2}.com/{'abc'[int(rng.integers(3))]}/{'pqrs'[int(rng.integers(4))]}/{i}", shown[:3] + own + shown[3:]))
+
+    def copies(a, b):
+        shared = sum(map(len, set(a) & set(b)))
+        return shared >= he.COPY_SHARE * (sum(map(len, set(a))) + sum(map(len, set(b))) - shared)
+
+    def expected(page):
+        key = he.url_key(page[1], page[0])
+        others = sorted((he.url_key(u, i), lines) for i, u, lines in rows if u.split("/")[2] == page[1].split("/")[2] and i != page[0])
+        sides = [[o for o in others if o[0] < key][::-1], [o for o in others if o[0] > key]]
+        near = [found for side in sides if (found := next((o for o in side if not copies(o[1], page[2])), None))]
+        if not near:
+            return page[2]
+        other = max(near, key=lambda o: len(commonprefix([o[0], key])))[1]
+        return [line for line in page[2] if line not in other]
+
+    found = extract(spark, [(i, u, "".join(f"<div>{line}</div>" for line in lines)) for i, u, lines in rows], 3)
+    assert found == {page[0]: "\n\n".join(expected(page)) for page in rows}
+
+
 def test_pages_of_many_lines_are_compared_by_a_sample():
     lines = [[f"{k} line {n}" for n in range(2_000)] for k in range(2)]
     a, b = (he.sketch_of(he.hashes_of([(t, False) for t in x]), [len(t) for t in x]) for x in lines)
