@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions.chunking import chunk_documents
 from docloom.functions.text import extension, family, normalise_space, preview, safe_filename, split_sentences, stem, unique_name, word_count
 from docloom.operators import semantic
-from docloom.plans.corpora import FILES_SQL, files, table
+from docloom.plans.corpora import FILES_SQL, LETTERS_SQL, files, letter_model, letter_weight, table
+from docloom.plans.jobs import index_directory
 from docloom.sources.chunk_table import stored_chunks
 from docloom.sources.files import html_text_column
 from docloom.sources.scratch import new_path
@@ -110,11 +111,27 @@ def html_text(spark: SparkSession, sf_dir: str) -> Frame:
     return table(spark, sf_dir, "pages").select("page_id", html_text_column(F.col("html")).alias("text"))
 
 
+def _write_files(spark: SparkSession, sf_dir: str, where: str) -> None:
+    """Documents as text files, ten in each."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("tens"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("tens").sortWithinPartitions("tens", "doc_id").select("tens", "text").write.partitionBy("tens").text(where)
+
+
+def directory_ingest(spark: SparkSession, sf_dir: str) -> Frame:
+    """Text files brought into an empty chunk table, and again, when nothing is new: chunks, characters and vectors by the hash of the file."""
+    base = new_path(spark, "directory")
+    _write_files(spark, sf_dir, f"{base}/files")
+    for _ in range(2):
+        done = index_directory(spark, f"{base}/files", f"{base}/table", f"{base}/cache", letter_model, 0)
+    status = done.classified.groupBy("content_hash").agg(F.min("status").alias("status"))
+    chunks = done.chunks.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"), F.sum(letter_weight("embedding")).alias("weight"))
+    return chunks.join(status, "content_hash")
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> Frame:
-    """Documents as text files, ten in each, that an upload stream indexes: chunks and characters by the hash of the file."""
+    """Text files that an upload stream indexes: chunks and characters by the hash of the file."""
     base = new_path(spark, "stream")
-    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("tens"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs.repartition("tens").sortWithinPartitions("tens", "doc_id").select("tens", "text").write.partitionBy("tens").text(f"{base}/landing")
+    _write_files(spark, sf_dir, f"{base}/landing")
     start_upload_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", 0, once=True).awaitTermination()
     return stored_chunks(spark, f"{base}/table", 0).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
 
@@ -164,6 +181,8 @@ bfold AS (
 bchunk AS (SELECT doc_id, i, 0 AS k, done AS chunk FROM bfold WHERE done IS NOT NULL UNION ALL SELECT doc_id, i, 1, held FROM bfold WHERE i = len(p) AND held <> '')"""
 
 
+#: The files of ``_write_files`` and their chunks.
+ARRIVED_SQL = f"arrived AS (SELECT doc_id // 10 AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL), {loose_sql('arrived')}"
 LOOSE_SQL = f"WITH RECURSIVE {loose_sql('documents')}"
 #: Sentences of the raw text, trimmed, without empty ones, and their words.
 SENTENCES_SQL = r"""raw AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS a FROM documents),
@@ -201,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_sentences, word_counts, previews, safe_names, upload_names, chunk_loose, chunk_bounded, sentence_words, pack_blocks, boundary_requests, merge_small_chunks, boundary_chunks, semantic_chunks,
-        html_text, stream_ingest,
+        html_text, directory_ingest, stream_ingest,
     )
 }
 SQL = {
@@ -221,7 +240,9 @@ FROM blocks JOIN counted USING (doc_id) WHERE i BETWEEN first AND last GROUP BY
 SELECT doc_id, pos, header, md5(header || chr(10) || chr(10) || coalesce(string_agg(sentence, ' ' ORDER BY i), '')) AS text_md5 FROM p LEFT JOIN counted USING (doc_id) WHERE i BETWEEN s AND e GROUP BY doc_id, pos, header
 UNION ALL SELECT doc_id, pos, header, md5(header || chr(10) || chr(10)) FROM p WHERE s > e""",
     "chunk_bounded": f"WITH RECURSIVE {bounded_sql('documents')} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS chunk_index, length(chunk)::INT AS n_chars, md5(chunk) AS chunk_md5 FROM bchunk",
-    "stream_ingest": f"""WITH RECURSIVE arrived AS (SELECT doc_id // 10 AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL), {loose_sql("arrived")}
+    "directory_ingest": f"""WITH RECURSIVE {ARRIVED_SQL}
+SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars, sum({LETTERS_SQL.format("chunk")})::BIGINT AS weight, 'unchanged' AS status FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
+    "stream_ingest": f"""WITH RECURSIVE {ARRIVED_SQL}
 SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
     "semantic_chunks": f"""WITH RECURSIVE {SENTENCES_SQL}, {HALVES_SQL},
 bounds AS (SELECT doc_id, any_value(w) AS w, list({{'s': s, 'e': e, 'h': header}} ORDER BY pos) AS bs FROM p JOIN lists USING (doc_id) GROUP BY doc_id),
