@@ -1,35 +1,46 @@
 """Document fingerprints: a canonical exact digest, with DataFrame functions only.
 
-The canonical form of a text is its Unicode composition (NFC) in lower case, runs of white space folded to
+The canonical form of a text is its Unicode composition (NFC) with case folded (so that ``ß`` is ``ss`` and both small sigmas are one), runs of white space folded to
 one space and none at the ends. Documents are grouped by a wide (2 x 64 bit) xxhash of it. Where a group has
 several members their canonical bytes are compared; should different texts share a hash, each text of such
-a group gets its rank among them as a suffix, so equal fingerprints always mean equal canonical texts.
+a group gets its rank among them as a suffix, so equal fingerprints of documents always mean equal canonical texts. An edited
+text is compared byte by byte with its document, and takes the rank of a text of such a group that it equals.
 
 Hot groups: groups are counted and compared by aggregates that combine on the map side; members are never
-collected.
+collected. Neighbours meet in ranges of ids of about ``RANGE_BYTES`` of text.
 
 Defined cases: null text counts as the empty text; equal texts have equal fingerprints; rows that repeat
-an id stand in the order of the hash of their text; a null id stands after every other; an empty table gives
+an id stand in the order of the hash of their text, in one range; null ids stand after every other, in the same order, in as many ranges as they need; ids that are no numbers are refused; an empty table gives
 an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import materialise
 
 #: Groups with several members are broadcast up to this many, 16 bytes each; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SAMPLED_IDS = 50
+#: Bytes of text of a range of ids, the most ranges, and ids sampled for each. Ranges are small, so that tasks get many and about as much each.
+RANGE_BYTES, RANGES, SAMPLED_IDS = 512 << 10, 250_000, 8
 
 
 def canonical(text: Column) -> Column:
+    """Composed, case-folded, with single blanks. Spark has no function for the first two but ``lower``, which is the same on ASCII."""
     plain = F.coalesce(text, F.lit(""))
-    composed = F.when(F.octet_length(plain) == F.char_length(plain), plain).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), plain, F.lit(False)))
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)\s+", " "))
+
+    def composed(x: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False))
+
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(plain), F.lit(True))
+    folded = F.when(F.octet_length(plain) == F.char_length(plain), F.lower(plain)).otherwise(composed(folded))
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def wide_hash(canon: Column) -> list[Column]:
@@ -70,33 +81,42 @@ def add_fingerprints(rows: DataFrame, columns: dict[str, str], ties: DataFrame |
 def with_next(docs: DataFrame, value: str, id_col: str = "doc_id") -> DataFrame:
     """(id, value, bucket, tie, copy, following): each row and, in ``following``, the value of the next lower id; after the last, of the first.
 
-    Ids are dealt into ranges by approximate quantiles. The head of the next range is copied to the end of
+    Ids are dealt into ranges of about ``RANGE_BYTES`` by a hash sample of bounded size; null ids, which come last, by the hash of their
+    text, which orders them. The head of the next range is copied to the end of
     each range (``copy``), so every range finds its neighbours on its own.
     """
-    spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(value).alias("value")).withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
-    # Quantiles of a hash sample of about SAMPLED_IDS ids a range, so that what one task merges is bounded.
-    every = max(1, docs.count() // (SAMPLED_IDS * ranges))
-    sampled = rows.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
-    cuts = sampled.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows).drop("at")
-    heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        raise TypeError(f"{id_col} must be a number")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(value).alias("value")).withColumn("tie", F.xxhash64("value"))
+    rows = rows.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-1e300) + F.col("tie") * 1e280))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(value)), F.lit(0))).first()
+    ranges = min(RANGES, max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)))
+    every = max(1, n // (SAMPLED_IDS * ranges))
+    sample = rows.where(F.pmod(F.xxhash64("id", "tie"), F.lit(every)) == 0).select("at", (F.octet_length("value") + 1).alias("size"))
+    splits = [float("-inf"), *(cuts_of(sorted(map(tuple, sample.collect())), ranges) or [0.0]), float("inf")]
+    rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows)
+    heads = rows.groupBy("bucket").agg(F.max("at").alias("head"))
     order = Window.orderBy(F.desc("bucket"))
     ring = heads.select("bucket", "head", F.lag("bucket").over(order).alias("above"), F.min("bucket").over(Window.partitionBy()).alias("last"))
     target = ring.select("bucket", "head", F.coalesce("above", "last").alias("target"))
-    copies = rows.alias("r").join(F.broadcast(target.alias("t")), (F.col("r.bucket") == F.col("t.bucket")) & F.col("r.id").eqNullSafe(F.col("t.head")))
-    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.select("r.id", "r.value", F.col("t.target").alias("bucket"), F.lit(True).alias("copy")))
+    copies = rows.alias("r").join(F.broadcast(target.alias("t")), (F.col("r.bucket") == F.col("t.bucket")) & (F.col("r.at") == F.col("t.head")))
+    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.select("r.id", "r.value", "r.tie", "r.at", F.col("t.target").alias("bucket"), F.lit(True).alias("copy"))).drop("at")
     within = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("id"), F.desc("tie"))
-    return both.withColumn("tie", F.xxhash64("value")).withColumn("following", F.lead("value").over(within))
+    return both.withColumn("following", F.lead("value").over(within))
+
+
+def cuts_of(sample: list[tuple[float, int]], ranges: int) -> list[float]:
+    """Places among the sorted (place, size) that cut them into ranges of equal size."""
+    share = max(1, sum(size for _, size in sample) // ranges)
+    before = accumulate((size for _, size in sample), initial=0)
+    return sorted({at for (at, size), n in zip(sample, before, strict=False) if n // share != (n + size) // share})
 
 
 def op9_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``documents``.
 
     The edited text has its last half replaced by as many code points of the next document, by descending id.
-    Likeness is 1 where fingerprints are equal, else 0: the digest is exact.
+    Likeness is 1 where fingerprints (of an edited text, canonical bytes) are equal, else 0: the digest is exact.
     """
     ties = collided(docs)
     rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
@@ -107,6 +127,6 @@ def op9_fingerprints(docs: DataFrame) -> DataFrame:
     after = both.withColumn("next_fingerprint", F.lead("fingerprint").over(within)).where(~F.col("copy"))
     return after.select(
         F.col("id").alias("doc_id"), F.char_length("value").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
+        "fingerprint", "edited_fingerprint", (canonical(F.col("value")) == canonical(F.col("edited"))).cast("double").alias("near_edited"),
         (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
     )

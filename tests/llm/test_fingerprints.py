@@ -11,7 +11,7 @@ from docloom.llm import fingerprints as fp
 
 
 def canonical(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).lower()).strip()
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())).strip()
 
 
 def expected(rows):
@@ -45,11 +45,33 @@ def test_documents(spark, sf_dir):
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_texts_of_all_kinds(frame, partitions):
     rng = random.Random(1)
-    texts = [None, "", "A", "a ", "é X", "É x", "😀😀b", "   ", "z" * 40_000, "same", "SAME", "same\n"]
+    texts = [None, "", "A", "a ", "é X", "É x", "😀😀b", "   ", "z" * 40_000, "same", "SAME", "same\n", "Straße", "STRASSE", "ὈΔΥΣΣΕΎΣ", "ὀδυσσεύς", "ὀδυσσεύσ"]
     rows = [(i * 7, t) for i, t in enumerate(texts)] + [(None, "last")] + [(1000 + i, "".join(rng.choice("aB é") for _ in range(rng.randrange(30)))) for i in range(150)]
     check(frame(rows).repartition(partitions), rows)
 
 
+def test_case_is_folded(frame):
+    rows = [(1, "Straße"), (2, "STRASSE"), (3, "ὈΔΥΣΣΕΎΣ"), (4, "ὀδυσσεύς"), (5, "E\u0301t\u00e9"), (6, "\u00c9T\u00c9")]
+    out = {r["doc_id"]: r["fingerprint"] for r in fp.op9_fingerprints(frame(rows)).collect()}
+    assert out[1] == out[2] and out[3] == out[4] and out[5] == out[6] and len(set(out.values())) == 3
+
+
+def test_many_null_ids_are_dealt_into_ranges(spark, frame, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 200)
+    rows = [(None, f"text number {i}") for i in range(120)] + [(i, f"other {i}") for i in range(60)]
+    paired = fp.with_next(frame(rows).select("doc_id", "text"), "text").where("NOT copy")
+    assert paired.where("id IS NULL").select("bucket").distinct().count() > 5
+    found = {r["value"]: r["following"] for r in paired.collect()}
+    null_order = [r["text"] for r in frame(rows).where("doc_id IS NULL").orderBy(F.desc(F.xxhash64("text"))).collect()]
+    order = [f"other {i}" for i in range(59, -1, -1)] + null_order
+    assert found == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError):
+        fp.op9_fingerprints(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_one_row_and_none(frame, empty, odd):
     check(frame([(1, "abcd")]), [(1, "abcd")])
     assert fp.op9_fingerprints(empty).count() == 0
