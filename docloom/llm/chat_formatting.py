@@ -5,6 +5,8 @@ hashes of (position, role, text); a conversation whose whole hash is a proper pr
 a snapshot of it and goes by an anti-join, equal conversations keep the smallest id. What is maximal is
 rendered, each turn between ``<|im_start|>`` and ``<|im_end|>`` marks.
 
+Turns are shuffled once, by conversation; what is matched are hashes, and what is kept joins the turns where they lie.
+
 Hot groups: common prefixes are made distinct and equal conversations are counted before the anti-join, both
 with map-side combination. A conversation is a unit: its turns meet in one task, as its rendering needs.
 
@@ -22,8 +24,8 @@ HASH = ["h1", "h2", "n"]
 
 
 def with_prefix_hashes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, i, n_turns, role, text, h1, h2, n): each turn with the rolling hash of the ``n`` turns up to it."""
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    """(conv, n_turns, role, text, h1, h2, n): each turn with the rolling hash of the ``n`` turns up to it; ``conv`` is a struct, which equals itself also where the id is null."""
+    rows = turns.select(F.struct(F.col(conv).alias("id")).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     placed = rows.withColumn("n", F.row_number().over(order)).withColumn("n_turns", F.count(F.lit(1)).over(Window.partitionBy("conv")))
     upto = Window.partitionBy("conv").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -39,20 +41,19 @@ def maximal_conversations(turns: DataFrame, **columns: str) -> DataFrame:
 
 
 def format_chats(turns: DataFrame, **columns: str) -> DataFrame:
-    """(conv, n_turns, n_copies, chat) of the maximal conversations."""
+    """(id, n_turns, n_copies, chat) of the maximal conversations."""
     kept = maximal_conversations(turns, **columns)
     safe = F.replace("text", F.lit("<|"), F.lit("< |"))
     line = F.concat(F.lit("<|im_start|>"), F.replace("role", F.lit("<|"), F.lit("< |")), F.lit("\n"), safe, F.lit("<|im_end|>\n"))
     rows = with_prefix_hashes(turns, **columns).select("conv", "n", line.alias("line"))
     chats = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
     chat = F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("chat")
-    same = chats["conv"].eqNullSafe(kept["conv"])
-    return chats.join(kept, same).select(chats["conv"], F.size("lines").cast("bigint").alias("n_turns"), "n_copies", chat)
+    return chats.join(kept, "conv").select("conv.id", F.size("lines").cast("bigint").alias("n_turns"), "n_copies", chat)
 
 
 def op7_chat_formatting(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, chat of the maximal conversations of ``conversations``."""
-    return format_chats(conversations).select(F.col("conv").alias("conv_id"), "n_turns", "n_copies", "chat")
+    return format_chats(conversations).select(F.col("id").alias("conv_id"), "n_turns", "n_copies", "chat")
 
 
 OP7_SQL = """
