@@ -5,9 +5,9 @@ is shorter). Patterns of one length share a shift table over blocks of two words
 pattern says how many words can be skipped. A block with shift 0 selects a bucket of patterns by the hash
 of that block and of the first word, and a comparison word by word confirms the occurrence.
 
-The pattern table is broadcast in shards of at most ``max_windows`` windows. With several shards the
-documents are passed over once for each, the matches written between the passes, so memory stays bounded
-however large the benchmark is.
+Windows are cut, made distinct and dealt into shards of about ``max_windows`` by Spark; the driver sees one shard at a time, to broadcast it.
+With several shards the documents are passed over once for each, and only what was found is written, by the hash of the text; all that
+was found meets the documents in the end. So memory stays bounded however large the benchmark is.
 
 Defined cases: null or wordless text has no words and is clean; a wordless item has no window; equal
 windows of several items report every item; items without an id mark words but are not listed; overlapping
@@ -17,18 +17,22 @@ occurrences count a word once; repeated documents are searched one by one; other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import content_key, free_name, materialise
+from docloom.llm.common import content_key, discard, free_name, materialise
 
 WINDOW, BLOCK = 10, 2
 #: A-Z become a-z, every other ASCII character that is no letter or digit a space; UTF-8 bytes above 7F stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-MATCH = "n_words bigint, spans array<struct<first:bigint, past:bigint>>, items array<string>"
+SPANS = "array<struct<first:bigint, past:bigint>>"
+MATCH = f"n_words bigint, spans {SPANS}, items array<string>"
+#: A word in a text whose capitals are not yet folded.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -118,43 +122,56 @@ def finder(shared: Broadcast, key: str) -> Callable:
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = 200_000) -> DataFrame:
     """``docs`` with a last column of its own: a struct of n_words, spans of hit words and items found."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    context = docs.sparkSession.sparkContext
     name = free_name(docs, "matches")
-    out = None
-    for shard in shards(items, max_windows):
-        matches = finder(docs.sparkSession.sparkContext.broadcast(shard), content_key(shard))
-        if out is None:
-            out = docs.withColumn(name, matches(F.col(text)))
-        else:
-            other = free_name(out, "more")
-            both = materialise(out, "matches").withColumn(other, matches(F.col(text)))
-            out = both.withColumn(name, merged(F.col(name), F.col(other))).drop(other)
-    return out
-
-
-def shards(items: DataFrame, max_windows: int) -> Iterator[list[tuple[str | None, tuple[bytes, ...]]]]:
-    """Windows of the items, read one partition at a time and handed out in lists of bounded length."""
-    held: list[tuple[str | None, tuple[bytes, ...]]] = []
-    given = False
-    for row in items.toLocalIterator():
-        for window in windows_of(words_of(row["text"])):
-            held.append((row["item"], window))
-            if len(held) == max_windows:
-                yield held
-                held, given = [], True
-    if held or not given:
-        yield held
-
-
-def merged(left: Column, right: Column) -> Column:
-    """Two match columns of the same words as one."""
-
-    @F.pandas_udf(MATCH)
-    def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        spans = [join_spans([(s["first"], s["past"]) for s in [*a, *b]]) for a, b in zip(left["spans"], right["spans"], strict=True)]
-        return pd.DataFrame({"n_words": left["n_words"], "spans": spans, "items": [sorted({*a, *b}) for a, b in zip(left["items"], right["items"], strict=True)]})
-
-    return merge(left, right)
+    windows = materialise(distinct_windows(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))), "windows")
+    shards = max(1, -(-windows.count() // max_windows))
+    shard = F.pmod(F.xxhash64("item", "window"), F.lit(shards))
+
+    def finder_of(k: int) -> Callable:
+        rows = sorted(((r["item"], tuple(bytes(r["window"]).split())) for r in windows.where(shard == k).collect()), key=lambda r: (r[1], r[0] or "", r[0] is None))
+        return finder(context.broadcast(rows), content_key(rows))
+
+    if shards == 1:
+        found = docs.withColumn(name, finder_of(0)(F.col(text)))
+        discard(windows)
+        return found
+    key = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
+    hits = []
+    for k in range(shards):
+        seen = docs.select(*key, finder_of(k)(F.col(text)).alias("m")).where(F.size("m.spans") > 0)
+        hits.append(materialise(seen.select("h1", "h2", "m.spans", "m.items"), "matches"))
+    discard(windows)
+    together = reduce(DataFrame.unionByName, hits).groupBy("h1", "h2").agg(F.collect_set("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    one = materialise(together.select("h1", "h2", joined(F.flatten("spans")).alias("spans"), "items"), "hits")
+    discard(*hits)
+    h1, h2 = free_name(docs, "h1"), free_name(docs, "h2")
+    keyed = docs.withColumns({h1: key[0], h2: key[1]})
+    both = keyed.join(one, (keyed[h1] == one["h1"]) & (keyed[h2] == one["h2"]), "left")
+    spans, items = (F.coalesce(one[c], F.array().cast(kind)) for c, kind in (("spans", SPANS), ("items", "array<string>")))
+    n_words = F.coalesce(F.regexp_count(keyed[text], F.lit(WORDS)), F.lit(0)).cast("bigint")
+    return both.select(*[keyed[f"`{c}`"] for c in docs.columns], F.struct(n_words.alias("n_words"), spans.alias("spans"), items.alias("items")).alias(name))
+
+
+def distinct_windows(items: DataFrame) -> DataFrame:
+    """(item, window) once each; the words of a window are joined by blanks, which no word holds."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = [(item, b" ".join(w)) for item, text in zip(frame["item"], frame["text"], strict=True) for w in windows_of(words_of(text if isinstance(text, str) else None))]
+            yield pd.DataFrame(rows, columns=["item", "window"])
+
+    return items.mapInPandas(cut, "item string, window binary").distinct()
+
+
+def joined(spans: Column) -> Column:
+    """Disjoint spans in order that cover the given ones."""
+
+    @F.pandas_udf(SPANS)
+    def join(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda spans: [{"first": a, "past": b} for a, b in join_spans([(s["first"], s["past"]) for s in spans])])
+
+    return join(spans)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -56,6 +56,15 @@ def test_equals_brute_force(spark, frame, case, max_windows):
         assert tuple(row)[1:] == brute_force(dict(docs)[row["doc_id"]], items)
 
 
+def test_shards_leave_other_columns_alone(spark, frame):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(str(i), " ".join(words[i : i + 12])) for i in range(40)] + [("x", " ".join(words[:12]))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "s1", " ".join(words), "a"), (1, "s1", " ".join(words), "b"), (2, "s2", None, "c"), (3, "s3", "w1 w2", "d")], "doc_id bigint, h1 string, text string, spans string")
+    one, many = ({(r["doc_id"], r["spans"]): r["matches"] for r in d.find_windows(docs, bench, max_windows=n).collect()} for n in (10_000, 7))
+    assert one == many and len(one) == 4 and len(one[1, "a"]["items"]) == 41 and one[2, "c"]["n_words"] == 0
+    assert d.find_windows(docs, bench, max_windows=7).columns == [*docs.columns, "matches"]
+
+
 def test_equals_sql(spark, sf_dir):
     out = d.op4_decontamination(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
     same_as_sql(out, tables(sf_dir), d.OP4_SQL)
