@@ -1,19 +1,19 @@
-"""Chunks by sentence boundaries that a model proposes: requests out, replies in, with fallback and merging."""
+"""Chunks by sentence boundaries that a model proposes: requests out, replies in, with fallback and merging.
 
-from __future__ import annotations
+The sentences of a document stay in one row, where they are packed, numbered and joined by column functions.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions.text import sentence_tokens, word_count
 from docloom.operators.rerank import reply_body
 from docloom.schemas import BOUNDARY_REPLY
 
 TARGET_WORDS, MIN_WORDS, FALLBACK_HEADER = 2000, 200, "Content section"
+BOUNDS = "array<struct<block:int,pos:int,start:int,end:int,header:string>>"
 
 
 def sentence_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -22,66 +22,57 @@ def sentence_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.withColumn("words", word_count("sentence"))
 
 
-def pack_blocks(words: list[int], target: int = TARGET_WORDS) -> list[tuple[int, int]]:
-    """Inclusive ranges of sentences packed greedily; a new one starts when the target would be passed by a block that has words."""
-    blocks: list[tuple[int, int]] = []
-    start = total = 0
-    for i, n in enumerate(words):
-        if total > 0 and total + n > target:
-            blocks.append((start, i - 1))
-            start, total = i, 0
-        total += n
-    return [*blocks, (start, len(words) - 1)] if words else []
+def sentence_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, sentences, words): all sentences of a document and their words in one row; documents without any are left out."""
+    rows = docs.select(key, sentence_tokens(text).alias("sentences")).where(F.size("sentences") > 0)
+    return rows.withColumn("words", F.transform("sentences", word_count))
 
 
-def merge_small(boundaries: list[tuple[int, int, str]], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """From the left, a boundary of too few words takes in the next one; the last is never merged backwards."""
-    out: list[tuple[int, int, str]] = []
-    rest = iter(boundaries)
-    held = next(rest, None)
-    for start, end, header in rest:
-        if sum(words[held[0] : held[1] + 1]) < least:
-            held = (held[0], end, f"{held[2]}; {header}")
-        else:
-            out.append(held)
-            held = (start, end, header)
-    return out if held is None else [*out, held]
+def pack_blocks(words: Column, target: int = TARGET_WORDS) -> Column:
+    """Inclusive ranges of sentences packed greedily; a new one starts when the target would be passed by a block that has words."""
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("blocks"), F.lit(0).alias("start"), F.lit(0).alias("total"))
 
+    def add(held: Column, x: Column) -> Column:
+        full = (held["total"] > 0) & (held["total"] + x["n"] > target)
+        blocks = F.when(full, F.concat(held["blocks"], F.array(F.struct(held["start"].alias("first"), (x["i"] - 1).alias("last"))))).otherwise(held["blocks"])
+        return F.struct(blocks.alias("blocks"), F.when(full, x["i"]).otherwise(held["start"]).alias("start"), (F.when(full, F.lit(0)).otherwise(held["total"]) + x["n"]).alias("total"))
 
-def _per_document(rows: DataFrame, key: str, fold, columns: list[str], schema: str) -> DataFrame:
-    """Fold the rows that were collected per document, a batch of documents at a time."""
+    counted = F.transform(words, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    return F.aggregate(counted, start, add, lambda held: F.concat(held["blocks"], F.array(F.struct(held["start"].alias("first"), (F.size(words) - 1).alias("last")))))
 
-    added = T.StructType.fromDDL(schema)
-    names = [key, *added.names]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = [(k, *made) for k, *values in frame[[key, *columns]].itertuples(index=False) for made in fold(*values)]
-            yield pd.DataFrame(out, columns=names)
+def merge_small(bounds: Column, words: Column, least: int = MIN_WORDS) -> Column:
+    """From the left, a boundary (of type ``BOUNDS``) of too few words takes in the next one; the last is never merged backwards."""
 
-    return rows.select(key, *columns).mapInPandas(run, T.StructType([rows.schema[key], *added.fields]))
+    def size(b: Column) -> Column:
+        first = F.greatest(b["start"], F.lit(0))
+        return F.aggregate(F.slice(words, first + 1, F.greatest(b["end"] - first + 1, F.lit(0))), F.lit(0), lambda n, w: n + w)
 
+    def add(held: Column, b: Column) -> Column:
+        last = held["last"]
+        small = size(last) < least
+        grown = F.struct(last["block"].alias("block"), last["pos"].alias("pos"), last["start"].alias("start"), b["end"].alias("end"), F.concat(last["header"], F.lit("; "), b["header"]).alias("header"))
+        return F.struct(F.when(small, held["done"]).otherwise(F.concat(held["done"], F.array(last))).alias("done"), F.when(small, grown).otherwise(b).alias("last"))
 
-def word_lists(sentences: DataFrame, key: str) -> DataFrame:
-    return sentences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"]).alias("words"))
+    start = F.struct(F.array().cast(BOUNDS).alias("done"), F.get(bounds, F.lit(0)).alias("last"))
+    return F.aggregate(F.slice(bounds, 2, F.size(bounds)), start, add, lambda held: F.concat(held["done"], F.array(held["last"])))
 
 
-def block_rows(sentences: DataFrame, key: str, target: int = TARGET_WORDS) -> DataFrame:
-    """(key, block, first, last) of the packed blocks."""
+def block_rows(lists: DataFrame, key: str, target: int = TARGET_WORDS) -> DataFrame:
+    """(key, block, first, last) of the packed blocks of ``sentence_lists``."""
+    return lists.select(key, F.posexplode(pack_blocks(F.col("words"), target)).alias("block", "b")).select(key, "block", "b.*")
 
-    def fold(words):
-        return [(b, first, last) for b, (first, last) in enumerate(pack_blocks([int(w) for w in words], target))]
 
-    return _per_document(word_lists(sentences, key), key, fold, ["words"], "block int, first int, last int")
+def boundary_requests(lists: DataFrame, key: str, target: int = TARGET_WORDS) -> DataFrame:
+    """(key, block, offset, n, numbered): the sentences of each block, numbered from 0 within it."""
 
+    def request(b: Column) -> Column:
+        inside = F.slice("sentences", b["first"] + 1, b["last"] - b["first"] + 1)
+        numbered = F.array_join(F.transform(inside, lambda s, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), s)), "\n")
+        return F.struct(b["first"].alias("offset"), (b["last"] - b["first"] + 1).alias("n"), numbered.alias("numbered"))
 
-def boundary_requests(sentences: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """(key, block, offset, n, numbered): the sentences of each block, numbered from 0 within it."""
-    inside = sentences.join(blocks, key).where(F.col("i").between(F.col("first"), F.col("last")))
-    line = F.concat(F.lit("["), (F.col("i") - F.col("first")).cast("string"), F.lit("] "), "sentence")
-    lines = F.array_sort(F.collect_list(F.struct("i", line.alias("line"))))
-    text = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return inside.groupBy(key, "block").agg(F.min("first").alias("offset"), F.count(F.lit(1)).cast("int").alias("n"), text.alias("numbered"))
+    made = F.transform(pack_blocks(F.col("words"), target), request)
+    return lists.select(key, F.posexplode(made).alias("block", "r")).select(key, "block", "r.*")
 
 
 def parse_boundaries(requests: DataFrame, replies: DataFrame, key: str) -> DataFrame:
@@ -95,38 +86,36 @@ def parse_boundaries(requests: DataFrame, replies: DataFrame, key: str) -> DataF
     return joined.select(key, "block", F.posexplode(F.when(usable, read).otherwise(whole)).alias("pos", "b")).select(key, "block", "pos", "b.*")
 
 
-def merged_boundaries(boundaries: DataFrame, sentences: DataFrame, key: str, least: int = MIN_WORDS) -> DataFrame:
-    """(key, pos, start, end, header) after small ones took in their followers, across the blocks of a document."""
-    listed = boundaries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "pos", "start", "end", "header"))).alias("bounds"))
+def boundary_lists(boundaries: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """(key, sentences, words, bounds): the boundaries of a document in order beside its sentences, which travel once however many there are.
 
-    def fold(bounds, words):
-        found = merge_small([(int(b["start"]), int(b["end"]), b["header"]) for b in bounds], [int(w) for w in words], least)
-        return [(pos, *b) for pos, b in enumerate(found)]
+    ``boundaries`` has block, pos, start, end, header.
+    """
+    bounds = F.array_sort(F.collect_list(F.struct("block", "pos", "start", "end", "header"))).cast(BOUNDS)
+    return lists.join(boundaries.groupBy(key).agg(bounds.alias("bounds")), key)
 
-    return _per_document(listed.join(word_lists(sentences, key), key), key, fold, ["bounds", "words"], "pos int, start int, end int, header string")
 
+def merged_boundaries(listed: DataFrame, key: str, least: int = MIN_WORDS) -> DataFrame:
+    """``listed`` (``boundary_lists``) after small boundaries took in their followers, across the blocks of a document."""
+    return listed.withColumn("bounds", merge_small(F.col("bounds"), F.col("words"), least))
 
-def boundary_texts(boundaries: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
-    """(key, pos, header, chunk): sentences start..end joined by blanks; gaps drop text and overlaps repeat it.
 
-    All boundaries of a document meet its sentences in one row, so its text travels once however many there are.
-    """
-    listed = sentences.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
-    bounds = boundaries.groupBy(key).agg(F.collect_list(F.struct("pos", "header", F.greatest("start", F.lit(0)).alias("first"), "end")).alias("bounds"))
+def boundary_texts(listed: DataFrame, key: str) -> DataFrame:
+    """(key, place, block, pos, start, end, header, chunk): sentences start..end joined by blanks, in order; gaps drop text and overlaps repeat it."""
 
-    def text(b):
-        return F.array_join(F.slice("sentences", b["first"] + 1, F.greatest(b["end"] - b["first"] + 1, F.lit(0))), " ")
+    def made(b: Column) -> Column:
+        first = F.greatest(b["start"], F.lit(0))
+        text = F.array_join(F.slice("sentences", first + 1, F.greatest(b["end"] - first + 1, F.lit(0))), " ")
+        return F.struct(*[b[c].alias(c) for c in ("block", "pos", "start", "end", "header")], text.alias("chunk"))
 
-    made = F.transform("bounds", lambda b: F.struct(b["pos"].alias("pos"), b["header"].alias("header"), text(b).alias("chunk")))
-    return listed.join(bounds, key).select(key, F.explode(made).alias("made")).select(key, "made.*")
+    return listed.select(key, F.posexplode(F.transform("bounds", made)).alias("place", "made")).select(key, "place", "made.*")
 
 
 def chunk_semantically(docs: DataFrame, replies: DataFrame, key: str, text: str = "text", target: int = TARGET_WORDS, least: int = MIN_WORDS) -> DataFrame:
     """(key, chunk_index, header, chunk) with the boundaries of ``replies`` (key, block, response)."""
-    sentences = sentence_rows(docs, key, text)
-    requests = boundary_requests(sentences, block_rows(sentences, key, target), key)
-    merged = merged_boundaries(parse_boundaries(requests, replies, key), sentences, key, least)
-    return boundary_texts(merged, sentences, key).withColumnRenamed("pos", "chunk_index")
+    lists = sentence_lists(docs, key, text)
+    found = parse_boundaries(boundary_requests(lists, key, target), replies, key)
+    return boundary_texts(merged_boundaries(boundary_lists(found, lists, key), key, least), key).select(key, F.col("place").alias("chunk_index"), "header", "chunk")
 
 
 def embed_text(header, chunk):

@@ -58,26 +58,30 @@ def sentence_words(spark: SparkSession, sf_dir: str) -> Frame:
     return semantic.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> Frame:
+    return semantic.sentence_lists(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def pack_blocks(spark: SparkSession, sf_dir: str) -> Frame:
-    return semantic.block_rows(sentence_words(spark, sf_dir), "doc_id", target=150)
+    return semantic.block_rows(_lists(spark, sf_dir), "doc_id", target=150)
 
 
 def boundary_requests(spark: SparkSession, sf_dir: str) -> Frame:
-    rows = sentence_words(spark, sf_dir)
-    out = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    out = semantic.boundary_requests(_lists(spark, sf_dir), "doc_id", target=150)
     return out.select("doc_id", "block", "offset", "n", F.md5(F.col("numbered").cast("binary")).alias("numbered_md5"))
 
 
-def _threes(rows: Frame) -> Frame:
+def _threes(lists: Frame) -> Frame:
     """A boundary for every three sentences of a document."""
-    last = rows.groupBy("doc_id").agg(F.max("i").alias("last"))
-    starts = last.select("doc_id", "last", F.posexplode(F.sequence(F.lit(0), F.col("last"), F.lit(3))).alias("pos", "start"))
+    last = F.size("words") - 1
+    starts = lists.select("doc_id", last.alias("last"), F.posexplode(F.sequence(F.lit(0), last, F.lit(3))).alias("pos", "start"))
     return starts.select("doc_id", F.lit(0).alias("block"), "pos", "start", F.least(F.col("start") + 2, F.col("last")).alias("end"), F.concat(F.lit("h"), F.col("pos").cast("string")).alias("header"))
 
 
 def merge_small_chunks(spark: SparkSession, sf_dir: str) -> Frame:
-    rows = sentence_words(spark, sf_dir)
-    return semantic.merged_boundaries(_threes(rows), rows, "doc_id", least=40)
+    lists = _lists(spark, sf_dir)
+    merged = semantic.merged_boundaries(semantic.boundary_lists(_threes(lists), lists, "doc_id"), "doc_id", least=40)
+    return semantic.boundary_texts(merged, "doc_id").select("doc_id", F.col("place").alias("pos"), "start", "end", "header")
 
 
 def _halves(requests: Frame) -> Frame:
@@ -89,20 +93,18 @@ def _halves(requests: Frame) -> Frame:
 
 def boundary_chunks(spark: SparkSession, sf_dir: str) -> Frame:
     """Chunks from replies that split every block in two; every third reply cannot be read."""
-    rows = sentence_words(spark, sf_dir)
-    requests = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    lists = _lists(spark, sf_dir)
+    requests = semantic.boundary_requests(lists, "doc_id", target=150)
     found = semantic.parse_boundaries(requests, _halves(requests), "doc_id")
-    placed = found.select("doc_id", (F.col("block") * 10 + F.col("pos")).alias("pos"), "start", "end", "header")
-    out = semantic.boundary_texts(placed, rows, "doc_id")
+    out = semantic.boundary_texts(semantic.boundary_lists(found, lists, "doc_id"), "doc_id")
     text = semantic.embed_text(F.col("header"), F.col("chunk"))
-    return out.select("doc_id", "pos", "header", F.md5(text.cast("binary")).alias("text_md5"))
+    return out.select("doc_id", (F.col("block") * 10 + F.col("pos")).alias("pos"), "header", F.md5(text.cast("binary")).alias("text_md5"))
 
 
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> Frame:
     """The whole way with the replies of ``boundary_chunks``, small chunks merged into their followers."""
     docs = table(spark, sf_dir, "documents")
-    rows = semantic.sentence_rows(docs, "doc_id")
-    requests = semantic.boundary_requests(rows, semantic.block_rows(rows, "doc_id", target=150), "doc_id")
+    requests = semantic.boundary_requests(_lists(spark, sf_dir), "doc_id", target=150)
     found = semantic.chunk_semantically(docs, _halves(requests), "doc_id", target=150, least=50)
     return found.select("doc_id", "chunk_index", "header", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 

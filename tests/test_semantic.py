@@ -1,18 +1,28 @@
-from docloom.operators.semantic import merge_small, pack_blocks, parse_boundaries
+import pytest
+from pyspark.sql import functions as F
 
+from docloom.operators import semantic
+from docloom.operators.semantic import parse_boundaries
 
-def test_blocks_golden():
-    assert pack_blocks([3, 4, 2, 5], 7) == [(0, 1), (2, 3)]
-    assert pack_blocks([9, 1], 7) == [(0, 0), (1, 1)]
-    assert pack_blocks([0, 9], 7) == [(0, 1)]
-    assert pack_blocks([], 7) == []
 
+@pytest.mark.parametrize(("words", "want"), [([3, 4, 2, 5], [(0, 1), (2, 3)]), ([9, 1], [(0, 0), (1, 1)]), ([0, 9], [(0, 1)])])
+def test_blocks_golden(spark, words, want):
+    rows = spark.createDataFrame([(words,)], "words array<int>")
+    assert [tuple(b) for b in rows.select(semantic.pack_blocks(F.col("words"), 7)).first()[0]] == want
 
-def test_merge_golden():
-    words = [50, 180, 300, 90]
-    bounds = [(i, i, f"h{i}") for i in range(4)]
-    assert merge_small(bounds, words, 200) == [(0, 1, "h0; h1"), (2, 2, "h2"), (3, 3, "h3")]
-    assert merge_small([], words) == []
+
+def test_merge_golden(spark):
+    rows = spark.createDataFrame([([50, 180, 300, 90], [(0, i, i, i, f"h{i}") for i in range(4)])], f"words array<int>, bounds {semantic.BOUNDS}")
+    merged = rows.select(semantic.merge_small(F.col("bounds"), F.col("words"), 200)).first()[0]
+    assert [tuple(b)[2:] for b in merged] == [(0, 1, "h0; h1"), (2, 2, "h2"), (3, 3, "h3")]
+
+
+def test_documents_without_sentences_have_no_blocks(spark):
+    docs = spark.createDataFrame([("a", None), ("b", " "), ("c", "One. Two.")], "k string, text string")
+    lists = semantic.sentence_lists(docs, "k")
+    assert [tuple(r) for r in semantic.boundary_requests(lists, "k").collect()] == [("c", 0, 0, 2, "[0] One.\n[1] Two.")]
+    none = spark.createDataFrame([], "k string, block int, response string")
+    assert [tuple(r) for r in semantic.chunk_semantically(docs, none, "k").collect()] == [("c", 0, "Content section", "One. Two.")]
 
 
 def test_unreadable_replies_fall_back(spark):
