@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.chunking import MAX_LEN, OVERLAP, chunk_documents
+from docloom.functions.text import extension
 from docloom.operators import context, embedding, incremental, rerank, retrieval
 from docloom.sources import chunk_table
 from docloom.sources import files as file_tables
@@ -72,12 +74,16 @@ def index_directory(
 
     The listing keeps names and hashes only; texts are read of what is new or modified. Vectors go to the cache
     table at ``cache``, shared by all users, which only grows. Files that cannot be read, pictures and PDF files
-    without recognised text are in ``failed`` and keep their old rows. A repeated run changes nothing.
+    without recognised text are in ``failed`` and keep their old rows. Files of other ``extensions`` than those asked for, and of
+    other folders, stay as they are. A repeated run changes nothing.
     """
     found = file_tables.scan_directory(spark, directory, extensions)
     listed = materialise(found.select(F.lit(user_id).alias("user_id"), F.col("path").alias("source"), "content_hash", "mtime"), "listing")
     chunks = chunk_table.stored_chunks(spark, table, user_id)
-    classified = materialise(incremental.classify(listed, incremental.existing_files(chunks, directory)), "classified")
+    stored = incremental.existing_files(chunks, re.sub("^file:/+", "/", directory).rstrip("/") + "/")
+    if extensions is not None:
+        stored = stored.where(extension("source").isin([e.lower() for e in extensions]))
+    classified = materialise(incremental.classify(listed, stored), "classified")
     work = incremental.to_process(classified).select(F.col("source").alias("path"))
     todo = materialise(found.join(work, "path", "left_semi"), "changed-files")
     texts = file_tables.load_texts(todo, recognised)

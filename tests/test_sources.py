@@ -125,6 +125,8 @@ def test_a_directory_is_indexed_once(spark, folder, tmp_path_factory):
     (folder / "sub" / "b.md").unlink()
     statuses, failed, rows = index()
     assert (statuses["a.TXT"], statuses["b.md"]) == ("modified", "deleted") and [r[1] for r in rows] == ["Other text.", "T A & b", "P1 P2"] and len(list(calls.iterdir())) == 5
+    only = jobs.index_directory(spark, str(folder), table, cache, model, 3, extensions=[".txt"])
+    assert {r["status"] for r in only.classified.collect()} == {"unchanged"} and only.chunks.count() == 3
     for name in ("a.TXT", "c.html", "d.docx"):
         (folder / name).unlink()
     assert index()[2] == []
