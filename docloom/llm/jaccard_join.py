@@ -38,7 +38,7 @@ from docloom.llm.components import components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 DEPTH, BUCKET, BLOCK, BINS = 3, 128, 256, 128
-#: A pair of similarity 0.8 has a sketch estimate below this with a probability of about 1e-6.
+#: A pair at the threshold has a sketch estimate further below it than this in less than one of a thousand cases, as the tests measure by set size.
 SKETCH_MARGIN = 0.17
 CACHED_WORDS = 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)

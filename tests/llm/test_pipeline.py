@@ -31,6 +31,26 @@ def test_rows_equal_brute_force(spark, sf_dir):
     assert sorted((r["doc_id"], r["ids"]) for r in found) == sorted((i, codec.encode(t).tolist()) for i, t in rows)
 
 
+def test_rows_of_the_stages_on_an_odd_table(spark, sf_dir, odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    ids = lambda found: sorted(str(r["doc_id"]) for r in found.collect())
+    stages = dict(pipeline.STAGES)
+    lettered = [i for i, t in rows if t and any(c.isalpha() for c in t)]
+    assert ids(stages["language_id"](spark, odd, sf_dir)) == sorted(map(str, lettered))
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in stages["line_dedup"](spark, odd, sf_dir).collect())
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(i)
+    last = {k: max(h, key=lambda i: (i is not None, i or 0)) for k, h in holders.items() if len(h) >= 3}
+    assert texts == sorted((str(i), "\n".join(x for x in (t or "").split("\n") if last.get(key(x), i) == i)) for i, t in rows)
+    wordless = [i for i, t in rows if not (t or "").split()]
+    assert ids(stages["jaccard_join"](spark, odd, sf_dir)) == sorted(map(str, [*wordless, 4, 5, 6, 8]))
+    assert stages["decontamination"](spark, odd, sf_dir).count() == len(rows)
+    assert ids(stages["sentencepiece"](spark, odd, sf_dir)) == sorted(str(i) for i, _ in rows)
+
+
 def test_stages_keep_the_columns(spark, sf_dir, odd, empty):
     assert [name for name, _ in pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "sentencepiece"]
     for docs in (odd, empty):
