@@ -7,8 +7,9 @@ word and outside an exception. The weights found, as they are and per hundred wo
 by a logistic function.
 
 Everything is learned from a bounded, documented sample of labelled rows: the ``toxic_rows`` toxic and
-``clean_rows`` other documents whose id hashes lowest. The lexicon is the words that documents of label 1 hold more often, weighed by log odds. The
-logistic function is fitted on weights that each half of the sample finds with the lexicon of the other.
+``clean_rows`` other documents whose id hashes lowest. The lexicon is the words that documents of label 1 hold more often, weighed by log odds.
+Exception phrases are given ones and those learned: two words, one of them a term, that documents of label 0 hold more often. The
+logistic function is fitted on weights that each half of the sample finds with the lexicon and exceptions of the other.
 
 Defined cases: null and empty texts score what a text without any term scores, below 0.5 unless most labels
 are 1; without labels of both kinds nothing is learned and every score is 0; documents without a label are
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import id_bucket, materialise
+from docloom.llm.common import discard, id_bucket, materialise
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -43,7 +44,14 @@ STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 TABLE = str.maketrans(LOOKALIKES)
 STANDIN_TABLE = str.maketrans(STANDINS)
 WORD = re.compile(r"[^\W_]+")
+#: Phrases in which a term is harmless, beside those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "worthless check")
+#: A phrase of two words, one of them a term, is learned as an exception if so many sampled documents of label 0 hold it, and it speaks for label 0 by this log odds.
+EXCEPTION_DOCS, EXCEPTION_ODDS = 4, 1.0
+#: The word before a term and the one after it, one blank away.
+BEFORE, AFTER = re.compile(r"[^\W_]+ \Z"), re.compile(r" [^\W_]+")
+#: Terms and their weights, exception phrases, coefficients of the score.
+Model = tuple[dict[str, float], tuple[str, ...], list[float] | None]
 TOXIC_ROWS, CLEAN_ROWS, TERMS, LEAST_DOCS, LEAST_ODDS = 4_000, 12_000, 5_000, 4, 2.5
 
 
@@ -126,8 +134,29 @@ def lexicon_of(counts: DataFrame, size: dict[tuple[int, int], int], halves: list
     return {r["word"]: float(r["odds"]) for r in best.orderBy(F.desc("odds"), "word").limit(terms).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS) -> tuple[dict[str, float], list[float]] | None:
-    """The lexicon with its weights, and the coefficients of the score; None where there are not labels of both kinds."""
+def exceptions_of(rows: DataFrame, weights: dict[str, float], size: dict[tuple[int, int], int], halves: list[int], most: int) -> tuple[str, ...]:
+    """The phrases of a term and the word before or after it that speak for label 0, in the given halves."""
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(weights, ())
+        for batch in batches:
+            found = []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                folded = fold(text or "")
+                around = {p for a, b, _ in lexicon.matches(folded) for p in (BEFORE.search(folded, max(0, a - 40), a), AFTER.match(folded, b)) if p for p in [folded[min(p.start(), a) : max(p.end(), b)]]}
+                found += [(p, toxic) for p in sorted(around)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["phrase", "toxic"])
+
+    used = rows.where(F.col("half").isin(halves)).select("text", F.col("toxic").cast("int").alias("toxic"))
+    counts = used.mapInArrow(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    n_t, n_c = (sum(size[h, kind] for h in halves) for kind in (1, 0))
+    odds = F.log((F.col("c") + 0.5) / (n_c + 1)) - F.log((F.col("t") + 0.5) / (n_t + 1))
+    best = counts.where((F.col("c") >= EXCEPTION_DOCS) & (odds >= EXCEPTION_ODDS)).orderBy(odds.desc(), "phrase").limit(most)
+    return tuple(r["phrase"] for r in best.collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model | None:
+    """The lexicon with its weights, the exceptions, given and learned, and the coefficients of the score; None where there are not labels of both kinds."""
     rows = sample(docs, labels, toxic_rows, clean_rows)
     size = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     if min(size.get((half, kind), 0) for half in (0, 1) for kind in (0, 1)) == 0:
@@ -137,20 +166,24 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     counts = materialise(words.groupBy("word").agg(*cells).where(f"t0 + t1 >= {LEAST_DOCS}"), "words")
     seen = []
     for learned, other in ((0, 1), (1, 0)):
-        found = scored(rows, F.col("text"), lexicon_of(counts, size, [learned], terms), None).alias("f")
+        weights = lexicon_of(counts, size, [learned], terms)
+        found = scored(rows, F.col("text"), (weights, (*exceptions, *exceptions_of(rows, weights, size, [learned], terms)), None)).alias("f")
         seen.append(rows.where(F.col("half") == other).select("toxic", found).select("toxic", "f.*").toPandas())
     held = pd.concat(seen)
-    return lexicon_of(counts, size, [0, 1], terms), logistic(held[["total", "density"]].to_numpy(float), held["toxic"].to_numpy(float))
+    weights = lexicon_of(counts, size, [0, 1], terms)
+    learned = exceptions_of(rows, weights, size, [0, 1], terms)
+    discard(counts)
+    return weights, (*exceptions, *learned), logistic(held[["total", "density"]].to_numpy(float), held["toxic"].to_numpy(float))
 
 
-def scored(df: DataFrame, text: Column, weights: dict[str, float], beta: list[float] | None) -> Column:
+def scored(df: DataFrame, text: Column, model: Model) -> Column:
     """A struct of total, density and score; the model is of bounded size and broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast((weights, beta))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("total double, density double, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights, beta = shared.value
-        lexicon = Lexicon(weights)
+        weights, exceptions, beta = shared.value
+        lexicon = Lexicon(weights, exceptions)
         for texts in batches:
             found = np.array([lexicon.features(t if isinstance(t, str) else None) for t in texts], float).reshape(-1, 2)
             z = np.zeros(len(found)) if beta is None else beta[0] + found @ np.array(beta[1:])
@@ -163,5 +196,5 @@ def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``documents``."""
     model = fit(docs.where(id_bucket("doc_id", 5) != 0), labels.where(id_bucket("doc_id", 5) != 0))
     held = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    score = F.lit(0.0) if model is None else scored(docs, F.col("text"), *model)["score"]
+    score = F.lit(0.0) if model is None else scored(docs, F.col("text"), model)["score"]
     return docs.select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

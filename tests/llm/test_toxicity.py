@@ -1,3 +1,7 @@
+import math
+
+import pytest
+
 from docloom.llm import toxicity as t
 
 LEXICON = t.Lexicon({"idiot": 3.0, "trash": 2.0, "stupid": 2.0})
@@ -33,6 +37,46 @@ def test_held_out_rows(spark, sf_dir):
     assert area > 0.93 and (toxic >= 0.5).mean() > 0.85 and (clean >= 0.5).mean() < 0.01
 
 
+def brute_force(model, text):
+    """The score of a text by the definition: every place of every term, one after the other."""
+    weights, exceptions, beta = model
+    folded, total = t.fold(text or ""), 0.0
+
+    def places(phrase):
+        for at in range(len(folded) - len(phrase) + 1):
+            end = at + len(phrase)
+            if folded.startswith(phrase, at) and not folded[max(0, at - 1) : at].isalnum() and not folded[end : end + 1].isalnum():
+                yield at, end
+
+    excepted = [p for phrase in exceptions for p in places(t.fold(phrase))]
+    for term, weight in weights.items():
+        if term in folded:
+            total += weight * sum(not any(a <= at and end <= b for a, b in excepted) for at, end in places(term))
+    z = beta[0] + beta[1] * math.log1p(total) + beta[2] * (100 * total / (1 + len((text or "").split())))
+    return total, 1 / (1 + math.exp(-max(-500, min(500, z))))
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{n}.parquet") for n in ("documents", "labels"))
+    model = t.fit(docs.where(t.id_bucket("doc_id", 5) != 0), labels.where(t.id_bucket("doc_id", 5) != 0))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = t.op6_toxicity(docs, labels).collect()
+    assert model[0] and len(rows) == len(texts) and any(r["score"] > 0.5 for r in rows)
+    for row in rows[:300]:
+        assert row["score"] == pytest.approx(brute_force(model, texts[row["doc_id"]])[1])
+
+
+def test_exceptions_are_learned(spark):
+    toxic = [(i, f"you idiot number{i} go away scum{i % 7} idiot") for i in range(60)]
+    clean = [(100 + i, f"the village idiot is a figure of tale{i % 11} and fair words") for i in range(24)] + [(200 + i, f"fair words of tale{i % 11} without any of it") for i in range(600)]
+    docs = spark.createDataFrame([*toxic, *clean], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id < 100 AS INT) AS toxic")
+    weights, exceptions, _ = t.fit(docs, labels)
+    assert "idiot" in weights and {"village idiot", "idiot is"} <= set(exceptions) and "you idiot" not in exceptions
+    assert t.fit(docs, labels, exceptions=())[1] == exceptions[len(t.EXCEPTIONS) :]
+    assert t.Lexicon(weights, exceptions).features("a village idiot")[0] == 0 < t.Lexicon(weights, exceptions).features("an idiot")[0]
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(1, 12)] + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
     out = t.op6_toxicity(odd, labels)
