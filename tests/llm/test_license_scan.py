@@ -42,6 +42,29 @@ def test_equals_brute_force_with_edits():
     assert missed <= 0.01 * total
 
 
+def test_recall_against_containment_without_windows():
+    """Passages as long as a template, at any place, that hold 0.8 or more of its shingles: nearly all are found."""
+    rng, scanner = random.Random(9), ls.Scanner(ls.TEMPLATES)
+    long = [k for k, size in enumerate(map(len, scanner.sets)) if size >= 8]
+    missed = total = 0
+    for _ in range(400):
+        k = rng.choice(long)
+        template = re.findall(r"[^\W_]+", ls.TEMPLATES[k][1].lower())
+        for _ in range(rng.randrange(1 + len(template) // 40)):
+            template[rng.randrange(len(template))] = "edited"
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(900))]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = template
+        text = " ".join(words)
+        shingles = scanner.shingles(scanner.hashes(text), scanner.widths[k])
+        w = 1 << (len(scanner.shingles(scanner.hashes(ls.TEMPLATES[k][1]), scanner.widths[k])) - 1).bit_length()
+        best = max(np.isin(scanner.sets[k], shingles[i : i + w]).mean() for i in range(max(0, at - 3), min(at + 4, len(shingles))))
+        if best >= 0.8:
+            total += 1
+            missed += scanner.names[k] not in {n for n, _, _ in scanner.scan(text)}
+    assert total > 200 and missed <= 0.01 * total
+
+
 def test_bands_reach_the_probability():
     for j in (0.2, 0.5, 0.9):
         assert (1 - j) ** ls.bands_for(j) <= ls.MISS
