@@ -8,14 +8,15 @@ pass through one boundary, the ids before it are final and are committed, and th
 For a unigram model the best last piece is the one of the highest total score. For a BPE model it is the
 one that byte-pair merging leaves last: a sequence of pieces is what merging gives if and only if merging
 leaves each two neighbours as they are, so every prefix has exactly one such last piece. The ids are those
-of the public library in both cases.
+of the public library in both cases. The kind is read from the model file; models of other kinds, with a normaliser, or with
+symbols of the user's are refused.
 
 All paths also converge where no piece crosses: before a space that follows other characters, and around
 line feeds that no piece contains. Texts are cut there, and segments that repeat are encoded once.
 
 Defined cases: null text gives null ids and an empty text no ids; characters without a piece become their
-UTF-8 byte pieces, or the unknown id where the model has none; repeated rows are encoded one by one;
-other columns are kept.
+UTF-8 byte pieces, or one unknown id for a run of them where the model has none; repeated rows are encoded one by one;
+other columns are kept. Null ids give a null text and no ids an empty one; a null among ids, and an id that the model does not have, is the unknown mark.
 """
 
 from __future__ import annotations
@@ -38,6 +39,48 @@ MARKS = "\n\t.,;:!?|"
 CACHED_LENGTH, CACHED_SEGMENTS, CACHED_PAIRS = 32, 600_000, 1_000_000
 
 
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of the fields of a protocol buffer message; the model file is one."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def is_unigram(raw: bytes) -> bool:
+    """Whether a model file is a unigram model, else BPE; what the codec does not do is refused.
+
+    Fixed field numbers of the file format: trainer (2) with the kind (3; 1 unigram, 2 BPE) and blanks as suffixes (24);
+    normaliser (3) with its table (2), a blank put first (3), blanks removed (4), blanks escaped (5); pieces (1) with their type (3; 4 of the user's).
+    """
+    parts = list(fields(raw))
+    trainer, normaliser = ({k: v for number, part in parts if number == n for k, v in fields(part)} for n in (2, 3))
+    if trainer.get(3, 1) not in (1, 2):
+        raise ValueError("only unigram and BPE models are supported")
+    if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(3, 1) or not normaliser.get(5, 1) or trainer.get(24):
+        raise ValueError("models that normalise texts are not supported")
+    if any(number == 1 and dict(fields(part)).get(3) == 4 for number, part in parts):
+        raise ValueError("models with symbols of the user's are not supported")
+    return trainer.get(3, 1) == 1
+
+
 class Pieces:
     """A vocabulary with the streaming search over it."""
 
@@ -57,10 +100,11 @@ class Pieces:
                 for c in piece:
                     node = node[0].setdefault(c, ({}, [None]))
                 node[1][0] = piece
-        self.segment = self.segments()
+        #: Runs of unknown characters are one id, so a text with such runs is not cut.
+        self.segment = None if byte_ids is None else self.segments()
         self.cache: dict[str, bytes] = {}
         table = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
-        self.text_of = [table.get(i, " ⁇ ".encode() if i == unknown else b"") for i in range(max(table, default=0) + 1)]
+        self.text_of = [table.get(i, " ⁇ ".encode() if i == unknown else b"") for i in range(max([*table, unknown]) + 1)]
 
     def segments(self) -> re.Pattern | None:
         """Where texts may be cut because no piece crosses: before spaces, and between most words and marks."""
@@ -76,11 +120,14 @@ class Pieces:
         """Read the vocabulary of a model file with the public library."""
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            raw = file.read()
+        unigram = is_unigram(raw)
+        model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = range(model.get_piece_size())
         plain = [i for i in n if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(map(model.is_byte, n)) else None
-        return cls([(model.id_to_piece(i), model.get_score(i)) for i in plain], plain, byte_ids, model.unk_id())
+        return cls([(model.id_to_piece(i), model.get_score(i)) for i in plain], plain, byte_ids, model.unk_id(), unigram)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain byte-pair merging: the best-scored neighbours first, the leftmost of equals."""
@@ -184,7 +231,8 @@ class Pieces:
             if known is not None:
                 out.append(known)
             elif self.byte_ids is None:
-                out.append(self.unknown)
+                if out[-1:] != [self.unknown]:
+                    out.append(self.unknown)
             else:
                 out += [self.byte_ids[b] for b in piece.encode()]
         return out
@@ -210,6 +258,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become replacement characters."""
+        ids = np.where((ids < 0) | (ids >= len(self.text_of)), self.unknown, ids)
         raw = b"".join(map(self.text_of.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
@@ -220,7 +269,16 @@ _loaded: dict[str, Pieces] = {}
 def vocabulary(df: DataFrame, path: str) -> tuple:
     """The bounded table of pieces, read where the model file is: on the driver."""
     p = Pieces.load(path)
-    return tuple((k, p.score_of[k], i) for k, i in p.id_of.items()), tuple(p.byte_ids or ()), p.unknown
+    return tuple((k, p.score_of[k], i) for k, i in p.id_of.items()), tuple(p.byte_ids or ()), p.unknown, p.unigram
+
+
+def built(shared: tuple, key: str) -> Pieces:
+    """The codec of a table of ``vocabulary``, which a worker keeps."""
+    if key not in _loaded:
+        rows, byte_ids, unknown, unigram = shared
+        _loaded.clear()
+        _loaded[key] = Pieces([r[:2] for r in rows], [r[2] for r in rows], list(byte_ids) or None, unknown, unigram)
+    return _loaded[key]
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool = False) -> DataFrame:
@@ -231,11 +289,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(same, T.BooleanType())] if check else []))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            rows, byte_ids, unknown = shared.value
-            _loaded.clear()
-            _loaded[key] = Pieces([r[:2] for r in rows], [r[2] for r in rows], list(byte_ids) or None, unknown)
-        codec = _loaded[key]
+        codec = built(shared.value, key)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
@@ -253,14 +307,14 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", check: bool
 
 def decode(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """``docs`` with a last column of its own, the text of ``ids``; null where they are null."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, model))
+    rows = vocabulary(docs, model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(rows), content_key(rows)
     name = free_name(docs, "decoded")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, byte_ids, unknown = shared.value
-        codec = Pieces([r[:2] for r in rows], [r[2] for r in rows], list(byte_ids) or None, unknown)
+        codec = built(shared.value, key)
         for batch in batches:
-            found = [None if x is None else codec.decode(np.array(x, np.int32)) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            found = [None if x is None else codec.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(texts, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))

@@ -1,4 +1,6 @@
 import os
+import struct
+import tempfile
 from functools import cache
 
 import numpy as np
@@ -47,6 +49,65 @@ def test_unigram_finds_the_best_split(scores, text):
     assert sum(scores.get(p, model.least) for p in pieces) == pytest.approx(best_score(scores, text, model.least))
 
 
+def number(n):
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def message(*parts):
+    """A protocol buffer message of (field, int, float or bytes)."""
+    out = b""
+    for field, value in parts:
+        if isinstance(value, float):
+            out += number(field << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(field << 3) + number(value)
+        else:
+            out += number(field << 3 | 2) + number(len(value)) + value
+    return out
+
+
+def model_file(scores, kind=1, normaliser=((1, b"identity"), (4, 0)), odd=()):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((p, s, 1) for p, s in scores.items()), *odd]
+    return message(*[(1, message((1, p.encode()), (2, s), (3, t))) for p, s, t in pieces], (2, message((3, kind))), (3, message(*normaliser)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("ab▁", min_size=1, max_size=4).filter(lambda p: "▁" not in p[1:]), st.floats(-9, -1, width=32), min_size=3), st.text("abc ", max_size=60))
+def test_unigram_models_are_read_as_such(scores, text):
+    raw = model_file(scores)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    with tempfile.NamedTemporaryFile() as file:
+        file.write(raw)
+        file.flush()
+        pieces = sc.Pieces.load(file.name)
+    assert pieces.unigram
+    found, want = pieces.encode(text).tolist(), library.encode(text)
+    score = [sum(library.get_score(i) if i else pieces.least for i in ids) for ids in (found, want)]
+    assert found == want or score[0] == pytest.approx(score[1])
+
+
+@pytest.mark.parametrize("raw", [model_file({"a": -1.0}, kind=4), model_file({"a": -1.0}, normaliser=((4, 1),)), model_file({"a": -1.0}, normaliser=((2, b"x"), (4, 0))), model_file({"a": -1.0}, odd=[("own", 0.0, 4)])])
+def test_models_that_are_not_supported_are_refused(raw):
+    with pytest.raises(ValueError):
+        sc.is_unigram(raw)
+
+
+def test_decode_of_odd_rows(spark):
+    rows = [(1, None, "x"), (2, [], "x"), (3, LIBRARY.encode("some text"), None), (4, [None, -5, 10**6], "x"), (None, [3], "x"), (3, LIBRARY.encode("some text"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, decoded string")
+    out = sc.decode(docs)
+    assert out.columns == ["doc_id", "ids", "decoded", "_decoded"]
+    found = sorted((str(r["doc_id"]), r["_decoded"]) for r in out.collect() if r["doc_id"] != 1)
+    mark = LIBRARY.decode([0])
+    assert [r["_decoded"] for r in out.where("doc_id = 1").collect()] == [None]
+    assert found[:4] == [("2", ""), ("3", "some text"), ("3", "some text"), ("4", PIECES.decode(np.array([0, 0, 0])))] and mark.strip() in found[3][1]
+    assert sc.decode(docs.limit(0)).count() == 0
+
+
 def test_documents_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = sc.op3_sentencepiece(docs)
