@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +27,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: str | None = None, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors. ``discard`` deletes it."""
     path = new_path(df.sparkSession, label)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.scratch_path = path
     return read
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """``values`` (dots in names as two underscores) hold for what runs inside; the session's own come back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``; no rows where there is none yet."""
     try:
