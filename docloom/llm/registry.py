@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chat_formatting, decontamination, fingerprints, html_extraction, jaccard_join, language_id, license_scan, line_dedup, sentencepiece_codec, toxicity
+from docloom.llm import chat_formatting, decontamination, fill_in_middle, fingerprints, html_extraction, jaccard_join, language_id, license_scan, line_dedup, phrases, sentencepiece_codec, toxicity, warc
 from docloom.llm.common import read_table
 
 
@@ -22,8 +22,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": lambda s, d: fingerprints.op9_fingerprints(read_table(s, d, "documents")),
         "op10_html_extraction": lambda s, d: html_extraction.op10_html_extraction(read_table(s, d, "pages")),
         "op5_line_dedup": lambda s, d: line_dedup.op5_line_dedup(read_table(s, d, "documents")),
+        "op11_phrases": lambda s, d: phrases.op11_phrases(read_table(s, d, "documents")),
+        "op12_warc": lambda s, d: warc.op12_warc(read_table(s, d, "pages")),
+        "op13_fill_in_middle": lambda s, d: fill_in_middle.op13_fill_in_middle(read_table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.OP4_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op7_chat_formatting": chat_formatting.OP7_SQL}
+    return {
+        "op4_decontamination": decontamination.OP4_SQL,
+        "op5_line_dedup": line_dedup.OP5_SQL,
+        "op7_chat_formatting": chat_formatting.OP7_SQL,
+        "op11_phrases": phrases.OP11_SQL,
+        "op12_warc": warc.OP12_SQL,
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
+    }
