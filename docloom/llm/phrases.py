@@ -12,7 +12,7 @@ phrases reach ``most_words`` - 1 positions further, and a phrase counts where it
 whatever the texts are, and no list grows with a text, a piece or a phrase.
 
 Words are numbers per language, so counts are per language. A number comes from the hash of (language, word) under the first seed that gives no
-frequent word the hash of another word: exact. Frequent words and phrases up to ``BROADCAST_ROWS`` are sent to the tasks; more
+frequent word the hash of another word (the texts are read again where one does): exact. Frequent words and phrases up to ``BROADCAST_ROWS`` are sent to the tasks; more
 than that meet the occurrences in shuffled joins (``regrouped``), which give the same relation.
 
 A candidate's score is the least, over its cuts in two, of floor(1000000 a a / (l r)) in decimals of 38 digits, which hold counts
@@ -25,9 +25,9 @@ count each time; ids are not looked at; ties go by count, then by the bytes of t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,11 @@ from docloom.sources.scratch import settings
 
 LEAST, MOST_WORDS, TOP, SHARE = 10, 3, 2000, 50
 #: Positions of a block, and blocks (or texts) of an Arrow batch.
-BLOCK, BATCH_ROWS = 1 << 14, 128
+BLOCK, BATCH_ROWS = 1 << 14, 32
 #: Rows of frequent words or phrases that are sent to every task (some numbers each, so under 100 MB).
 BROADCAST_ROWS = 2_000_000
-#: Words that a task counts, or knows the numbers of, before it starts anew.
-KNOWN_WORDS = 500_000
+#: Different words that a task knows before it writes their counts and starts anew.
+KNOWN_WORDS = 300_000
 SALTS = 64
 #: Fixed by the contract: A-Z in lower case, the marks between pieces, the blanks between words.
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -66,28 +66,6 @@ def texts_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL")
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, word, f) of every word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-
-        def counted() -> pa.RecordBatch:
-            rows = [(lang, word, n) for lang, words in found.items() for word, n in words.items() if word not in (BREAK, NOTHING)]
-            langs, words, counts = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(tokens(text))
-            if sum(map(len, found.values())) > KNOWN_WORDS:
-                yield counted()
-                found.clear()
-        yield counted()
-
-    return materialise(texts.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
-
-
 def hash_of(seed: int) -> Column:
     return F.xxhash64(F.concat_ws("\n", F.lit(str(seed)), "lang", "word"))
 
@@ -98,13 +76,10 @@ def hashes(seed: int, lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(head + word, 42) for word in words], np.uint64).view(np.int64)
 
 
-def exact_seed(words: DataFrame, least: int) -> int:
-    """The first seed under which every frequent word has a hash of its own."""
-    for seed in range(1, 100):
-        shared = words.groupBy(hash_of(seed).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("most"))
-        if shared.where((F.col("n") > 1) & (F.col("most") >= least)).isEmpty():
-            return seed
-    raise ValueError("no seed tells the frequent words apart")
+def exact(words: DataFrame, seed: int, least: int) -> bool:
+    """Whether every frequent word has a hash of its own."""
+    shared = words.groupBy(hash_of(seed).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("most"))
+    return shared.where((F.col("most") >= least) & ((F.col("n") > 1) | (F.col("hash") == 0))).isEmpty()
 
 
 def arrays(rows: DataFrame, columns: list[str], limit: int) -> list[np.ndarray] | None:
@@ -141,61 +116,99 @@ def gaps_of(places: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(first, place, np.diff(place, prepend=0)), np.bincount(block, minlength=blocks)
 
 
-def word_relation(texts: DataFrame, frequent: DataFrame, seed: int, longest: int, limit: int, size: int = BLOCK) -> DataFrame:
-    """(gaps, words): the positions and numbers of the frequent words of each block; positions count from 1."""
-    sent = arrays(frequent, ["hash", "id"], limit)
-    if sent is not None:
-        order = np.argsort(sent[0])
-        sent = [a[order] for a in sent]
-    shared = texts.sparkSession.sparkContext.broadcast(sent)
-
-    def numbers(lang: str, words: list[bytes]) -> list[int | None]:
-        found = hashes(seed, lang, words)
-        if shared.value is None:
-            return found.tolist()
-        known, own = shared.value
-        at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-        there = known[at] == found if len(known) else np.zeros(len(found), bool)
-        return [n if ok else None for n, ok in zip(own[at].tolist() if len(known) else [0] * len(found), there.tolist(), strict=True)]
+class Vocabulary(dict):
+    """Places of words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+class Known:
+    """The words that a task has met: their places by language, their hashes and counts by place."""
+
+    def __init__(self, seed: int):
+        self.seed, self.places, self.hashes, self.counts = seed, {}, {}, {}
+
+    def __len__(self) -> int:
+        return sum(map(len, self.places.values()))
+
+    def number(self, langs: list[str], texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text the hashes of its words; 0 for ``BREAK``, and nothing for ``NOTHING``. Counts and hashes are brought up to date once for all texts."""
+        found = []
+        for lang, text in zip(langs, texts, strict=True):
+            places = self.places.setdefault(lang, Vocabulary({BREAK: 0, NOTHING: 1}))
+            words = tokens(text)
+            at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            found.append(at[at != 1])
+        for lang in dict.fromkeys(langs):
+            places, own = self.places[lang], self.hashes.get(lang, np.zeros(2, np.int64))
+            new = list(islice(reversed(places), len(places) - len(own)))[::-1]
+            self.hashes[lang] = np.concatenate((own, hashes(self.seed, lang, new)))
+            counts = np.bincount(np.concatenate([at for at, of in zip(found, langs, strict=True) if of == lang]), minlength=len(places))
+            old = self.counts.get(lang, counts[:0])
+            counts[: len(old)] += old
+            self.counts[lang] = counts
+        for lang, at in zip(langs, found, strict=True):
+            yield self.hashes[lang][at]
+
+    def vocabulary(self) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Languages, words and counts."""
+        rows = [(lang, list(places)[2:], self.counts[lang][2:]) for lang, places in self.places.items() if len(places) > 2]
+        words = pa.array([w for _, part, _ in rows for w in part], pa.binary()).cast(pa.string())
+        langs = pa.array([lang for lang, part, _ in rows for _ in part], pa.string())
+        return langs, words, pa.array(np.concatenate([n for _, _, n in rows]) if rows else [], pa.int64())
+
+
+def word_relation(texts: DataFrame, seed: int, longest: int, size: int = BLOCK) -> DataFrame:
+    """Blocks (gaps, words), the positions (from 1) and hashes of all words, and rows (lang, word, n) of what a task has counted, in one table: texts are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, int]] = {}
-        values: list[int] = []
+        known = Known(seed)
+
+        def rows(gaps: pa.Array, words: pa.Array, lang: pa.Array, word: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([gaps, words, lang, word, n], names=["gaps", "words", "lang", "word", "n"])
+
+        def counted() -> pa.RecordBatch:
+            lang, word, n = known.vocabulary()
+            return rows(pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64())), lang, word, n)
+
         for batch in batches:
-            parts = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                place = known.setdefault(lang, {BREAK: -1, NOTHING: -2})
-                found = tokens(text)
-                at = list(map(place.get, found))
-                if None in at:
-                    new = [w for w in dict.fromkeys(found) if w not in place]
-                    for word, number in zip(new, numbers(lang, new), strict=True):
-                        place[word] = -1 if number is None else len(values)
-                        if number is not None:
-                            values.append(number)
-                    at = list(map(place.get, found))
-                parts += [np.array(at, np.int64), np.array([-1])]
-            stream = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            stream = stream[stream != -2]
-            own = np.array(values or [0], np.int64)
-            gaps, words, sizes = [], [], []
+            parts, words = [], [np.empty(0, np.int64)]
+            for found in known.number(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words += [found, np.zeros(1, np.int64)]
+            stream = np.concatenate(words)
             for k in range(0, len(stream), size):
                 block = stream[k : k + size + longest - 1]
-                at = np.flatnonzero(block >= 0)
-                gaps.append(np.diff(at, prepend=-1))
-                words.append(own[block[at]])
-                sizes.append(len(at))
-            if sizes:
-                yield pa.RecordBatch.from_arrays([lists(np.concatenate(gaps), sizes, pa.int32()), lists(np.concatenate(words), sizes, pa.int64())], names=["gaps", "words"])
-            if sum(map(len, known.values())) > KNOWN_WORDS:
-                known.clear()
-                values.clear()
-
-    made = materialise(texts.mapInArrow(run, "gaps array<int>, words array<bigint>"), "phrase-words-at", **STORED)
-    if sent is not None:
-        return made
-    numbered = made.select(F.monotonically_increasing_id().alias("block"), "gaps", "words")
-    return regrouped(materialise(numbered, "phrase-blocks", **STORED), ["words"], frequent.select(F.col("hash").alias("words"), F.col("id").alias("to")), "gaps", "to")
+                at = np.flatnonzero(block)
+                parts.append((np.diff(at, prepend=-1), block[at]))
+            if parts:
+                sizes, none = [len(w) for _, w in parts], [pa.nulls(len(parts), kind) for kind in (pa.string(), pa.string(), pa.int64())]
+                yield rows(lists(np.concatenate([g for g, _ in parts]), sizes, pa.int32()), lists(np.concatenate([w for _, w in parts]), sizes, pa.int64()), *none)
+            if len(known) > KNOWN_WORDS:
+                yield counted()
+                known = Known(seed)
+        yield counted()
+
+    return materialise(texts.mapInArrow(run, "gaps array<int>, words array<bigint>, lang string, word string, n bigint"), "phrase-words-at", **STORED)
+
+
+class Frequent:
+    """The frequent words as they are sent to the tasks: which hash is which number."""
+
+    def __init__(self, hash: np.ndarray, id: np.ndarray):
+        order = np.argsort(hash)
+        self.hash, self.id = hash[order], id[order]
+
+    def of(self, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The semi-join: positions and numbers of the words that are frequent."""
+        if not len(self.hash) or not len(words):
+            return at[:0], words[:0]
+        values, inverse = np.unique(words, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hash, values), len(self.hash) - 1)
+        number = np.where(self.hash[place] == values, self.id[place], -1)[inverse]
+        held = number >= 0
+        return at[held], number[held]
 
 
 def regrouped(relation: DataFrame, columns: list[str], groups: DataFrame, gaps: str, renamed: str | None = None) -> DataFrame:
@@ -223,9 +236,14 @@ def regrouped(relation: DataFrame, columns: list[str], groups: DataFrame, gaps:
     return materialise(kept.select(*[c for c in relation.columns if c != "block"]), "phrase-regrouped", **STORED)
 
 
-def extended(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The positions behind the phrases of ``k`` words and their words: the phrases of k-1 words meet the word at their next position."""
+def words_at(batch: pa.RecordBatch, frequent: Frequent | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and numbers of the frequent words of a batch; ``frequent`` where the batch has hashes of all words."""
     at, (words, _) = positions(batch, "gaps"), flat(batch, "words")
+    return (at, words) if frequent is None else frequent.of(at, words)
+
+
+def extended(batch: pa.RecordBatch, k: int, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The positions behind the phrases of ``k`` words and their words: the phrases of k-1 words meet the word at their next position."""
     next, columns = (at + 1, [words]) if k == 2 else (positions(batch, "next_gaps"), [flat(batch, c)[0] for c in ids(k - 1)])
     place = np.searchsorted(at, next)
     met = np.flatnonzero(np.append(at, -1)[place] == next)
@@ -234,21 +252,32 @@ def extended(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, list[np.ndarray
 
 def groups_of(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of ``columns``, and the count of each."""
+    factors = [np.unique(c, return_inverse=True) for c in columns]
     codes, width = np.zeros(len(columns[0]), np.int64), 1
-    for column in columns:
-        values, inverse = np.unique(column, return_inverse=True)
-        _, codes = np.unique(codes * len(values) + inverse, return_inverse=True) if width > 1 else (None, inverse)
-        width += 1
-    _, first, counts = np.unique(codes, return_index=True, return_counts=True)
+    for values, inverse in factors:
+        if width * len(values) >= 1 << 62:
+            joint, codes = np.unique(codes, return_inverse=True)
+            width = len(joint)
+        codes = codes * len(values) + inverse
+        width *= len(values)
+    _, first, counts = np.unique(codes, return_index=True, return_counts=True) if len(columns) > 3 else (None, *firsts(codes))
     return [c[first] for c in columns], counts
 
 
-def count_phrases(relation: DataFrame, k: int, least: int, size: int = BLOCK) -> DataFrame:
+def firsts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place and the count of each code."""
+    order = np.argsort(codes)
+    starts = np.flatnonzero(np.diff(codes[order], prepend=codes[order[0]] - 1)) if len(codes) else np.empty(0, np.int64)
+    return order[starts], np.diff(np.append(starts, len(codes)))
+
+
+def count_phrases(relation: DataFrame, k: int, least: int, size: int = BLOCK, known: Frequent | None = None) -> DataFrame:
     """(w1..wk, a) of the phrases of ``k`` words with at least ``least`` occurrences."""
+    shared = relation.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            next, columns = extended(batch, k)
+            next, columns = extended(batch, k, *words_at(batch, shared.value))
             own = (next & 0xFFFFFFFF) - k <= size
             if own.any():
                 distinct, counts = groups_of([c[own] for c in columns])
@@ -282,20 +311,23 @@ class Members:
         return ok
 
 
-def phrase_relation(relation: DataFrame, k: int, frequent: DataFrame, limit: int) -> DataFrame:
+def phrase_relation(relation: DataFrame, k: int, frequent: DataFrame, limit: int, known: Frequent | None = None) -> DataFrame:
     """(gaps, words, next_gaps, w1..wk): the frequent phrases of ``k`` words of each block, beside its words."""
     sent = arrays(frequent, ids(k), limit)
-    shared = relation.sparkSession.sparkContext.broadcast(sent)
+    shared = relation.sparkSession.sparkContext.broadcast((sent, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = None if shared.value is None else Members(shared.value)
+        groups, words_known = shared.value
+        members = None if groups is None else Members(groups)
         for batch in batches:
-            next, columns = extended(batch, k)
+            at, words = words_at(batch, words_known)
+            next, columns = extended(batch, k, at, words)
             if members is not None:
                 held = members.held(columns)
                 next, columns = next[held], [c[held] for c in columns]
             gaps, sizes = gaps_of(next, batch.num_rows)
-            stored = [batch.column(batch.schema.get_field_index(c)) for c in ("gaps", "words")]
+            own, own_sizes = gaps_of(at, batch.num_rows)
+            stored = [lists(own, own_sizes, pa.int32()), lists(words, own_sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*stored, lists(gaps, sizes, pa.int32()), *[lists(c, sizes, pa.int64()) for c in columns]], names=["gaps", "words", "next_gaps", *ids(k)])
 
     made = relation.mapInArrow(run, "gaps array<int>, words array<bigint>, next_gaps array<int>, " + ", ".join(f"{c} array<bigint>" for c in ids(k)))
@@ -357,17 +389,26 @@ def mine_phrases(
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``most_words`` words of each language."""
     texts = texts_of(docs, text, lang)
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
-        words = count_words(texts)
-        seed = exact_seed(words, least)
+        for seed in range(1, 100):
+            read = word_relation(texts, seed, most_words, block)
+            words = materialise(read.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
+            if exact(words, seed, least):
+                break
+            discard(read, words)
         # An id is fixed when the table is written, as each partition is committed once.
         frequent = materialise(words.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f", hash_of(seed).alias("hash")), "phrase-frequent")
         counts = {1: frequent.select(F.col("id").alias("w1"), F.col("f").alias("a"))}
-        relation = word_relation(texts, frequent, seed, most_words, broadcast_rows, block)
+        sent = arrays(frequent, ["hash", "id"], broadcast_rows)
+        known, relation = None if sent is None else Frequent(*sent), read.where("word IS NULL").select("gaps", "words")
+        if sent is None:
+            numbered = materialise(relation.select(F.monotonically_increasing_id().alias("block"), "gaps", "words"), "phrase-blocks", **STORED)
+            relation = regrouped(numbered, ["words"], frequent.select(F.col("hash").alias("words"), F.col("id").alias("to")), "gaps", "to")
         for k in range(2, most_words + 1):
-            counts[k] = count_phrases(relation, k, least, block)
-            before = relation
-            relation = phrase_relation(relation, k, counts[k], broadcast_rows) if k < most_words else None
-            discard(before)
+            counts[k] = count_phrases(relation, k, least, block, known)
+            if k < most_words:
+                relation, known = phrase_relation(relation, k, counts[k], broadcast_rows, known), None
+            if k == 2:
+                discard(read)
     found = {k: scored(counts, k) for k in range(2, most_words + 1)}
     named = [with_words(uncovered(found, k, share), frequent, k) for k in found]
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))

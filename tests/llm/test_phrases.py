@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docloom.llm.phrases import Members, exact_seed, floored, mine_phrases, tokens
+from docloom.llm.phrases import Members, exact, floored, groups_of, mine_phrases, tokens
 
 from .conftest import ENGLISH
 
@@ -100,4 +100,13 @@ def test_members_and_tokens(spark):
     assert not Members([np.array([], np.int64)]).held([np.array([4])]).any()
     assert [t for t in tokens("Ab\tc,D\x0be") if t] == [b"ab", b"c", b"\n", b"d", b"\n", b"e"]
     words = spark.createDataFrame([("en", "a", 20), ("de", "a", 3)], "lang string, word string, f bigint")
-    assert exact_seed(words, 10) == 1
+    assert exact(words, 1, 10) and exact(words.where("f < 10"), 1, 10)
+    assert not exact(words.unionAll(words), 1, 10) and exact(words.unionAll(words), 1, 30)
+
+
+def test_groups():
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 3, 5):
+        columns = [rng.integers(-3, 3, 400) << 60 for _ in range(k)]
+        distinct, counts = groups_of(columns)
+        assert dict(zip(zip(*[c.tolist() for c in distinct], strict=True), counts.tolist(), strict=True)) == Counter(zip(*[c.tolist() for c in columns], strict=True))
