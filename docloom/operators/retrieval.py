@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -15,13 +16,17 @@ MIN_SIMILARITY, MAX_DROP, RADIUS = 0.65, 0.10, 1
 #: Questions are broadcast up to this size; more meet the chunks in cells of so many chunks and this size of questions.
 QUERY_BYTES, CELL_ROWS = 64 << 20, 50_000
 FOUND = "query_id bigint, user_id int, source string, chunk_index int, chunk_id bigint, similarity double"
+FOUND_COLUMNS = [part.split()[0] for part in FOUND.split(", ")]
+FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("user_id", pa.int32()), ("source", pa.string()), ("chunk_index", pa.int32()), ("chunk_id", pa.int64()), ("similarity", pa.float64())])
+#: So many users with questions become a filter on the chunk table.
+LISTED_USERS = 1000
 #: Places that context expansion broadcasts at most; more are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
 
 
-def corpus_size(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, corpus) with the number of chunks of the question's user, 0 if there are none."""
-    sizes = chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("corpus"))
+def corpus_size(chunks: DataFrame, queries: DataFrame, few: bool = False) -> DataFrame:
+    """(query_id, corpus) with the number of chunks of the question's user, 0 if there are none; ``few`` questions let the scan leave out other users."""
+    sizes = asked_users(chunks.select("user_id"), queries, few).groupBy("user_id").agg(F.count(F.lit(1)).alias("corpus"))
     return queries.select("query_id", "user_id").join(sizes, "user_id", "left").select("query_id", F.coalesce("corpus", F.lit(0)).alias("corpus"))
 
 
@@ -36,69 +41,117 @@ def top_k(chunks: DataFrame, queries: DataFrame, skip_self: bool = False, query_
 
     ``chunks``: user_id, source, chunk_index, embedding and, for ``skip_self``, the id that equals query_id.
     The limit depends on the size of the user's corpus. Questions of up to ``query_bytes`` are broadcast, so that
-    vectors are never shuffled; every batch of chunks keeps its own best, and Spark's limit below the window those of a task, before candidates meet by question.
+    vectors are never shuffled and, on a table partitioned by user, other users' partitions are not read; every task keeps the best of each question before candidates meet by question.
     More questions than that meet the chunks in cells of bounded size on the executors (``best_of_cells``).
     Similarity is half of one plus the cosine; vectors of length zero or of another dimension are no
     candidates. Ties go by source and chunk_index.
     """
-    limits = corpus_size(chunks, queries).withColumn("k", candidate_limit(F.col("corpus"))).select("query_id", "k")
     narrow = chunks.select(F.col("user_id").cast("int").alias("user_id"), "source", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("user_id").cast("int").alias("user_id"), "embedding").where("embedding IS NOT NULL")
     n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     few = n * max(dim or 1, 1) * 8 <= query_bytes
+    limits = corpus_size(chunks, queries, few).withColumn("k", candidate_limit(F.col("corpus"))).select("query_id", "k")
+    narrow = asked_users(narrow, asked, few)
     found = best_of_batches(narrow, asked, skip_self) if few else best_of_cells(narrow, asked, skip_self, max(1, query_bytes // (8 * max(dim, 1))))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def best_rows(vectors: np.ndarray, ids: list[int], wanted: np.ndarray, names: list[int], skip_self: bool) -> tuple[list[int], list[int], list[float]]:
-    """Places in ``vectors``, names and similarities of the best of each name, with those as good as the last of them."""
+class Best:
+    """The best chunks of each question so far, in the order of ranks: never more than ``MAX_CANDIDATES``, whatever ties there are.
+
+    Ties of similarity go by (source, chunk_index, chunk_id), nulls first, as the ranks do. A question with all its places taken looks only at what is as good as its last.
+    """
+
+    def __init__(self):
+        self.rows: dict[int, list[tuple]] = {}
+
+    def add(self, question: int, similarity: np.ndarray, at: np.ndarray, describe: Callable[[np.ndarray], list[tuple]]) -> None:
+        """Take in the rows ``at`` with their similarities; ``describe`` gives (user_id, source, chunk_index, chunk_id) of places."""
+        held = self.rows.get(question, [])
+        usable = np.flatnonzero(similarity >= (held[-1][0] if len(held) == MAX_CANDIDATES else -np.inf))
+        if len(usable) > MAX_CANDIDATES:
+            least = np.partition(similarity[usable], -MAX_CANDIDATES)[-MAX_CANDIDATES]
+            better, equal = usable[similarity[usable] > least], usable[similarity[usable] == least]
+            # Of very many equal ones only the first in order can stay; they are named in blocks.
+            first: list[tuple] = []
+            for k in range(0, len(equal), 4096):
+                part = equal[k : k + 4096]
+                first = sorted([*first, *zip(map(order_of, rows := describe(at[part])), rows, strict=True)], key=itemgetter(0))[: MAX_CANDIDATES - len(better)]
+            named = [(float(s), row) for s, row in zip(similarity[better], describe(at[better]), strict=True)] + [(float(least), row) for _, row in first]
+        else:
+            named = [(float(s), row) for s, row in zip(similarity[usable], describe(at[usable]), strict=True)]
+        if named:
+            self.rows[question] = sorted([*held, *named], key=lambda r: (-r[0], order_of(r[1])))[:MAX_CANDIDATES]
+
+    def batch(self) -> pa.RecordBatch:
+        found = [(question, *row, similarity) for question, rows in self.rows.items() for similarity, row in rows]
+        return pa.RecordBatch.from_pylist([dict(zip(FOUND_COLUMNS, r, strict=True)) for r in found], FOUND_ARROW)
+
+
+def order_of(row: tuple) -> tuple:
+    """The order of ties: source by its bytes, chunk_index, chunk_id; nulls first."""
+    _, source, index, chunk = row
+    return (source is not None, (source or "").encode("utf-8", "surrogatepass"), index is not None, index or 0, chunk is not None, chunk or 0)
+
+
+def score_block(best: Best, vectors: np.ndarray, at: np.ndarray, ids: np.ndarray, wanted: np.ndarray, names: list[int], describe: Callable, skip_self: bool) -> None:
+    """Take the chunks ``at`` with their ``vectors`` into ``best`` for the questions ``names``."""
     similarity = (1 + unit(vectors.astype(np.float64)) @ wanted.T) / 2
-    take, found, sims = [], [], []
     for q, name in enumerate(names):
-        s = similarity[:, q].copy()
-        if skip_self:
-            s[[k for k, i in enumerate(ids) if i == name]] = np.nan
-        usable = np.flatnonzero(~np.isnan(s))
-        if len(usable) > MAX_CANDIDATES:
-            least = np.partition(s[usable], -MAX_CANDIDATES)[-MAX_CANDIDATES]
-            usable = usable[s[usable] >= least]
-        take += usable.tolist()
-        found += [name] * len(usable)
-        sims += s[usable].tolist()
-    return take, found, sims
+        s = similarity[:, q]
+        usable = ~np.isnan(s) & (ids != name) if skip_self else ~np.isnan(s)
+        best.add(name, s[usable], at[usable], describe)
+
+
+def described(batch: pa.RecordBatch) -> Callable[[np.ndarray], list[tuple]]:
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in ("user_id", "source", "chunk_index", "chunk_id")]
+    return lambda places: list(zip(*[c.take(pa.array(places, pa.int64())).to_pylist() for c in columns], strict=True)) if len(places) else []
+
+
+def vectors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers of the vectors of a batch, where each begins, and how many it has (-1 for none)."""
+    column = batch.column(batch.schema.get_field_index("embedding"))
+    starts = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False), starts, np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), -1)
+
+
+def asked_users(chunks: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
+    """The chunks of users with questions, where the questions are ``few``: of a table partitioned by user the other partitions are not read.
+
+    Up to ``LISTED_USERS`` are a filter of their own; more are sent along to a semi-join. With many questions the chunks stay as they are.
+    """
+    if not few:
+        return chunks
+    users = queries.select("user_id").where("user_id IS NOT NULL").distinct()
+    listed = [r[0] for r in users.limit(LISTED_USERS + 1).collect()]
+    if len(listed) <= LISTED_USERS:
+        return chunks.where(F.col("user_id").isin(listed))
+    return chunks.join(F.broadcast(users), "user_id", "left_semi").select(*chunks.columns)
 
 
 def best_of_batches(chunks: DataFrame, queries: DataFrame, skip_self: bool) -> DataFrame:
-    """Candidates of each Arrow batch of chunks: no chunk that is missing can be among the best of its user."""
+    """Candidates of each task: a bounded list per question is carried over its batches, so ties and one frequent vector cost no more than others."""
     shared = chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in queries.collect()])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_user: dict[tuple, tuple[np.ndarray, list]] = {}
+        by_user: dict[tuple, tuple[list, list]] = {}
         for query_id, user, vector in shared.value:
-            by_user.setdefault((user, len(vector)), ([], []))
-            by_user[user, len(vector)][0].append(vector)
-            by_user[user, len(vector)][1].append(query_id)
-        by_user = {k: (unit(np.array(v, np.float64)), ids) for k, (v, ids) in by_user.items()}
+            vectors, names = by_user.setdefault((user, len(vector)), ([], []))
+            vectors.append(vector)
+            names.append(query_id)
+        units = {k: (unit(np.array(v, np.float64)), names) for k, (v, names) in by_user.items()}
+        best = Best()
         for batch in batches:
-            ids = batch.column("chunk_id").to_pylist()
-            flat = batch.column("embedding").values.to_numpy(zero_copy_only=False)
-            starts = batch.column("embedding").offsets.to_numpy()
-            sizes = np.where(batch.column("embedding").is_valid().to_numpy(zero_copy_only=False), np.diff(starts), -1)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(batch.column("user_id").to_pylist(), sizes.tolist(), strict=True)):
-                if key in by_user:
-                    groups.setdefault(key, []).append(i)
-            take, query_ids, sims = [], [], []
-            for key, members in groups.items():
-                rows, names, s = best_rows(flat[starts[members][:, None] + np.arange(key[1])], [ids[i] for i in members], *by_user[key], skip_self)
-                take += [members[k] for k in rows]
-                query_ids += names
-                sims += s
-            at = pa.array(take, pa.int64())
-            kept = [batch.column(c).take(at) for c in ("user_id", "source", "chunk_index", "chunk_id")]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), *kept, pa.array(sims, pa.float64())], names=["query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity"])
+            flat, starts, sizes = vectors_of(batch)
+            users = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
+            for (user, size), (wanted, names) in units.items():
+                at = np.flatnonzero((users == user) & (sizes == size)) if user is not None else []
+                if len(at):
+                    score_block(best, flat[starts[at][:, None] + np.arange(size)], at, ids[at], wanted, names, described(batch), skip_self)
+        yield best.batch()
 
     return chunks.mapInArrow(search, FOUND)
 
@@ -118,15 +171,15 @@ def best_of_cells(chunks: DataFrame, queries: DataFrame, skip_self: bool, block:
     right = right.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1))).drop("blocks", "ranges")
 
     def search(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        best, sizes = Best(), stored["embedding"].map(len).to_numpy()
+        columns = stored[["user_id", "source", "chunk_index", "chunk_id"]]
         for dim, part in asked.groupby(asked["embedding"].map(len)):
-            rows = stored[stored["embedding"].map(len) == dim]
-            if len(rows):
+            at = np.flatnonzero(sizes == dim)
+            if len(at):
                 wanted = unit(np.array(part["embedding"].tolist(), np.float64))
-                take, names, sims = best_rows(np.array(rows["embedding"].tolist()), rows["chunk_id"].tolist(), wanted, part["query_id"].tolist(), skip_self)
-                out.append(rows.iloc[take][["user_id", "source", "chunk_index", "chunk_id"]].assign(query_id=names, similarity=sims))
-        columns = ["query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity"]
-        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+                rows = np.array(stored["embedding"].iloc[at].tolist())
+                score_block(best, rows, at, stored["chunk_id"].to_numpy()[at], wanted, part["query_id"].tolist(), lambda places: [tuple(None if pd.isna(v) else v for v in r) for r in columns.iloc[places].itertuples(index=False)], skip_self)
+        return best.batch().to_pandas()
 
     keys = ["user_id", "block", "range"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
@@ -171,7 +224,7 @@ def expand_context(hits: DataFrame, chunks: DataFrame, radius: int = RADIUS, mos
     places = around.groupBy("query_id", "user_id", "source", "chunk_index").agg(F.max(own).alias("similarity"))
     keys = places.select("user_id", "source", "chunk_index").distinct()
     few = most_hits is not None and most_hits * (2 * radius + 1) <= BROADCAST_PLACES
-    stored = chunks.join(F.broadcast(keys) if few else keys, ["user_id", "source", "chunk_index"])
+    stored = asked_users(chunks, hits, few).join(F.broadcast(keys) if few else keys, ["user_id", "source", "chunk_index"])
     latest = stored.groupBy("user_id", "source", "chunk_index").agg(F.max_by(F.struct("chunk", "header"), F.struct("file_mtime", "chunk_id")).alias("row"))
     return places.join(latest, ["user_id", "source", "chunk_index"]).select("query_id", "user_id", "source", "chunk_index", "similarity", "row.*")
 

@@ -76,3 +76,45 @@ def test_file_search_golden(spark):
     rows = [(1, "f1", 0.9, 1, 1), (1, "f2", 0.8, 2, 2), (1, "f1", 0.7, 3, 3)]
     found = r.file_search(spark.createDataFrame(rows, "query_id bigint, source string, similarity double, rank int, chunk_id bigint"), limit=1).collect()
     assert [tuple(x) for x in found] == [(1, 1, "f1", 0.9, 1, 2, 2)]
+
+
+VECTOR_CHUNKS = "user_id int, source string, chunk_index int, chunk_id bigint, embedding array<float>"
+ASKED = "query_id bigint, user_id int, embedding array<float>"
+
+
+@pytest.mark.parametrize("query_bytes", [r.QUERY_BYTES, 1])
+def test_ties_cost_no_more_than_others(spark, query_bytes):
+    """One vector for all chunks: every task gives at most 20 rows for a question, and the first by source, place and id are found."""
+    rows = [(1, f"s{i % 7}", i % 11, i, [1.0, 2.0]) for i in range(20_000)]
+    chunks = spark.createDataFrame(rows, VECTOR_CHUNKS).repartition(3)
+    asked = spark.createDataFrame([(q, 1, [2.0, 1.0]) for q in range(3)], ASKED)
+    candidates = r.best_of_batches(chunks, asked, False)
+    assert candidates.rdd.getNumPartitions() == 3 and candidates.count() <= 3 * 3 * r.MAX_CANDIDATES
+    found = {}
+    for row in r.top_k(chunks, asked, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.source, row.chunk_index, row.chunk_id))
+    assert found == {q: sorted((s, i, c) for _, s, i, c, _ in rows)[:20] for q in range(3)}
+
+
+def test_ties_with_nulls_and_better_ones(spark):
+    rows = [(1, None, None, None, [1.0, 0.0]), (1, "b", None, 5, [1.0, 0.0]), (1, "a", 2, None, [1.0, 0.0]), (1, "é", 0, 1, [0.0, 1.0])] + [(1, "z", i, 100 + i, [0.5, 0.5]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, VECTOR_CHUNKS)
+    asked = spark.createDataFrame([(9, 1, [1.0, 0.0])], ASKED)
+    found = [(x.source, x.chunk_index) for x in r.top_k(chunks, asked).orderBy("rank").collect()]
+    assert found == [(None, None), ("a", 2), ("b", None)] + [("z", i) for i in range(17)]
+
+
+def test_partitions_of_other_users_are_not_read(spark, tmp_path, monkeypatch):
+    rows = [(u, "s", i, 100 * u + i, "text", None, None, [1.0, float(i)]) for u in range(6) for i in range(30)]
+    spark.createDataFrame(rows, CHUNKS + ", embedding array<float>").write.partitionBy("user_id").parquet(str(tmp_path / "t"))
+    chunks = spark.read.parquet(str(tmp_path / "t"))
+    asked = spark.createDataFrame([(1, 2, [1.0, 1.0]), (2, 4, [1.0, 0.0])], ASKED)
+    hits = r.top_k(chunks, asked)
+    for frame in (hits, r.corpus_size(chunks, asked, few=True), r.expand_context(hits, chunks, most_hits=10)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert scans and all("user_id" in line.partition("PartitionFilters:")[2].partition("]")[0] for line in scans), plan
+    assert {x.user_id for x in hits.collect()} == {2, 4}
+    expected = sorted(map(tuple, hits.collect()))
+    monkeypatch.setattr(r, "LISTED_USERS", 1)
+    assert sorted(map(tuple, r.top_k(chunks, asked).collect())) == expected
