@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from docloom.functions.chunking import MAX_LEN, OVERLAP, chunk_documents
 from docloom.functions.text import extension
 from docloom.operators import context, embedding, incremental, rerank, retrieval
+from docloom.plans import recognition
+from docloom.schemas import REPLIES
 from docloom.sources import chunk_table
 from docloom.sources import files as file_tables
+from docloom.sources.bytes_to_text import read_files
 from docloom.sources.scratch import discard, materialise, new_path
 
 FILE = ["user_id", "source"]
@@ -35,6 +38,7 @@ class Ingested:
     cache: DataFrame
     classified: DataFrame
     failed: DataFrame
+    requests: DataFrame | None = None
 
 
 def ingest(files: DataFrame, chunks: DataFrame, known: DataFrame, model: embedding.Model, scope: str | None = None) -> Ingested:
@@ -68,7 +72,7 @@ def apply_changes(classified: DataFrame, changed: DataFrame, chunks: DataFrame,
 
 
 def index_directory(
-    spark: SparkSession, directory: str, table: str, cache: str, model: embedding.Model, user_id: int, extensions: list[str] | None = None, recognised: DataFrame | None = None
+    spark: SparkSession, directory: str, table: str, cache: str, model: embedding.Model, user_id: int, extensions: list[str] | None = None, recognised: DataFrame | None = None, said: DataFrame | None = None
 ) -> Ingested:
     """Bring one user's part of the chunk table at ``table`` up to date with the files under ``directory``.
 
@@ -76,6 +80,9 @@ def index_directory(
     table at ``cache``, shared by all users, which only grows. Files that cannot be read, pictures and PDF files
     without recognised text are in ``failed`` and keep their old rows. Files of other ``extensions`` than those asked for, and of
     other folders, stay as they are. A repeated run changes nothing.
+
+    With ``said`` (digest, text), what a model said about pictures, office files are stored with the texts of the pictures inside them
+    and fail while one is missing; ``requests`` (digest, prompt, content) then has each missing picture once, however many files hold it.
     """
     found = file_tables.scan_directory(spark, directory, extensions)
     listed = materialise(found.select(F.lit(user_id).alias("user_id"), F.col("path").alias("source"), "content_hash", "mtime"), "listing")
@@ -86,15 +93,29 @@ def index_directory(
     classified = materialise(incremental.classify(listed, stored), "classified")
     work = incremental.to_process(classified).select(F.col("source").alias("path"))
     todo = materialise(found.join(work, "path", "left_semi"), "changed-files")
-    texts = file_tables.load_texts(todo, recognised)
-    changed = todo.drop("content").join(texts, "path").select(F.lit(user_id).alias("user_id"), F.col("path").alias("source"), F.col("ext").alias("file_type"), "content_hash", F.col("mtime").alias("file_mtime"), "text", "error")
+    changed, requests = changed_texts(todo, user_id, recognised, said)
     known = embedding.stored_vectors(spark, cache)
     done = apply_changes(classified, changed, chunks, known, model)
     failed = materialise(done.failed, "failed")
     chunk_table.write_snapshot(done.chunks, table, new_path(spark, "snapshot"), user_id)
     done.cache.join(known.select("digest"), "digest", "left_anti").write.mode("append").parquet(cache)
     discard(todo)
-    return Ingested(chunk_table.stored_chunks(spark, table, user_id), embedding.stored_vectors(spark, cache), classified, failed)
+    return Ingested(chunk_table.stored_chunks(spark, table, user_id), embedding.stored_vectors(spark, cache), classified, failed, requests)
+
+
+def changed_texts(todo: DataFrame, user_id: int, recognised: DataFrame | None, said: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of changed files as ``apply_changes`` takes them, written once, and the pictures to ask about (none without ``said``). The bytes are read once."""
+    spark, user = todo.sparkSession, F.lit(user_id).cast("int").alias("user_id")
+    none = F.lit(None).cast("string")
+    named = todo.select(user, F.col("path").alias("source"), "path", F.col("ext").alias("file_type"), "content_hash", F.col("mtime").alias("file_mtime"), "ext", "content", none.alias("error"))
+    read = materialise(read_files(named).drop("ext"), "read-files")
+    answers = spark.createDataFrame([], REPLIES) if said is None else said.select("digest", none.alias("path"), "text")
+    if recognised is not None:
+        answers = answers.unionByName(recognised.select(none.alias("digest"), "path", "text"))
+    settled = materialise(recognition.settle(recognition.needs_of(read, said is not None), answers), "changed-texts")
+    requests = None if said is None else materialise(recognition.picture_requests(read, answers), "picture-requests")
+    discard(read)
+    return settled.drop("needs", "path"), requests
 
 
 def answer_questions(chunks: DataFrame, questions: DataFrame, model: embedding.Model, **options) -> dict[str, DataFrame]:

@@ -131,11 +131,12 @@ def directory_ingest(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> Frame:
-    """Text files that an upload stream indexes: chunks and characters by the hash of the file."""
+    """Text files that an upload stream indexes: chunks, characters and vectors by the hash of the file."""
     base = new_path(spark, "stream")
     _write_files(spark, sf_dir, f"{base}/landing")
-    start_upload_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", 0, once=True).awaitTermination()
-    return stored_chunks(spark, f"{base}/table", 0).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
+    start_upload_stream(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", 0, once=True, model=letter_model).awaitTermination()
+    chunks = stored_chunks(spark, f"{base}/table", 0).groupBy("content_hash")
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"), F.sum(letter_weight("embedding")).alias("weight"))
 
 
 def sentences_of(text: str) -> str:
@@ -245,7 +246,7 @@ UNION ALL SELECT doc_id, pos, header, md5(header || chr(10) || chr(10)) FROM p W
     "directory_ingest": f"""WITH RECURSIVE {ARRIVED_SQL}
 SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars, sum({LETTERS_SQL.format("chunk")})::BIGINT AS weight, 'unchanged' AS status FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
     "stream_ingest": f"""WITH RECURSIVE {ARRIVED_SQL}
-SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
+SELECT left(sha256(text), 16) AS content_hash, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars, sum({LETTERS_SQL.format("chunk")})::BIGINT AS weight FROM chunk JOIN arrived USING (doc_id) GROUP BY content_hash""",
     "semantic_chunks": f"""WITH RECURSIVE {SENTENCES_SQL}, {HALVES_SQL},
 bounds AS (SELECT doc_id, any_value(w) AS w, list({{'s': s, 'e': e, 'h': header}} ORDER BY pos) AS bs FROM p JOIN lists USING (doc_id) GROUP BY doc_id),
 merge AS (
