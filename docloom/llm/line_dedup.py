@@ -1,12 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run holds line keys (as 128-bit hashes) in sorted order, each with the number of documents that hold it and the
-largest of their ids. Documents come in batches. Each batch is counted by key and merge-anti-joined against the runs: keys that no
-run owns form a run of the batch's own, at level 0. Keys that a run owns already are counted documents too, so
-they go with the batch as additions to the counts of their owners. When a level holds ``fanout`` batches they are compacted
-into one of the next level, where additions meet their owners, so a key is rewritten a logarithmic number of times. A key has one owner at any
-time; its count is the owner's with the additions not yet compacted.
-Runs are Parquet tables in the shared folder; a run is written whole before it is named, so a lost executor
+A run holds line keys (as 128-bit hashes) with the number of documents that hold them; it is a table bucketed by key, each bucket sorted. Documents
+come in batches by descending ranges of their ids. Each batch is counted by key and merge-anti-joined against the runs: keys that no run owns
+form a run of the batch's own, at level 0, and as no later batch has a larger id, the largest id of the batch is the document that keeps the
+line. Keys that a run owns are only counted: they go with the batch as additions, and no more once their owner's count alone is enough.
+When a level holds ``fanout`` runs they are compacted into one of the next level, where additions meet their owners, so a key is rewritten a logarithmic number
+of times. A key has one owner at any time, and the owner alone says which document keeps the line; its count is the owner's with the additions not yet compacted.
+Runs have as many buckets as a shuffle has partitions, so the join neither shuffles nor sorts them; a compaction shuffles what it merges.
+They lie in the shared folder; a run is written whole before it is named, so a lost executor
 or a repeated task leaves no partial run, and what a compaction has replaced is deleted.
 
 Hot lines: a run is built by a count per (line, document) and then per line, both combined on the map side,
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import discard, free_name, materialise
+from docloom.sources.sorted_tables import SortedTable, ordered_scans, write_sorted
 
 MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 3
 #: Bytes of text of a batch, and the least number of batches. A batch is worked off by all executors, so it may be large.
@@ -59,42 +61,54 @@ def keyed_lines(docs: DataFrame, text: str, id_col: str, min_chars: int) -> Data
 
 @dataclass
 class LineRuns:
-    """The levelled runs: ``levels[k]`` lists the tables of level k, with (h1, h2, n_docs, last_id, owned); rows that are not owned are additions."""
+    """The levelled runs: ``levels[k]`` lists the tables of level k, with (h1, h2, n_docs, last_id, owned); rows that are not owned are additions.
+
+    ``enough`` is the count from which an owner needs no additions; without it counts are exact. Batches must come by descending ranges of ids.
+    """
 
     spark: SparkSession
     fanout: int = FANOUT
-    levels: list[list[DataFrame]] = field(default_factory=list)
+    enough: int | None = None
+    levels: list[list[SortedTable]] = field(default_factory=list)
+
+    def tables(self) -> list[SortedTable]:
+        return [table for level in self.levels for table in level]
 
     def rows(self) -> DataFrame | None:
-        tables = [table for level in self.levels for table in level]
-        return reduce(DataFrame.unionByName, tables) if tables else None
+        tables = self.tables()
+        return union(tables) if tables else None
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """``keys`` (h1, h2, ...) with ``owned``: whether no run holds the key, so that it becomes the batch's own. One merge join tells."""
-        rows = self.rows()
-        if rows is None:
-            return keys.withColumn("owned", F.lit(True))
-        held = rows.where("owned").select(*KEY, F.lit(True).alias("held"))
-        return keys.join(held.hint("merge"), KEY, "left").withColumn("owned", F.col("held").isNull()).drop("held")
+        """``keys`` (h1, h2, ...) with ``owned``: whether no run holds the key, so that it becomes the batch's own. A merge join with each run tells; keys that have enough go."""
+        found = keys.select("*", F.lit(False).alias("seen"), F.lit(False).alias("full"))
+        for table in self.tables():
+            held = table.read().where("owned").select(*KEY, F.lit(True).alias("held"), (F.lit(False) if self.enough is None else F.col("n_docs") >= self.enough).alias("plenty"))
+            met = found.join(held.hint("merge"), KEY, "left")
+            found = met.select(*keys.columns, (F.col("seen") | F.col("held").isNotNull()).alias("seen"), (F.col("full") | F.coalesce("plenty", F.lit(False))).alias("full"))
+        return found.where(~F.col("full")).select(*keys.columns, (~F.col("seen")).alias("owned"))
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (id, h1, h2): documents that share no id with earlier batches."""
+        """Add a batch of (id, h1, h2): documents whose ids are all less than those of earlier batches."""
         once = keys.select(*KEY, "id").distinct()
         counts = once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
-        self._put(0, self.unseen(counts))
+        with ordered_scans(self.spark):
+            self._put(0, self.unseen(counts))
 
     def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(materialise(rows.sortWithinPartitions(*KEY), "line-run"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels[level].append(write_sorted(rows, "line-run", KEY, KEY, buckets, dealt=True))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, compacted(reduce(DataFrame.unionByName, full)))
-            discard(*full)
+            self._put(level + 1, compacted(union(full)))
+            for table in full:
+                table.discard()
 
     def clear(self) -> None:
         """Delete all runs."""
-        discard(*[table for level in self.levels for table in level])
+        for table in self.tables():
+            table.discard()
         self.levels = []
 
     def counts(self) -> DataFrame:
@@ -102,26 +116,45 @@ class LineRuns:
         return compacted(self.rows()).drop("owned")
 
 
+def union(tables: list[SortedTable]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table.plain() for table in tables])
+
+
 def compacted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.bool_or("owned").alias("owned"))
+    """Owners with their additions; the id is the owner's."""
+    owner = F.min(F.when(F.col("owned"), F.col("last_id"))).alias("last_id")
+    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), owner, F.bool_or("owned").alias("owned"))
 
 
 def batches_for(docs: DataFrame, text: str) -> int:
     return max(BATCHES, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BATCH_BYTES))
 
 
+def id_cuts(docs: DataFrame, id_col: str, batches: int, sample: int = 4096) -> list:
+    """Up to ``batches`` - 1 ids, descending, that divide the rows about evenly: from the ids of a bounded sample by hash."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").select("id", F.xxhash64("id").alias("dealt"))
+    some = sorted({r["id"] for r in ids.orderBy("dealt", "id").limit(sample).collect()}, reverse=True)
+    return sorted({some[k * len(some) // batches] for k in range(1, batches)}, reverse=True) if some else []
+
+
+def batch_of(cuts: list) -> Column:
+    """The number of the range of an id: the largest ids have 0, null ids the last."""
+    return reduce(lambda n, cut: n + F.coalesce(F.col("id") <= F.lit(cut), F.lit(True)).cast("int"), cuts, F.lit(0))
+
+
 def dedup_lines(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT
 ) -> DataFrame:
     """``docs`` with ``text`` rewritten and, last, a struct of its own: n_lines before and n_dropped.
 
     Lines whose key is in at least ``min_docs`` documents stay in the one of the largest id only. The table
-    is dealt into ``batches`` by id (by its bytes where none are given), each added to the runs in turn.
+    is dealt into ``batches`` by descending ranges of ids (as many as its bytes need where none are given), each added to the runs in turn.
     """
-    batches = batches or batches_for(docs, text)
-    dealt = keyed_lines(docs, text, id_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    cuts = id_cuts(docs, id_col, batches or batches_for(docs, text))
+    batches = len(cuts) + 1
+    dealt = keyed_lines(docs, text, id_col, min_chars).withColumn("batch", batch_of(cuts))
     keys = materialise(dealt.repartition("batch", F.pmod(F.col("h1"), F.lit(SLOTS)), F.pmod(F.xxhash64("id"), F.lit(SLOTS))), "line-keys", "batch")
-    store = LineRuns(docs.sparkSession, fanout)
+    store = LineRuns(docs.sparkSession, fanout, min_docs)
     for k in range(batches):
         store.add(keys.where(F.col("batch") == k))
     # Written, so that both sides of the join are exchanges of their own and Spark can split a hot line.

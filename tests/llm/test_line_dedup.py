@@ -54,7 +54,7 @@ def test_equals_sql(spark, sf_dir):
 def test_runs_are_levelled(spark):
     store = ld.LineRuns(spark, fanout=2)
     for i in range(5):
-        store.add(spark.createDataFrame([(i, 1, 1), (i, i, 9)], "id bigint, h1 bigint, h2 bigint"))
+        store.add(spark.createDataFrame([(4 - i, 1, 1), (4 - i, i, 9)], "id bigint, h1 bigint, h2 bigint"))
     assert [len(level) for level in store.levels] == [1, 0, 1]
     assert {(r["h1"], r["h2"]): (r["n_docs"], r["last_id"]) for r in store.counts().collect()}[1, 1] == (5, 4)
     seen = store.unseen(spark.createDataFrame([(1, 1), (7, 7)], "h1 bigint, h2 bigint")).collect()
@@ -74,10 +74,60 @@ def test_a_batch_adds_only_unseen_keys_to_the_runs(spark):
     assert all(len(level) < 3 for level in store.levels)
 
 
-def test_the_query_goes_through_the_anti_join(spark, frame, monkeypatch):
-    monkeypatch.setattr(ld.LineRuns, "unseen", lambda self, keys: keys.withColumn("owned", ld.F.lit(True)).where("false"))
-    skipped = ld.dedup_lines(frame(ROWS))
-    assert skipped.where(f"{skipped.columns[-1]}.n_dropped > 0").count() == 0
+def test_the_anti_join_decides_which_document_keeps_a_line(frame, monkeypatch):
+    """If every batch owned all its keys, an earlier document would keep what the last one holds."""
+    rows = [(i, f"{'the line that all of them hold'}\nline number {i} of its own, long enough") for i in range(40)]
+    right = {r.doc_id: r.n_dropped for r in ld.op5_line_dedup(frame(rows)).collect()}
+    assert right == {i: int(i < 39) for i in range(40)}
+    monkeypatch.setattr(ld.LineRuns, "unseen", lambda self, keys: keys.withColumn("owned", ld.F.lit(True)))
+    wrong = {r.doc_id: r.n_dropped for r in ld.op5_line_dedup(frame(rows)).collect()}
+    assert wrong[39] == 1 and wrong != right
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    store = ld.LineRuns(spark, fanout=9)
+    keys = "id bigint, h1 bigint, h2 bigint"
+    for i in range(2):
+        store.add(spark.createDataFrame([(9 - i, k, k) for k in range(50 + i)], keys))
+    counts = spark.createDataFrame([(1, k, k) for k in range(80)], keys).groupBy("h1", "h2").agg(ld.F.count("*").alias("n_docs"), ld.F.max("id").alias("last_id"))
+    with ld.ordered_scans(spark):
+        plan = store.unseen(counts)._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(tuple(r) for r in store.unseen(counts).collect())
+        lines = plan.splitlines()
+        for k, line in enumerate(lines):
+            if "FileScan parquet" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                above = [x for x in lines[:k] if len(x) - len(x.lstrip(" :+-")) < depth]
+                up = []  # the way from the scan to its join
+                for x in reversed(above):
+                    if not up or len(x) - len(x.lstrip(" :+-")) < len(up[-1]) - len(up[-1].lstrip(" :+-")):
+                        up.append(x)
+                way = up[: next(n for n, x in enumerate(up) if "SortMergeJoin" in x)]
+                assert not [x for x in way if "Exchange" in x or " Sort " in x], plan
+        assert sum("SortMergeJoin" in x for x in lines) == 2
+    assert [r[-1] for r in rows] == [k >= 51 for k in range(80)]
+    store.clear()
+
+
+def test_owners_with_enough_need_no_additions(spark):
+    keys = "id bigint, h1 bigint, h2 bigint"
+    store = ld.LineRuns(spark, 3, enough=2)
+    store.add(spark.createDataFrame([(9, 1, 1), (8, 1, 1), (8, 2, 2)], keys))
+    store.add(spark.createDataFrame([(5, 1, 1), (5, 2, 2)], keys))
+    assert sorted(tuple(r) for r in store.rows().collect()) == [(1, 1, 2, 9, True), (2, 2, 1, 5, False), (2, 2, 1, 8, True)]
+    assert sorted(tuple(r) for r in store.counts().collect()) == [(1, 1, 2, 9), (2, 2, 2, 8)]
+    store.clear()
+
+
+def test_batches_are_descending_ranges(spark):
+    rows = spark.createDataFrame([(i,) for i in range(1000)] + [(None,)], "id bigint")
+    cuts = ld.id_cuts(rows, "id", 4)
+    found = rows.select("id", ld.batch_of(cuts).alias("b")).collect()
+    assert len(cuts) == 3 and cuts == sorted(cuts, reverse=True)
+    by_id = sorted(((r.id, r.b) for r in found if r.id is not None), reverse=True)
+    assert [b for _, b in by_id] == sorted(b for _, b in by_id) and {b for _, b in by_id} == {0, 1, 2, 3}
+    assert [r.b for r in found if r.id is None] == [3]
+    assert ld.id_cuts(rows.where("id IS NULL"), "id", 4) == []
 
 
 def test_odd_rows(odd, empty):
