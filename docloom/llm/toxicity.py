@@ -19,8 +19,10 @@ only scored; repeated label rows count as often as they come; null ids are neith
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -84,7 +86,12 @@ class Lexicon:
                     excepted.append((start, end))
                 else:
                     found.append((start, end, weight))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in excepted)] if excepted else found
+        if not excepted:
+            return found
+        excepted.sort()
+        starts, reach = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        # Of the exceptions that begin no later than a term, the one that reaches furthest tells whether any holds it.
+        return [m for m in found if not (k := bisect_right(starts, m[0])) or reach[k - 1] < m[1]]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Log of the weight found, and the weight per hundred words."""
@@ -157,9 +164,10 @@ def exceptions_of(rows: DataFrame, weights: dict[str, float], size: dict[tuple[i
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model | None:
     """The lexicon with its weights, the exceptions, given and learned, and the coefficients of the score; None where there are not labels of both kinds."""
-    rows = sample(docs, labels, toxic_rows, clean_rows)
+    rows = materialise(sample(docs, labels, toxic_rows, clean_rows), "labelled")
     size = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     if min(size.get((half, kind), 0) for half in (0, 1) for kind in (0, 1)) == 0:
+        discard(rows)
         return None
     cells = [F.sum(((F.col("half") == h) & (F.col("toxic") == kind)).cast("int")).alias(f"{name}{h}") for h in (0, 1) for name, kind in (("t", 1), ("c", 0))]
     words = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half")).mapInArrow(words_once, "word string, toxic int, half int")
@@ -172,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     held = pd.concat(seen)
     weights = lexicon_of(counts, size, [0, 1], terms)
     learned = exceptions_of(rows, weights, size, [0, 1], terms)
-    discard(counts)
+    discard(counts, rows)
     return weights, (*exceptions, *learned), logistic(held[["total", "density"]].to_numpy(float), held["toxic"].to_numpy(float))
 
 

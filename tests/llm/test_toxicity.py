@@ -85,3 +85,28 @@ def test_odd_rows(spark, odd, empty):
     none = labels.limit(0)
     assert {(r["score"], r["predicted"]) for r in t.op6_toxicity(odd, none).collect()} == {(0.0, 0)}
     assert t.op6_toxicity(empty, labels).count() == 0
+
+
+def test_very_many_exceptions_take_linear_time():
+    """A text that is one exception over and over: twice the text, about twice the time, not four times."""
+    import time
+
+    from docloom.llm.toxicity import Lexicon
+
+    lexicon = Lexicon({"trash": 1.0, "can": 1.0}, ("trash can",))
+
+    def seconds(n):
+        began = time.process_time()
+        assert lexicon.matches("trash can " * n + "trash") == [(10 * n, 10 * n + 5, 1.0)]
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 3.5 * max(seconds(100_000), 0.02)
+
+
+def test_terms_that_an_exception_holds_only_in_part(spark):
+    from docloom.llm.toxicity import Lexicon
+
+    lexicon = Lexicon({"b c": 1.0, "c": 2.0, "d": 3.0}, ("a b", "a b c", "x"))
+    assert lexicon.matches("a b c d") == [(6, 7, 3.0)]
+    assert lexicon.matches("x b c") == [(2, 5, 1.0), (4, 5, 2.0)]
