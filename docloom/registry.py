@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import arrival_queries, corpus_queries, retrieval_queries, text_queries
+from docloom.plans import arrival_queries, corpus_queries, maintenance_queries, retrieval_queries, text_queries
 
-PARTS = (retrieval_queries, corpus_queries, text_queries, arrival_queries)
+PARTS = (retrieval_queries, corpus_queries, text_queries, arrival_queries, maintenance_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
