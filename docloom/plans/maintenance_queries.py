@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import cache, catalog_deltas
-from docloom.plans.corpora import LINES_SQL, files, line_chunks
+from docloom.operators import cache, catalog_deltas, retrieval
+from docloom.plans.corpora import LINES_SQL, VECTORS_SQL, files, line_chunks, questions, vectors
+from docloom.sources import vector_index
 from docloom.sources.bucketed_cache import BucketedCache
 from docloom.sources.bucketed_chunks import BucketedChunks
 from docloom.sources.scratch import materialise, new_path
@@ -56,8 +57,18 @@ def catalog_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("user_id", "file_type", "n_chunks", "n_files", (F.abs(F.col("about") - F.col("seen")) <= F.greatest(F.lit(2), F.col("seen") / 10)).alias("about_right"))
 
 
+def stored_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written to disk and searched by every question, against the exact search: how many candidates there are, and whether nine in ten are found."""
+    where = new_path(spark, "vector-index")
+    chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
+    vector_index.write_index(chunks, where, 64)
+    found = vector_index.search_index(spark, where, asked, skip_self=True)
+    report = vector_index.recall(retrieval.top_k(chunks, asked, skip_self=True), found)
+    return report.select("n_questions", "n_exact", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 BUCKET_SQL = "('0x' || left(sha256(source), 8))::BIGINT % n"
-QUERIES = {f.__name__: f for f in (bucketed_replace, bucketed_cache, catalog_runs)}
+QUERIES = {f.__name__: f for f in (bucketed_replace, bucketed_cache, catalog_runs, stored_index_recall)}
 SQL = {
     "bucketed_replace": f"""WITH {LINES_SQL}, sized AS (SELECT user_id, ceil(count(*) / 2000.0)::BIGINT AS n FROM chunks GROUP BY user_id),
 old AS (SELECT c.*, {BUCKET_SQL} AS bucket FROM chunks c JOIN sized USING (user_id)),
@@ -67,6 +78,7 @@ done AS (SELECT user_id, count(*) AS n FROM now JOIN touched USING (user_id, buc
 SELECT w.user_id, count(*) AS n_chunks, count(DISTINCT source) AS n_files, sum(size)::BIGINT AS n_chars, count(DISTINCT bucket) AS n_partitions, coalesce(any_value(d.n), 0) AS n_rewritten FROM now w LEFT JOIN done d USING (user_id) GROUP BY w.user_id""",
     "bucketed_cache": f"""WITH {LINES_SQL}, known AS (SELECT DISTINCT chunk FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT doc_id, count(k.chunk) AS n_hits, count(*) - count(k.chunk) AS n_misses, coalesce(sum(length(k.chunk)), 0)::BIGINT AS known_chars FROM chunks c LEFT JOIN known k USING (chunk) GROUP BY doc_id""",
+    "stored_index_recall": f"WITH {VECTORS_SQL} SELECT count(DISTINCT query_id) AS n_questions, count(*) AS n_exact, TRUE AS recalled FROM cand",
     "catalog_runs": f"""WITH {LINES_SQL}, now AS (SELECT * FROM chunks WHERE doc_id % 3 = 2 OR (doc_id % 3 = 1 AND doc_id % 5 <> 0) OR (doc_id % 3 = 0 AND (doc_id % 7 <> 0 OR chunk_index = 0)))
 SELECT user_id, coalesce(file_type, 'unknown') AS file_type, count(*) AS n_chunks, count(DISTINCT source) AS n_files, TRUE AS about_right FROM now GROUP BY ALL""",
 }

@@ -118,3 +118,43 @@ def test_partitions_of_other_users_are_not_read(spark, tmp_path, monkeypatch):
     expected = sorted(map(tuple, hits.collect()))
     monkeypatch.setattr(r, "LISTED_USERS", 1)
     assert sorted(map(tuple, r.top_k(chunks, asked).collect())) == expected
+
+
+def test_the_stored_index_is_exact_with_all_probes_and_reads_only_its_probes(spark, sf_dir, tmp_path):
+    from docloom.sources import vector_index as v
+
+    chunks, asked, path = vectors(spark, sf_dir), questions(spark, sf_dir), str(tmp_path / "index")
+    v.write_index(chunks, path, 64, cells=12)
+    exact = {(x.query_id, x.chunk_id) for x in r.top_k(chunks, asked, skip_self=True).collect()}
+    every = {(x.query_id, x.chunk_id) for x in v.search_index(spark, path, asked, probes=12, skip_self=True).collect()}
+    assert exact <= every
+    one = v.search_index(spark, path, asked.limit(1), probes=2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("PartitionFilters:")[2].partition("]")[0].count("cell") >= 1
+    cells = {p.name for p in (tmp_path / "index" / "chunks").iterdir() if p.name.startswith("cell=")}
+    assert len(cells) > 2 and one.count() > 0
+    assert v.recall(r.top_k(chunks, asked, skip_self=True), v.search_index(spark, path, asked, skip_self=True)).first().recall >= 0.9
+
+
+def test_vectors_in_clusters_need_few_probes():
+    from docloom.sources import vector_index as v
+
+    chance = np.random.default_rng(2)
+    points = v.unit(np.repeat(chance.standard_normal((30, 16)), 40, axis=0) + 0.05 * chance.standard_normal((1200, 16)))
+    centers = v.fit_centroids(points, 30)
+    assert len(centers) == 30 and v.probes_needed(np.zeros(1200, np.int64), points, centers) <= 4
+    loose = v.unit(chance.standard_normal((1200, 16)))
+    assert v.probes_needed(np.zeros(1200, np.int64), loose, v.fit_centroids(loose, 30)) > 4
+
+
+def test_the_stored_index_of_odd_vectors(spark, tmp_path):
+    from docloom.sources import vector_index as v
+
+    rows = [(1, "s", i, i, [1.0, 0.0]) for i in range(500)] + [(1, "zero", 0, 900, [0.0, 0.0]), (1, "none", 0, 901, None), (1, "short", 0, 902, [1.0]), (None, "nobody", 0, 903, [1.0, 0.0]), (2, "t", 0, 904, [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, VECTOR_CHUNKS)
+    v.write_index(chunks, str(tmp_path / "i"), 2, rows_per_file=100)
+    asked = spark.createDataFrame([(7, 1, [1.0, 0.1]), (8, 2, [0.0, 2.0]), (9, 1, [0.0, 0.0]), (10, 1, None), (11, 3, [1.0, 1.0])], ASKED)
+    found = v.search_index(spark, str(tmp_path / "i"), asked, probes=1).collect()
+    assert sorted((x.query_id, x.chunk_id) for x in found) == [(7, i) for i in range(20)] + [(8, 904)]
+    v.write_index(chunks.limit(0), str(tmp_path / "e"), 2)
+    assert v.search_index(spark, str(tmp_path / "e"), asked).count() == 0
