@@ -63,5 +63,5 @@ def test_stages_keep_the_columns(spark, sf_dir, odd, empty):
 def test_entry_has_the_queries(spark):
     entry = importlib.import_module("__spark_entry__")
     names = {n for n in entry.queries() if n.startswith("op")}
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
     assert "docloom.llm" in sys.modules
