@@ -89,3 +89,15 @@ def test_equal_hashes_of_different_texts(frame, monkeypatch):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = fp.op9_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_tasks_grow_in_number_with_the_bytes(spark, frame, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 100)
+    monkeypatch.setattr(fp, "TASK_BYTES", 500)
+    docs = frame([(i, f"text of document {i} " * 5) for i in range(400)])
+    size = sum(len(r["text"]) for r in docs.collect())
+    paired = fp.with_next(docs.select("doc_id", "text"), "text")
+    assert paired.rdd.getNumPartitions() == -(-size // 500)
+    plan = paired._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+    check(docs, [(r["doc_id"], r["text"]) for r in docs.collect()])
