@@ -5,6 +5,10 @@ The sentences of a document stay in one row, where they are packed, numbered and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,34 +32,56 @@ def sentence_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.withColumn("words", F.transform("sentences", word_count))
 
 
-def pack_blocks(words: Column, target: int = TARGET_WORDS) -> Column:
-    """Inclusive ranges of sentences packed greedily; a new one starts when the target would be passed by a block that has words."""
-    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("blocks"), F.lit(0).alias("start"), F.lit(0).alias("total"))
+def packed_ranges(words: list[int], target: int) -> list[tuple[int, int]]:
+    """Inclusive ranges of places packed greedily; a new one starts when the target would be passed by a range that has words."""
+    ranges: list[tuple[int, int]] = []
+    start = total = 0
+    for i, n in enumerate(words):
+        if total > 0 and total + n > target:
+            ranges.append((start, i - 1))
+            start, total = i, 0
+        total += n
+    return [*ranges, (start, len(words) - 1)]
 
-    def add(held: Column, x: Column) -> Column:
-        full = (held["total"] > 0) & (held["total"] + x["n"] > target)
-        blocks = F.when(full, F.concat(held["blocks"], F.array(F.struct(held["start"].alias("first"), (x["i"] - 1).alias("last"))))).otherwise(held["blocks"])
-        return F.struct(blocks.alias("blocks"), F.when(full, x["i"]).otherwise(held["start"]).alias("start"), (F.when(full, F.lit(0)).otherwise(held["total"]) + x["n"]).alias("total"))
 
-    counted = F.transform(words, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
-    return F.aggregate(counted, start, add, lambda held: F.concat(held["blocks"], F.array(F.struct(held["start"].alias("first"), (F.size(words) - 1).alias("last")))))
+def merged_ranges(starts: list[int], ends: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
+    """Inclusive ranges of boundaries: from the left, one of too few words takes in the next; the last is never merged backwards."""
+    before = [0, *accumulate(words)]
+    ranges: list[tuple[int, int]] = []
+    first = 0
+    for k in range(1, len(starts)):
+        start = min(max(starts[first], 0), len(words))
+        stop = max(start, min(ends[k - 1] + 1, len(words)))
+        if before[stop] - before[start] >= least:
+            ranges.append((first, k - 1))
+            first = k
+    return [*ranges, (first, len(starts) - 1)] if starts else ranges
 
 
-def merge_small(bounds: Column, words: Column, least: int = MIN_WORDS) -> Column:
-    """From the left, a boundary (of type ``BOUNDS``) of too few words takes in the next one; the last is never merged backwards."""
+def _ranges(fold: Callable[..., list[tuple[int, int]]], **options: int):
+    """``fold`` over lists of numbers of a row as a column function; time and memory grow with the lists."""
 
-    def size(b: Column) -> Column:
-        first = F.greatest(b["start"], F.lit(0))
-        return F.aggregate(F.slice(words, first + 1, F.greatest(b["end"] - first + 1, F.lit(0))), F.lit(0), lambda n, w: n + w)
+    def run(*columns: pa.Array) -> pa.Array:
+        found = [None if None in row else [{"first": a, "last": b} for a, b in fold(*row, **options)] for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+        return pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+    return F.arrow_udf(run, "array<struct<first:int,last:int>>")
+
+
+def pack_blocks(words: Column, target: int = TARGET_WORDS) -> Column:
+    """Inclusive ranges of sentences as ``packed_ranges`` finds them."""
+    return _ranges(packed_ranges, target=target)(words)
+
+
+def merge_small(bounds: Column, words: Column, least: int = MIN_WORDS) -> Column:
+    """Boundaries (of type ``BOUNDS``) merged as ``merged_ranges`` says: first place, last end, all headers."""
 
-    def add(held: Column, b: Column) -> Column:
-        last = held["last"]
-        small = size(last) < least
-        grown = F.struct(last["block"].alias("block"), last["pos"].alias("pos"), last["start"].alias("start"), b["end"].alias("end"), F.concat(last["header"], F.lit("; "), b["header"]).alias("header"))
-        return F.struct(F.when(small, held["done"]).otherwise(F.concat(held["done"], F.array(last))).alias("done"), F.when(small, grown).otherwise(b).alias("last"))
+    def one(r: Column) -> Column:
+        first = F.get(bounds, r["first"])
+        headers = F.transform(F.slice(bounds, r["first"] + 1, r["last"] - r["first"] + 1), lambda b: b["header"])
+        return F.struct(first["block"].alias("block"), first["pos"].alias("pos"), first["start"].alias("start"), F.get(bounds, r["last"])["end"].alias("end"), F.array_join(headers, "; ").alias("header"))
 
-    start = F.struct(F.array().cast(BOUNDS).alias("done"), F.get(bounds, F.lit(0)).alias("last"))
-    return F.aggregate(F.slice(bounds, 2, F.size(bounds)), start, add, lambda held: F.concat(held["done"], F.array(held["last"])))
+    return F.transform(_ranges(merged_ranges, least=least)(bounds["start"], bounds["end"], words), one)
 
 
 def block_rows(lists: DataFrame, key: str, target: int = TARGET_WORDS) -> DataFrame:

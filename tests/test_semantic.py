@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,29 @@ def test_unreadable_replies_fall_back(spark):
     replies = spark.createDataFrame([("d", b, x) for b, x in enumerate(texts)], "k string, block int, response string")
     out = sorted((x["block"], x["pos"], x["start"], x["end"], x["header"]) for x in parse_boundaries(requests, replies, "k").collect())
     assert out == [(0, 0, 10, 11, "x"), (0, 1, 12, 13, ""), *[(b, 0, 10, 13, "Content section") for b in (1, 2, 3)]]
+
+
+def test_long_documents_take_time_in_proportion():
+    def seconds(n):
+        began = time.perf_counter()
+        assert len(semantic.packed_ranges([3] * n, 5)) == n
+        assert len(semantic.merged_ranges(list(range(n)), list(range(n)), [3] * n, 2)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(400_000) for _ in range(3)) < 6 * min(seconds(200_000) for _ in range(3))
+
+
+@pytest.mark.parametrize(
+    ("starts", "ends", "least", "want"),
+    [([0, 2], [1, 3], 0, [(0, 0), (1, 1)]), ([0, 9], [1, 12], 1, [(0, 0), (1, 1)]), ([5, 6, 0], [3, 9, 1], 1, [(0, 2)]), ([-3, 1], [0, 3], 11, [(0, 1)]), ([], [], 5, [])],
+)
+def test_merged_ranges_of_odd_boundaries(starts, ends, least, want):
+    """Boundaries beyond the sentences and those that end before they start have no words."""
+    assert semantic.merged_ranges(starts, ends, [10, 10, 10, 10], least) == want
+
+
+def test_null_lists_stay_null(spark):
+    rows = spark.createDataFrame([(None,), ([4],)], "words array<int>")
+    found = [r[0] for r in rows.select(semantic.pack_blocks(F.col("words"), 7)).collect()]
+    assert found[0] is None and [tuple(b) for b in found[1]] == [(0, 0)]
