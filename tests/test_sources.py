@@ -98,6 +98,14 @@ def test_a_large_user_has_many_files_and_a_small_one_a_single_one(spark, tmp_pat
     assert count[2] == 1 and count[1] > 2
 
 
+def test_spreading_brings_no_user_to_one_task(spark):
+    rows = spark.range(1000).selectExpr("CAST(1 AS INT) AS user_id", "CAST(id AS STRING) AS source")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = chunk_table.spread(rows, 100)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_a_directory_is_indexed_once(spark, folder, tmp_path_factory):
     """Two runs over an unchanged directory: the second changes nothing and sends nothing to the model."""
     tmp_path = tmp_path_factory.mktemp("stored")
