@@ -99,7 +99,7 @@ def test_a_large_user_has_many_files_and_a_small_one_a_single_one(spark, tmp_pat
 
 
 def test_spreading_brings_no_user_to_one_task(spark):
-    rows = spark.range(1000).selectExpr("CAST(1 AS INT) AS user_id", "CAST(id AS STRING) AS source")
+    rows = spark.range(1000).selectExpr("CAST(id % 2 AS INT) AS user_id", "CAST(id AS STRING) AS source")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = chunk_table.spread(rows, 100)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
