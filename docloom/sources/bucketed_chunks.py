@@ -41,11 +41,14 @@ class BucketedChunks:
         """All rows, with the bucket; filters on user and bucket prune partitions."""
         return read_or_empty(self.spark, self.path, f"{self.schema}, bucket int")
 
+    def new_sizes(self, rows: DataFrame) -> DataFrame:
+        """The numbers of buckets of users in ``rows`` that have none yet. The known ones are broadcast: a shuffle by user would bring all rows of a user to one task."""
+        buckets = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / self.rows_per_bucket)).cast("int").alias("n_buckets")
+        return rows.groupBy("user_id").agg(buckets).join(F.broadcast(self.sizes()), "user_id", "left_anti")
+
     def placed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with their bucket, in files of their bucket; users without a number of buckets get one by their rows."""
-        known = self.sizes()
-        counts = rows.select("user_id").join(known, "user_id", "left_anti").groupBy("user_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / self.rows_per_bucket)).cast("int").alias("n_buckets"))
-        fresh = materialise(counts, "bucket-sizes")
+        fresh = materialise(self.new_sizes(rows), "bucket-sizes")
         fresh.write.mode("append").parquet(f"{self.path.rstrip('/')}-buckets")
         discard(fresh)
         return rows.join(F.broadcast(self.sizes()), "user_id").withColumn("bucket", bucket(F.col("source"), F.col("n_buckets"))).drop("n_buckets")

@@ -46,6 +46,17 @@ def test_emptied_buckets_go(spark, tmp_path):
     assert table.update(rows(spark).limit(0)).count() == 0
 
 
+def test_sizes_are_counted_without_bringing_a_user_to_one_task(spark, tmp_path):
+    table = BucketedChunks(spark, str(tmp_path / "t"), 20, SCHEMA)
+    table.append(rows(spark))
+    more = rows(spark, users=3, files=80)
+    assert [tuple(r) for r in table.new_sizes(more).collect()] == [(2, 20)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = table.new_sizes(more)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_many_changed_partitions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("docloom.sources.bucketed_chunks.LISTED", 1)
     table = BucketedChunks(spark, str(tmp_path / "t"), 20, SCHEMA)
