@@ -15,6 +15,8 @@ MAX_CANDIDATES, MAX_CORPUS_SHARE = 20, 0.5
 MIN_SIMILARITY, MAX_DROP, RADIUS = 0.65, 0.10, 1
 #: Questions are broadcast up to this size; more meet the chunks in cells of so many chunks and this size of questions.
 QUERY_BYTES, CELL_ROWS = 64 << 20, 50_000
+#: Questions that a task holds candidates of, and similarities that it computes at a time.
+SHARED_QUESTIONS, SCORED = 2048, 1 << 21
 FOUND = "query_id bigint, user_id int, source string, chunk_index int, chunk_id bigint, similarity double"
 FOUND_COLUMNS = [part.split()[0] for part in FOUND.split(", ")]
 FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("user_id", pa.int32()), ("source", pa.string()), ("chunk_index", pa.int32()), ("chunk_id", pa.int64()), ("similarity", pa.float64())])
@@ -40,7 +42,7 @@ def top_k(chunks: DataFrame, queries: DataFrame, skip_self: bool = False, query_
     """(query_id, user_id, rank, source, chunk_index, chunk_id, similarity): the best chunks of each question's user.
 
     ``chunks``: user_id, source, chunk_index, embedding and, for ``skip_self``, the id that equals query_id.
-    The limit depends on the size of the user's corpus. Questions of up to ``query_bytes`` are broadcast, so that
+    The limit depends on the size of the user's corpus. Up to ``SHARED_QUESTIONS`` questions of up to ``query_bytes`` are broadcast, so that
     vectors are never shuffled and, on a table partitioned by user, other users' partitions are not read; every task keeps the best of each question before candidates meet by question.
     More questions than that meet the chunks in cells of bounded size on the executors (``best_of_cells``).
     Similarity is half of one plus the cosine; vectors of length zero or of another dimension are no
@@ -49,41 +51,42 @@ def top_k(chunks: DataFrame, queries: DataFrame, skip_self: bool = False, query_
     narrow = chunks.select(F.col("user_id").cast("int").alias("user_id"), "source", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("user_id").cast("int").alias("user_id"), "embedding").where("embedding IS NOT NULL")
     n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    few = n * max(dim or 1, 1) * 8 <= query_bytes
+    few = n * max(dim or 1, 1) * 8 <= query_bytes and n <= SHARED_QUESTIONS
     limits = corpus_size(chunks, queries, few).withColumn("k", candidate_limit(F.col("corpus"))).select("query_id", "k")
     narrow = asked_users(narrow, asked, few)
-    found = best_of_batches(narrow, asked, skip_self) if few else best_of_cells(narrow, asked, skip_self, max(1, query_bytes // (8 * max(dim, 1))))
+    found = best_of_batches(narrow, asked, skip_self) if few else best_of_cells(narrow, asked, skip_self, max(1, min(SHARED_QUESTIONS, query_bytes // (8 * max(dim, 1)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
 class Best:
-    """The best chunks of each question so far, in the order of ranks: never more than ``MAX_CANDIDATES``, whatever ties there are.
+    """The best chunks of each question so far, in the order of ranks: never more than ``most``, whatever ties there are.
 
     Ties of similarity go by (source, chunk_index, chunk_id), nulls first, as the ranks do. A question with all its places taken looks only at what is as good as its last.
     """
 
-    def __init__(self):
+    def __init__(self, most: int = MAX_CANDIDATES):
+        self.most = most
         self.rows: dict[int, list[tuple]] = {}
 
     def add(self, question: int, similarity: np.ndarray, at: np.ndarray, describe: Callable[[np.ndarray], list[tuple]]) -> None:
         """Take in the rows ``at`` with their similarities; ``describe`` gives (user_id, source, chunk_index, chunk_id) of places."""
         held = self.rows.get(question, [])
-        usable = np.flatnonzero(similarity >= (held[-1][0] if len(held) == MAX_CANDIDATES else -np.inf))
-        if len(usable) > MAX_CANDIDATES:
-            least = np.partition(similarity[usable], -MAX_CANDIDATES)[-MAX_CANDIDATES]
+        usable = np.flatnonzero(similarity >= (held[-1][0] if len(held) == self.most else -np.inf))
+        if len(usable) > self.most:
+            least = np.partition(similarity[usable], -self.most)[-self.most]
             better, equal = usable[similarity[usable] > least], usable[similarity[usable] == least]
             # Of very many equal ones only the first in order can stay; they are named in blocks.
             first: list[tuple] = []
             for k in range(0, len(equal), 4096):
                 part = equal[k : k + 4096]
-                first = sorted([*first, *zip(map(order_of, rows := describe(at[part])), rows, strict=True)], key=itemgetter(0))[: MAX_CANDIDATES - len(better)]
+                first = sorted([*first, *zip(map(order_of, rows := describe(at[part])), rows, strict=True)], key=itemgetter(0))[: self.most - len(better)]
             named = [(float(s), row) for s, row in zip(similarity[better], describe(at[better]), strict=True)] + [(float(least), row) for _, row in first]
         else:
             named = [(float(s), row) for s, row in zip(similarity[usable], describe(at[usable]), strict=True)]
         if named:
-            self.rows[question] = sorted([*held, *named], key=lambda r: (-r[0], order_of(r[1])))[:MAX_CANDIDATES]
+            self.rows[question] = sorted([*held, *named], key=lambda r: (-r[0], order_of(r[1])))[:self.most]
 
     def batch(self) -> pa.RecordBatch:
         found = [(question, *row, similarity) for question, rows in self.rows.items() for similarity, row in rows]
@@ -96,13 +99,17 @@ def order_of(row: tuple) -> tuple:
     return (source is not None, (source or "").encode("utf-8", "surrogatepass"), index is not None, index or 0, chunk is not None, chunk or 0)
 
 
-def score_block(best: Best, vectors: np.ndarray, at: np.ndarray, ids: np.ndarray, wanted: np.ndarray, names: list[int], describe: Callable, skip_self: bool) -> None:
-    """Take the chunks ``at`` with their ``vectors`` into ``best`` for the questions ``names``."""
-    similarity = (1 + unit(vectors.astype(np.float64)) @ wanted.T) / 2
-    for q, name in enumerate(names):
-        s = similarity[:, q]
-        usable = ~np.isnan(s) & (ids != name) if skip_self else ~np.isnan(s)
-        best.add(name, s[usable], at[usable], describe)
+def score_block(best: Best, vectors: np.ndarray, at: np.ndarray, ids: np.ndarray, wanted: np.ndarray, names: list[int], describe: Callable, skip_self: bool, near: Callable[[int], np.ndarray] | None = None) -> None:
+    """Take the chunks ``at`` with their ``vectors`` into ``best`` for the questions ``names``, about ``SCORED`` similarities at a time; ``near`` says of a question which of them count."""
+    points, step = unit(vectors.astype(np.float64)), max(1, SCORED // max(1, len(at)))
+    for first in range(0, len(names), step):
+        similarity = (1 + points @ wanted[first : first + step].T) / 2
+        for q, name in enumerate(names[first : first + step]):
+            s = similarity[:, q]
+            usable = ~np.isnan(s) & (ids != name) if skip_self else ~np.isnan(s)
+            if near is not None:
+                usable &= near(first + q)
+            best.add(name, s[usable], at[usable], describe)
 
 
 def described(batch: pa.RecordBatch) -> Callable[[np.ndarray], list[tuple]]:
@@ -156,29 +163,30 @@ def best_of_batches(chunks: DataFrame, queries: DataFrame, skip_self: bool) -> D
     return chunks.mapInArrow(search, FOUND)
 
 
-def best_of_cells(chunks: DataFrame, queries: DataFrame, skip_self: bool, block: int, cell: int = CELL_ROWS) -> DataFrame:
-    """Candidates of each cell: ``block`` questions of a user against about ``cell`` of its chunks.
+def best_of_cells(chunks: DataFrame, queries: DataFrame, skip_self: bool, block: int, cell: int = CELL_ROWS, near: Callable[[np.ndarray, np.ndarray], Callable[[int], np.ndarray]] | None = None, most: int = MAX_CANDIDATES) -> DataFrame:
+    """Candidates of each cell: ``block`` questions of a user against about ``cell`` of its chunks, ``near`` of them where it is given.
 
     A user's questions are copied once for every range of its chunks and its chunks once for every block of its questions; a user with
     many of both is many cells, and no cell grows with the tables.
     """
     asked = queries.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     stored = chunks.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("ranges"))
-    sizes = asked.join(stored, "user_id")
+    sizes = F.broadcast(asked.join(stored, "user_id"))  # a shuffle by user would bring all chunks of a user to one task
     left = chunks.where("embedding IS NOT NULL").join(sizes, "user_id").withColumn("range", F.pmod(F.xxhash64("source", "chunk_index", "chunk_id"), F.col("ranges")).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "ranges")
     right = queries.join(sizes, "user_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     right = right.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1))).drop("blocks", "ranges")
 
     def search(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        best, sizes = Best(), stored["embedding"].map(len).to_numpy()
-        columns = stored[["user_id", "source", "chunk_index", "chunk_id"]]
+        best, sizes = Best(most), stored["embedding"].map(len).to_numpy()
+        columns = [[None if pd.isna(v) else v for v in stored[c].tolist()] for c in ("user_id", "source", "chunk_index", "chunk_id")]
         for dim, part in asked.groupby(asked["embedding"].map(len)):
             at = np.flatnonzero(sizes == dim)
             if len(at):
                 wanted = unit(np.array(part["embedding"].tolist(), np.float64))
                 rows = np.array(stored["embedding"].iloc[at].tolist())
-                score_block(best, rows, at, stored["chunk_id"].to_numpy()[at], wanted, part["query_id"].tolist(), lambda places: [tuple(None if pd.isna(v) else v for v in r) for r in columns.iloc[places].itertuples(index=False)], skip_self)
+                counts = None if near is None else near(rows, wanted)
+                score_block(best, rows, at, stored["chunk_id"].to_numpy()[at], wanted, part["query_id"].tolist(), lambda places: [tuple(c[k] for c in columns) for k in places.tolist()], skip_self, counts)
         return best.batch().to_pandas()
 
     keys = ["user_id", "block", "range"]
@@ -241,42 +249,43 @@ def file_search(candidates: DataFrame, limit: int = 10, digits: int = 4, pool: i
     return counted.where(F.col("place") <= limit).select("query_id", "place", "source", F.round("best", digits).alias("similarity"), "best_chunk", "chunk_count", "total_files")
 
 
-def hyperplane_buckets(rows: DataFrame, dim: int, tables: int, bits: int, probes: int = 0, seed: int = 11) -> DataFrame:
-    """``rows`` exploded to one row per table with the signs of its vector against random hyperplanes as ``bucket``.
+def hyperplane_codes(vectors: np.ndarray, tables: int, bits: int, seed: int = 11) -> np.ndarray:
+    """The bucket of each vector in each table: the signs against ``bits`` random hyperplanes."""
+    planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * bits))
+    return (vectors.astype(np.float64) @ planes >= 0).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int32))
 
-    With ``probes`` 1 also the buckets that differ in one sign.
-    """
-    flips = [0] + [1 << b for b in range(bits)] * (probes > 0)
 
-    @F.pandas_udf("array<int>")
-    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-        for vectors in batches:
-            signs = np.array(vectors.tolist(), np.float64).reshape(-1, dim) @ planes >= 0
-            yield pd.Series(list(signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))), index=vectors.index)
+def sharing_buckets(tables: int, bits: int) -> Callable[[np.ndarray, np.ndarray], Callable[[int], np.ndarray]]:
+    """For ``best_of_cells``: the chunks that lie in the bucket of a question, or in one that differs in one sign, in some table."""
+
+    def near(chunks: np.ndarray, questions: np.ndarray) -> Callable[[int], np.ndarray]:
+        stored, asked = np.ascontiguousarray(hyperplane_codes(chunks, tables, bits).T), hyperplane_codes(questions, tables, bits)
+
+        def met(q: int) -> np.ndarray:
+            found = np.zeros(stored.shape[1], bool)
+            for table in range(tables):
+                differ = stored[table] ^ asked[q, table]
+                found |= differ & (differ - 1) == 0
+            return found
+
+        return met
 
-    placed = rows.withColumn("_codes", codes("embedding")).select("*", F.posexplode("_codes").alias("table", "_code")).drop("_codes")
-    flipped = F.array(*[F.col("_code").bitwiseXOR(F.lit(x)) for x in flips])
-    return placed.select("*", F.explode(flipped).alias("bucket")).drop("_code")
+    return near
 
 
 def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES, tables: int = 16, bits: int = 6, skip_self: bool = False) -> DataFrame:
-    """Like ``top_k`` with a fixed k, but only chunks that share a hyperplane bucket of the user are scored.
+    """Like ``top_k`` with a fixed k, but only chunks that share a hyperplane bucket of the user count.
 
-    Buckets are met by an equi-join on (user, table, bucket), to which questions bring the buckets next to
-    theirs too. More tables raise the recall, more bits lower the work; with these defaults neighbours at a
-    cosine of 0.25 are found with a probability of about 0.97.
+    Questions also look into the buckets next to theirs. More tables raise the recall; with these defaults neighbours at a
+    cosine of 0.25 are found with a probability of about 0.97. So many pairs share a bucket somewhere that a row for each would be far more than
+    the vectors: they meet in cells of bounded size, where codes are compared and only the best stay.
     """
     dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    left = hyperplane_buckets(chunks.where(F.size("embedding") == dim).select("user_id", "source", "chunk_index", "chunk_id", "embedding"), dim, tables, bits).drop("embedding")
-    right = hyperplane_buckets(queries.where(F.size("embedding") == dim).select("query_id", "user_id", "embedding"), dim, tables, bits, probes=1).drop("embedding")
-    pairs = left.join(right, ["user_id", "table", "bucket"]).select("query_id", "user_id", "chunk_id").distinct()
-    if skip_self:
-        pairs = pairs.where("query_id <> chunk_id")
-    vectors = pairs.join(chunks.select("user_id", "chunk_id", "source", "chunk_index", "embedding"), ["user_id", "chunk_id"]).join(queries.select("query_id", F.col("embedding").alias("question")), "query_id")
-    scored = vectors.withColumn("similarity", (1 + cosine(F.col("embedding"), F.col("question"))) / 2).where("similarity IS NOT NULL AND NOT isnan(similarity)")
+    stored = chunks.where(F.size("embedding") == dim).select(F.col("user_id").cast("int").alias("user_id"), "source", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
+    asked = queries.where(F.size("embedding") == dim).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("user_id").cast("int").alias("user_id"), "embedding")
+    found = best_of_cells(stored, asked, skip_self, SHARED_QUESTIONS, near=sharing_buckets(tables, bits), most=k)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "user_id", "source", "chunk_index", "chunk_id", "similarity", "rank")
 
 
 def cosine(a, b):
