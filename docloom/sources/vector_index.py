@@ -8,7 +8,8 @@ chunks have is one partition of many files, and each task keeps a bounded list p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.retrieval import FOUND, MAX_CANDIDATES, Best, described, score_block, unit, vectors_of
+from docloom.operators.retrieval import FOUND, MAX_CANDIDATES, SCORED, SHARED_QUESTIONS, Best, described, score_block, unit, vectors_of
 
 #: Vectors that centroids are fitted on: those whose ids hash lowest.
 SAMPLE_ROWS, STEPS = 20_000, 10
@@ -37,6 +38,12 @@ def sampled(chunks: DataFrame, dim: int, rows: int) -> tuple[np.ndarray, np.ndar
     return users[usable], points[usable]
 
 
+def nearest_of(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The number of each point's nearest centroid, about ``SCORED`` products at a time."""
+    step = max(1, SCORED // max(1, len(centers)))
+    return np.concatenate([np.empty(0, np.int64), *((points[k : k + step] @ centers.T).argmax(axis=1) for k in range(0, len(points), step))])
+
+
 def fit_centroids(points: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
     """``cells`` unit vectors, or as many as there are different points."""
     distinct = np.unique(points, axis=0)
@@ -45,7 +52,7 @@ def fit_centroids(points: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
     chance = np.random.default_rng(seed)
     centers = distinct[chance.choice(len(distinct), min(cells, len(distinct)), replace=False)]
     for _ in range(STEPS):
-        nearest = (points @ centers.T).argmax(axis=1)
+        nearest = nearest_of(points, centers)
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, points)
         moved = unit(sums)
@@ -60,7 +67,7 @@ def probes_needed(users: np.ndarray, points: np.ndarray, centers: np.ndarray, re
     """
     if not len(centers):
         return 1
-    cells, ranks = (points @ centers.T).argmax(axis=1), []
+    cells, ranks = nearest_of(points, centers), []
     for q in range(min(asked, len(points))):
         own = np.flatnonzero(users == users[q])
         own = own[own != q]
@@ -89,7 +96,7 @@ def write_index(chunks: DataFrame, path: str, dim: int, cells: int | None = None
         for vectors in batches:
             points = unit(np.array(vectors.tolist(), np.float64).reshape(-1, dim))
             zero = np.isnan(points).any(axis=1)
-            found = (np.nan_to_num(points) @ shared.value.T).argmax(axis=1) if len(shared.value) else np.full(len(points), -1)
+            found = nearest_of(np.nan_to_num(points), shared.value) if len(shared.value) else np.full(len(points), -1)
             yield pd.Series(np.where(zero, -1, found), index=vectors.index, dtype="int32")
 
     dealt = F.pmod(F.xxhash64("chunk_id", "source", "chunk_index"), F.lit(1 << 20))
@@ -105,36 +112,60 @@ def centroids(spark: SparkSession, path: str) -> np.ndarray:
 def search_index(spark: SparkSession, path: str, queries: DataFrame, probes: int | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, user_id, source, chunk_index, chunk_id, similarity, rank): up to ``MAX_CANDIDATES`` chunks of each question's user in the ``probes`` partitions nearest to it.
 
-    The questions are collected; with all partitions as probes the result is exact, and without a number as many are read as the index says.
+    With all partitions as probes the result is exact, and without a number as many are read as the index says. The index is searched for
+    ``SHARED_QUESTIONS`` questions at a time: what a task holds does not grow with their number.
     """
     centers = centroids(spark, path)
     probes = probes or spark.read.parquet(f"{path}/settings").first()["probes"]
-    wanted: dict[tuple, tuple[list, list]] = {}
-    for query_id, user, vector in queries.select(F.col("query_id").cast("bigint"), F.col("user_id").cast("int"), "embedding").where("embedding IS NOT NULL AND user_id IS NOT NULL").toLocalIterator():
+    asked = queries.select(F.col("query_id").cast("bigint"), F.col("user_id").cast("int"), "embedding").where("embedding IS NOT NULL AND user_id IS NOT NULL")
+    stored = spark.read.schema(STORED).parquet(f"{path}/chunks")
+    found = stored.where(F.lit(False)).mapInArrow(searching(spark, {}, skip_self), FOUND)
+    rows = asked.toLocalIterator()
+    while block := list(islice(rows, SHARED_QUESTIONS)):
+        wanted = probed(block, centers, probes)
+        if wanted:
+            cells = np.flatnonzero(np.any([met.any(axis=1) for _, _, met in wanted.values()], axis=0)).tolist()
+            found = found.unionByName(stored.where(F.col("cell").isin(cells) & F.col("user_id").isin(sorted(wanted))).mapInArrow(searching(spark, wanted, skip_self), FOUND))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
+
+
+def probed(block: list[tuple], centers: np.ndarray, probes: int) -> dict[int, tuple[np.ndarray, list, np.ndarray]]:
+    """By user: the unit vectors of the questions, their ids, and for each cell which of them look into it. Each vector is there once, however many probes it has."""
+    by_user: dict[int, tuple[list, list]] = {}
+    for query_id, user, vector in block:
         point = np.array(vector, np.float64)
         if len(centers) and len(point) == centers.shape[1] and point.any():
-            for cell in np.argsort(-(centers @ point), kind="stable")[:probes].tolist():
-                vectors, names = wanted.setdefault((cell, user), ([], []))
-                vectors.append(point)
-                names.append(query_id)
-    stored = spark.read.schema(STORED).parquet(f"{path}/chunks")
-    read = stored.where(F.col("cell").isin(sorted({c for c, _ in wanted})) & F.col("user_id").isin(sorted({u for _, u in wanted})) if wanted else F.lit(False))
-    shared = spark.sparkContext.broadcast({k: (unit(np.array(v)), names) for k, (v, names) in wanted.items()})
+            points, names = by_user.setdefault(user, ([], []))
+            points.append(point)
+            names.append(query_id)
+    wanted = {}
+    for user, (points, names) in by_user.items():
+        matrix, met = unit(np.array(points)), np.zeros((len(centers), len(points)), bool)
+        for q, point in enumerate(points):
+            met[np.argsort(-(centers @ point), kind="stable")[:probes], q] = True
+        wanted[user] = (matrix, names, met)
+    return wanted
+
+
+def searching(spark: SparkSession, wanted: dict, skip_self: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The search of a task in its part of the index for the questions ``wanted`` (as ``probed`` gives them)."""
+    shared = spark.sparkContext.broadcast(wanted)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best()
         for batch in batches:
             flat, starts, sizes = vectors_of(batch)
             users, ids, cells = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("user_id", "chunk_id", "cell"))
-            for cell, user in sorted({(int(c), int(u)) for c, u in zip(cells, users, strict=True)} & shared.value.keys()):
-                at = np.flatnonzero((cells == cell) & (users == user))
-                points, names = shared.value[cell, user]
-                score_block(best, flat[starts[at][:, None] + np.arange(sizes[at[0]])], at, ids[at], points, names, described(batch), skip_self)
+            for cell, user in sorted({(int(c), int(u)) for c, u in zip(cells, users, strict=True) if u in shared.value and c >= 0}):
+                points, names, met = shared.value[user]
+                asking = np.flatnonzero(met[cell])
+                if len(asking):
+                    at = np.flatnonzero((cells == cell) & (users == user))
+                    score_block(best, flat[starts[at][:, None] + np.arange(sizes[at[0]])], at, ids[at], points[asking], [names[q] for q in asking], described(batch), skip_self)
         yield best.batch()
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source", "chunk_index", "chunk_id")
-    found = read.where("user_id IS NOT NULL").mapInArrow(search, FOUND)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES)
+    return search
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -158,3 +158,49 @@ def test_the_stored_index_of_odd_vectors(spark, tmp_path):
     assert sorted((x.query_id, x.chunk_id) for x in found) == [(7, i) for i in range(20)] + [(8, 904)]
     v.write_index(chunks.limit(0), str(tmp_path / "e"), 2)
     assert v.search_index(spark, str(tmp_path / "e"), asked).count() == 0
+
+
+def test_approximate_search_makes_no_row_for_a_pair(spark):
+    """What counts is whether a chunk shares a bucket, or one beside it; chunks and questions meet in cells and not pair by pair."""
+    chance = np.random.default_rng(4)
+    points = chance.standard_normal((300, 8)).astype(np.float32)
+    chunks = spark.createDataFrame([(i % 2, "s", i, i, v.tolist()) for i, v in enumerate(points)], VECTOR_CHUNKS)
+    asked = spark.createDataFrame([(1000 + i, i % 2, points[i].tolist()) for i in range(20)], ASKED)
+    found = r.approximate_top_k(chunks, asked, k=5, tables=2, bits=6)
+    codes = r.hyperplane_codes(points, 2, 6)
+    for q in range(20):
+        own = [i for i in range(300) if i % 2 == q % 2 and any(int(codes[i, t] ^ codes[q, t]).bit_count() <= 1 for t in range(2))]
+        expected = sorted(own, key=lambda i: -float(r.unit(points[[i]].astype(float))[0] @ r.unit(points[[q]].astype(float))[0]))[:5]
+        assert [x.chunk_id for x in found.where(F.col("query_id") == 1000 + q).orderBy("rank").collect()] == expected
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarities_are_held_in_blocks(monkeypatch):
+    held = []
+
+    class Spy(np.ndarray):
+        def __matmul__(self, other):
+            held.append(len(self) * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    points, asked = np.random.default_rng(1).standard_normal((200, 4)), np.random.default_rng(2).standard_normal((300, 4))
+    monkeypatch.setattr(r, "unit", lambda m, unit=r.unit: unit(m).view(Spy))
+    monkeypatch.setattr(r, "SCORED", 2000, raising=False)
+    best = r.Best()
+    r.score_block(best, points, np.arange(200), np.arange(200), np.asarray(asked), list(range(300)), lambda places: [(1, "s", int(k), int(k)) for k in places], False)
+    assert max(held) <= 2000 and len(best.rows) == 300
+
+
+def test_many_questions_of_the_stored_index(spark, sf_dir, tmp_path, monkeypatch):
+    from docloom.sources import vector_index as v
+
+    chunks, asked, path = vectors(spark, sf_dir), questions(spark, sf_dir), str(tmp_path / "index")
+    v.write_index(chunks, path, 64, cells=12)
+    def found():
+        return sorted((x.query_id, x.rank, x.chunk_id, round(x.similarity, 12)) for x in v.search_index(spark, path, asked, probes=4, skip_self=True).collect())
+
+    expected = found()
+    monkeypatch.setattr(v, "SHARED_QUESTIONS", 3)
+    assert found() == expected
+    block = v.probed([(q, 1, [1.0, float(q)]) for q in range(50)], np.eye(2), 2)
+    assert block[1][0].shape == (50, 2) and block[1][2].all()
