@@ -10,6 +10,7 @@ from docloom.plans.corpora import VECTORS_SQL, questions, replies, replies_sql,
 from docloom.plans.corpora import LETTERS_SQL, letter_model, letter_weight
 from docloom.plans.jobs import answer_questions, question_contexts
 from docloom.schemas import VECTORS
+from docloom.sources.scratch import materialise
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -95,9 +96,10 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From questions without vectors to the funnel: chunks and questions are embedded with letter counts."""
-    chunks = vectors(spark, sf_dir).drop("embedding")
+    # Written once, as are the embedded ones below: each of the many readers would join all texts again.
+    chunks = materialise(vectors(spark, sf_dir).drop("embedding"), "chunks-to-embed")
     none = spark.createDataFrame([], VECTORS)
-    embedded = embedding.embed_rows(chunks, none, letter_model, "chunk")[0].drop("error")
+    embedded = materialise(embedding.embed_rows(chunks, none, letter_model, "chunk")[0].drop("error"), "embedded-chunks")
     asked = questions(spark, sf_dir).join(chunks.select(F.col("chunk_id").alias("query_id"), F.substring("chunk", 1, 200).alias("start")), "query_id")
     return answer_questions(embedded, asked.select("query_id", "user_id", F.col("start").alias("question")), letter_model)["funnel"].select("query_id", "n_candidates", "corpus")
 

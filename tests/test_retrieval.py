@@ -204,3 +204,10 @@ def test_many_questions_of_the_stored_index(spark, sf_dir, tmp_path, monkeypatch
     assert found() == expected
     block = v.probed([(q, 1, [1.0, float(q)]) for q in range(50)], np.eye(2), 2)
     assert block[1][0].shape == (50, 2) and block[1][2].all()
+
+
+def test_answers_join_the_texts_once(spark, sf_dir):
+    from docloom.plans.retrieval_queries import answered_questions
+
+    plan = answered_questions(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
