@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +118,25 @@ def html_text(spark: SparkSession, sf_dir: str) -> Frame:
 
 
 def _write_files(spark: SparkSession, sf_dir: str, where: str) -> None:
-    """Documents as text files, ten in each."""
-    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("tens"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs.repartition("tens").sortWithinPartitions("tens", "doc_id").select("tens", "text").write.partitionBy("tens").text(where)
+    """Documents as text files, ten in each, a thousand files in a folder: each task writes its own."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("i"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"))
+    lines = F.transform(F.array_sort(F.collect_list("d")), lambda d: F.concat(d["text"], F.lit("\n")))
+    files = docs.groupBy("i").agg(F.array_join(lines, "").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = pafs.FileSystem.from_uri(where)
+        made = set()
+        for frame in batches:
+            for i, text in zip(frame["i"], frame["text"], strict=True):
+                folder = f"{root}/{i // 1000}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/f{i}.txt", compression=None) as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
 
 
 def directory_ingest(spark: SparkSession, sf_dir: str) -> Frame:

@@ -35,3 +35,14 @@ def test_hashes(spark):
 
 def test_vectors(spark):
     assert values(spark, ["[1.0,2.5]", "x", "[1]"], lambda c: t.vector_from_text(c, 2)) == [[1.0, 2.5], None, None]
+
+
+def test_files_of_documents_share_folders(spark, sf_dir, tmp_path):
+    from docloom.plans.text_queries import _write_files
+
+    _write_files(spark, sf_dir, str(tmp_path / "files"))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    tens = {d // 10 for d in docs}
+    assert {p.name for p in (tmp_path / "files").iterdir()} == {str(i // 1000) for i in tens}
+    for i in tens:
+        assert (tmp_path / "files" / str(i // 1000) / f"f{i}.txt").read_bytes().decode() == "".join(docs[d] + "\n" for d in sorted(docs) if d // 10 == i)
