@@ -51,6 +51,8 @@ CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 BREAK, NOTHING = b"\n", b""
 #: Numbers of words repeat, so a large dictionary shrinks them.
 STORED = {"parquet.dictionary.page.size": str(16 << 20), "compression": "zstd"}
+#: Words are new in almost every row of the table that the texts become: a dictionary of them would only take memory.
+PLAIN_WORDS = {"parquet.enable.dictionary#word": "false"}
 
 
 def tokens(text: str) -> list[bytes]:
@@ -91,6 +93,11 @@ def arrays(rows: DataFrame, columns: list[str], limit: int) -> list[np.ndarray]
 # ---- the relations
 
 
+def narrow(relation: DataFrame):
+    """Blocks are read as many at a time as go to a task's Python: Spark would hold 4,096 at once, whose lists are hundreds of MB for each task."""
+    return settings(relation.sparkSession, spark__sql__parquet__columnarReaderBatchSize=str(BATCH_ROWS))
+
+
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
 
@@ -190,7 +197,7 @@ def word_relation(texts: DataFrame, seed: int, longest: int, size: int = BLOCK)
                 known = Known(seed)
         yield counted()
 
-    return materialise(texts.mapInArrow(run, "gaps array<int>, words array<bigint>, lang string, word string, n bigint"), "phrase-words-at", **STORED)
+    return materialise(texts.mapInArrow(run, "gaps array<int>, words array<bigint>, lang string, word string, n bigint"), "phrase-words-at", **STORED, **PLAIN_WORDS)
 
 
 class Frequent:
@@ -225,7 +232,9 @@ def regrouped(relation: DataFrame, columns: list[str], groups: DataFrame, gaps:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["block", "place", *columns])
 
     rows = relation.select("block", gaps, *columns).mapInArrow(single, ", ".join(f"{c} bigint" for c in ["block", "place", *columns]))
-    met = materialise(rows, "phrase-occurrences", **STORED).join(groups.hint("merge"), columns, "inner" if renamed else "left_semi")
+    with narrow(relation):
+        occurrences = materialise(rows, "phrase-occurrences", **STORED)
+    met = occurrences.join(groups.hint("merge"), columns, "inner" if renamed else "left_semi")
     values = [F.col(renamed).alias(columns[0])] if renamed else [F.col(c) for c in columns]
     sorted_rows = F.array_sort(F.collect_list(F.struct("place", *values)))
     blocks = met.groupBy("block").agg(sorted_rows.alias("rows"))
@@ -233,7 +242,8 @@ def regrouped(relation: DataFrame, columns: list[str], groups: DataFrame, gaps:
     found = blocks.select("block", new_gaps, *[F.col(f"rows.{c}").alias(c) for c in columns])
     rest = [c for c in relation.columns if c not in ("block", gaps, *columns)]
     kept = found.join(relation.select("block", *rest), "block").drop("block") if rest else found.drop("block")
-    return materialise(kept.select(*[c for c in relation.columns if c != "block"]), "phrase-regrouped", **STORED)
+    with narrow(relation):
+        return materialise(kept.select(*[c for c in relation.columns if c != "block"]), "phrase-regrouped", **STORED)
 
 
 def words_at(batch: pa.RecordBatch, frequent: Frequent | None) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +294,8 @@ def count_phrases(relation: DataFrame, k: int, least: int, size: int = BLOCK, kn
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in [*distinct, counts]], names=[*ids(k), "n"])
 
     made = relation.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*ids(k), "n"]))
-    return materialise(made.groupBy(*ids(k)).agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{k}")
+    with narrow(relation):
+        return materialise(made.groupBy(*ids(k)).agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{k}")
 
 
 class Members:
@@ -331,9 +342,10 @@ def phrase_relation(relation: DataFrame, k: int, frequent: DataFrame, limit: int
             yield pa.RecordBatch.from_arrays([*stored, lists(gaps, sizes, pa.int32()), *[lists(c, sizes, pa.int64()) for c in columns]], names=["gaps", "words", "next_gaps", *ids(k)])
 
     made = relation.mapInArrow(run, "gaps array<int>, words array<bigint>, next_gaps array<int>, " + ", ".join(f"{c} array<bigint>" for c in ids(k)))
-    if sent is not None:
-        return materialise(made, f"phrases-at-{k}", **STORED)
-    numbered = materialise(made.select(F.monotonically_increasing_id().alias("block"), "*"), "phrase-blocks", **STORED)
+    with narrow(relation):
+        if sent is not None:
+            return materialise(made, f"phrases-at-{k}", **STORED)
+        numbered = materialise(made.select(F.monotonically_increasing_id().alias("block"), "*"), "phrase-blocks", **STORED)
     return regrouped(numbered, ids(k), frequent.select(*ids(k)), "next_gaps")
 
 
@@ -401,7 +413,8 @@ def mine_phrases(
         sent = arrays(frequent, ["hash", "id"], broadcast_rows)
         known, relation = None if sent is None else Frequent(*sent), read.where("word IS NULL").select("gaps", "words")
         if sent is None:
-            numbered = materialise(relation.select(F.monotonically_increasing_id().alias("block"), "gaps", "words"), "phrase-blocks", **STORED)
+            with narrow(relation):
+                numbered = materialise(relation.select(F.monotonically_increasing_id().alias("block"), "gaps", "words"), "phrase-blocks", **STORED)
             relation = regrouped(numbered, ["words"], frequent.select(F.col("hash").alias("words"), F.col("id").alias("to")), "gaps", "to")
         for k in range(2, most_words + 1):
             counts[k] = count_phrases(relation, k, least, block, known)

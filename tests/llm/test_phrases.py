@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from docloom.llm import phrases
 from docloom.llm.phrases import Members, exact, floored, groups_of, mine_phrases, tokens
 
 from .conftest import ENGLISH
@@ -110,3 +111,20 @@ def test_groups():
         columns = [rng.integers(-3, 3, 400) << 60 for _ in range(k)]
         distinct, counts = groups_of(columns)
         assert dict(zip(zip(*[c.tolist() for c in distinct], strict=True), counts.tolist(), strict=True)) == Counter(zip(*[c.tolist() for c in columns], strict=True))
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Spark's reader holds a batch of rows, and a row is a block of lists: with 4,096 rows a task held hundreds of MB."""
+    name, rows, kept = "spark.sql.parquet.columnarReaderBatchSize", {}, phrases.materialise
+
+    def seen(df, label, *args, **options):
+        rows[label] = int(spark.conf.get(name))
+        return kept(df, label, *args, **options)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(phrases, "materialise", seen)
+    docs = spark.createDataFrame([(1, "b c d. " * 12, "en")], "doc_id long, text string, lang string")
+    for sent in (phrases.BROADCAST_ROWS, 0):
+        assert phrases.mine_phrases(docs, broadcast_rows=sent).count() == 1
+    assert all(rows[label] <= phrases.BATCH_ROWS for label in ("phrases-2", "phrases-3", "phrases-at-2", "phrase-blocks", "phrase-occurrences", "phrase-regrouped"))
+    assert rows["phrase-words"] == int(before) == int(spark.conf.get(name))
