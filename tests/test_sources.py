@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.operators.cache import digest
 from docloom.plans import jobs
 from docloom.sources import chunk_table, files
+from docloom.sources import scratch as scratch_tables
 from docloom.streaming.ingest import start_upload_stream
 
 
@@ -138,3 +139,18 @@ def test_a_directory_is_indexed_once(spark, folder, tmp_path_factory):
     for name in ("a.TXT", "c.html", "d.docx"):
         (folder / name).unlink()
     assert index()[2] == []
+
+
+def test_a_directory_run_leaves_no_scratch_copy_of_the_texts_and_a_repeated_one_writes_no_snapshot(spark, tmp_path, monkeypatch):
+    (tmp_path / "files").mkdir()
+    for k in range(3):
+        (tmp_path / "files" / f"f{k}.txt").write_text(f"A sentence of file {k}. Another one.")
+    scratch, staged, kept = tmp_path / "scratch", [], jobs.chunk_table.write_snapshot
+    scratch.mkdir()
+    monkeypatch.setattr(scratch_tables, "shared_dir", lambda spark: str(scratch))
+    monkeypatch.setattr(jobs.chunk_table, "write_snapshot", lambda *a, **b: (staged.append(1), kept(*a, **b)))
+    for run in range(2):
+        done = jobs.index_directory(spark, str(tmp_path / "files"), str(tmp_path / "table"), str(tmp_path / "cache"), lambda texts: [[1.0] for _ in texts], 0)
+        assert done.chunks.select("source").distinct().count() == 3 and done.cache.count() == 3 and done.failed.isEmpty()
+        assert {r["status"] for r in done.classified.collect()} == {"unchanged" if run else "new"}
+    assert {p.name.split("-")[1] for p in scratch.iterdir()} <= {"listing", "classified", "failed", "unread"} and len(staged) == 1
